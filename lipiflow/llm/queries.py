@@ -8,8 +8,11 @@ from .bpe import bpe_digests
 from .common import documents
 from .exact_dedup import exact_dedup
 from .line_dedup import apply_bitmaps, line_dedup
+from .hmm import hmm_scores
 from .packing import packed_sequences
 from .quality_rules import quality_rules
+from .token_counts import token_counts
+from .toxicity import toxicity, train
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,6 +24,19 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(documents(spark, sf_dir))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -64,7 +80,10 @@ FROM t
 """
 
 QUERIES = {
+    "op2_hmm": op2_hmm,
     "op3_bpe": op3_bpe,
+    "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op9_packing": op9_packing,
