@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import stored
+
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,17 +39,17 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     one more document's but are never dropped. Other columns are ignored, an empty table gives no rows.
     """
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = (
-        line_keys(docs, min_chars)
-        .repartitionByRange(n, F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("pos"))
-        .sortWithinPartitions(F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("pos"))
+    keys = stored(line_keys(docs, min_chars), "line-keys")  # read again for the range bounds, the counts and the bitmaps
+    ranged = keys.repartitionByRange(n, F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("pos")).sortWithinPartitions(
+        F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("pos")
     )
     # one row for each document of a key, then one for each key: both combine before they are exchanged
     holders = ranged.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("times"))
-    shared = (
-        holders.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    shared = stored(
+        holders.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs),
+        "shared-lines",
     )
-    dropped = ranged.join(shared, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
+    dropped = keys.join(shared, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
     words = dropped.groupBy("doc_id", F.expr("pos div 64").cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")
     )
