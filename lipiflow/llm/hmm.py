@@ -185,8 +185,8 @@ def symbol_texts(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                         pa.array([held_out(d) for d in part.column("doc_id").to_pylist()], pa.bool_()),
                         pa.array(np.diff(w.first) + 1),
                         pa.array(np.bincount(doc, known, n).astype(np.int64) + (end_count > 0)),
-                        pa.array(base),
-                        pa.array(within),
+                        pa.array(base, pa.float64()),
+                        pa.array(within, pa.float64()),
                         pa.ListArray.from_arrays(pa.array((w.first + np.arange(n + 1)).astype(np.int32)), pa.array(symbols)),
                         lists(signed(h[order][a])),
                         lists(cls[order][a].astype(np.int32)),

@@ -116,7 +116,7 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for n, most in NGRAM_LIMITS.items():
                 m["kept"] &= m[f"dup_{n}gram_share"] <= most
             names = [c.split()[0] for c in COLUMNS.split(", ")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(m[c]) for c in names[1:])], names=names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(m[c].astype(float) if c.endswith("share") else m[c]) for c in names[1:])], names=names)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
