@@ -9,6 +9,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .line_dedup import apply_bitmaps, line_dedup
 from .hmm import hmm_scores
+from .near_dedup import near_dedup
 from .packing import packed_sequences
 from .quality_rules import quality_rules
 from .token_counts import token_counts
@@ -51,6 +52,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
