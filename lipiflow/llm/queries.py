@@ -12,6 +12,7 @@ from .hmm import hmm_scores
 from .near_dedup import near_dedup
 from .packing import packed_sequences
 from .quality_rules import quality_rules
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity, train
 
@@ -25,6 +26,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir), window=35, digest=True)
+
+
 def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_scores(documents(spark, sf_dir))
 
@@ -85,6 +90,7 @@ FROM t
 """
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_hmm": op2_hmm,
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,

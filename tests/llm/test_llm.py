@@ -270,3 +270,142 @@ def test_empty_table_and_null_ids(spark, run):
     assert run(frame(spark, ODD).limit(0)).count() == 0
     odd = spark.createDataFrame([(None, None), (None, "x y"), (1, "x y"), (1, "x y")], "doc_id long, text string")
     assert run(odd).count() == 4
+
+
+def brute_substrings(texts, window):
+    words = [WORD.findall(t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for w in words:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone |= set(range(i, i + window))
+        out.append((len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("window,rounds", [(35, 4), (6, 2), (12, 9)])
+def test_substring_dedup_is_brute_force(spark, sf_dir, window, rounds):
+    from lipiflow.llm.substring_dedup import substring_dedup
+
+    rng = random.Random(window)
+    passage = [rng.choice("abcdefgh") + str(i % 7) for i in range(3 * window)]
+    few = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 3 * window))) for _ in range(60)]
+    cut = [" ".join(rng.choice("xyz") + str(rng.randint(0, 99)) for _ in range(5)) + " " + " ".join(passage[rng.randint(0, window) : rng.randint(window, 3 * window)]) + " end" + str(i) for i in range(40)]
+    texts = ODD + few + cut + ["a " * (2 * window), "a b " * window, "a " * (window + 3), "p q r " * window] + texts_of(spark, sf_dir)[1][:100]
+    ids = [None, *range(1, len(texts) - 1), 1]
+    got = substring_dedup(frame(spark, texts, ids), window, rounds).collect()
+    want = brute_substrings(texts, window)
+    assert sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(((i or -1), *w) for i, w in zip(ids, want))
+
+
+def test_substring_dedup_empty(spark):
+    from lipiflow.llm.substring_dedup import substring_dedup
+
+    assert substring_dedup(frame(spark, ODD).limit(0)).count() == 0
+
+
+def test_repeated_rows_repeat_their_windows(spark):
+    from lipiflow.llm.substring_dedup import substring_dedup
+
+    text = " ".join(f"w{i}" for i in range(50))
+    got = substring_dedup(frame(spark, [text, text, text + " x"], [1, 1, 2])).collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in got) == [(1, 50, ""), (1, 50, ""), (2, 50, "x")]
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_banded_alignment_is_the_edit_distance():
+    from lipiflow.llm.near_dedup import edit_distance_within
+
+    rng = random.Random(4)
+    for _ in range(400):
+        a = [rng.randint(0, 3) for _ in range(rng.randint(0, 14))]
+        b = [x for x in a if rng.random() > 0.2]
+        b = [rng.randint(0, 3) if rng.random() < 0.2 else x for x in b] + [1] * rng.randint(0, 2)
+        d = edit_distance(a, b)
+        for most in (0, 1, 3, 20):
+            assert edit_distance_within(np.array(a, int), np.array(b, int), most) == (d if d <= most else None), (a, b)
+
+
+def test_near_dedup_classes(spark):
+    from lipiflow.llm.near_dedup import near_dedup
+
+    rng = random.Random(8)
+    new = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 5000)}" for _ in range(n)]
+    texts, group, shared = [], [], new(40)
+    for g in range(30):
+        base = new(rng.choice([120, 300]))
+        for _ in range(rng.choice([1, 2, 9])):
+            w = list(base)
+            for _ in range(len(w) // 60):
+                w[rng.randrange(len(w))] = "changed" + str(rng.randint(0, 99))
+            texts.append(" ".join(w))
+            group.append(g)
+    for g in range(100, 160):  # one passage in different texts
+        texts.append(" ".join(new(60) + shared + new(60)))
+        group.append(g)
+    texts += ["", None, " \n", "two words", "two  words"]
+    group += [200, 200, 200, 201, 201]
+    ids = list(range(len(texts)))
+    rows = near_dedup(frame(spark, texts + ["a b c d e f"], ids + [None])).collect()
+    got = {r.doc_id: r for r in rows if r.doc_id is not None}
+    least = {}
+    for i, g in zip(ids, group):
+        least.setdefault(g, i)
+    assert {i: r.class_id for i, r in got.items()} == {i: least[g] for i, g in zip(ids, group)}
+    assert all(r.kept == (i == r.class_id) for i, r in got.items())
+    assert [(r.class_id, r.n_links, r.kept) for r in rows if r.doc_id is None] == [(None, 0, True)]
+    assert near_dedup(frame(spark, texts[:3]).limit(0)).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    from lipiflow.llm.near_dedup import components
+
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 260)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in parent if find(x) != x}
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {n: got.get(n, n) for n in parent} == {n: find(n) for n in parent} and set(want) <= set(got)
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start, seen = {r.doc_id: r for r in docs.collect()}, docs
+    kept = {r.doc_id for r in quality_rules(docs).collect() if r.kept}
+    for name, stage in p.STAGES[:-1]:
+        seen = stage(spark, seen, sf_dir)
+        assert seen.columns == docs.columns and seen.schema.simpleString() == docs.schema.simpleString()
+        rows = {r.doc_id: r for r in seen.collect()}
+        if name == "quality_rules":
+            assert set(rows) == kept
+        if name == "exact_dedup":
+            lower = lambda t: "".join(c.lower() if c < "\x80" else c for c in t)
+            largest = {}
+            for i in kept:
+                largest[lower(start[i].text)] = max(i, largest.get(lower(start[i].text), -1))
+            assert set(rows) == set(largest.values())
+    words = brute_substrings([start[i].text for i in rows], 35)
+    assert [rows[i].text for i in rows] == [w[2] for w in words]
+    pieces = p.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in pieces} == set(rows)
