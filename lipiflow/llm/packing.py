@@ -24,6 +24,7 @@ TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step group, and tokens packed at a time (they bound a task's memory).
 STEP_TOKENS, BUFFER_TOKENS = 65_536, 3_000_000
 END_ID = 2
+PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
@@ -127,9 +128,17 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = Remembered(self._one)
+        self.words = Remembered(self._one, 500_000)
 
     def _one(self, word: str) -> bytes:
+        if word.isascii() and "<|" not in word:
+            # as the normaliser and the pattern have it: in lower case, a run of letters apart from punctuation
+            low = word.lower()
+            letters = low.rstrip(PUNCTUATION)
+            if low != word:
+                return self.words[low]
+            if letters != low and letters.isalpha():
+                return self.words[letters] + self.words[low[len(letters) :]]
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
