@@ -1,4 +1,11 @@
 """The named queries of the engine and their SQL twins."""
 
+from __future__ import annotations
+
+from .plans import lexicon
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _plan in (lexicon,):
+    QUERIES |= _plan.QUERIES
+    ORACLE_SQL |= _plan.ORACLE_SQL
