@@ -181,7 +181,7 @@ def model_prescore(spark, d):
 
 
 PAIRS = f"""{SENT}, known AS (SELECT word FROM sent GROUP BY word HAVING count(*) >= 2),
-  seq AS (SELECT sent, pos, sent.word, known.word AS kept, CASE WHEN pos = 0 THEN '<s>' ELSE lag(known.word) OVER (PARTITION BY sent ORDER BY pos) END AS prev FROM sent LEFT JOIN known ON sent.word = known.word),
+  seq AS (SELECT sent, role, pos, sent.word, known.word AS kept, CASE WHEN pos = 0 THEN '<s>' ELSE lag(known.word) OVER (PARTITION BY sent ORDER BY pos) END AS prev FROM sent LEFT JOIN known ON sent.word = known.word),
   pairs AS (SELECT prev, word, count(*) AS cnt, min(sent * 1000000 + pos) AS first FROM seq WHERE prev IS NOT NULL AND kept IS NOT NULL GROUP BY prev, word),
   totals AS (SELECT prev, sum(cnt)::BIGINT AS total FROM pairs GROUP BY prev),
   fol AS (SELECT prev, word, cnt, rank FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY cnt DESC, first) AS rank FROM pairs) WHERE rank <= 60 AND cnt >= 2)"""

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import lexicon
+from .plans import evaluation, lexicon, prediction, streams, usage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _plan in (lexicon,):
+for _plan in (lexicon, prediction, evaluation, usage, streams):
     QUERIES |= _plan.QUERIES
     ORACLE_SQL |= _plan.ORACLE_SQL
