@@ -116,12 +116,23 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD, top: int = TOP) -> Vocabulary:
-    """At most `head` rows and one row for each class come to the driver."""
+    """At most `head` rows, a histogram of fixed size and one row for each class come to the driver.
+
+    The head words are those from a count on, found in the histogram: nothing is sorted or gathered in one task.
+    """
     end = int(END_HASH.view(np.int64))
-    words = counts.where(F.col("h") != end)
-    got = words.orderBy(F.desc("c"), "h").limit(head).toArrow()
+    step = F.floor(F.log2("c") * 16).cast("int")
+    words = counts.where(F.col("h") != end).withColumn("step", step)
+    histogram = sorted(((r.step, r.n) for r in words.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    room, least = head, 1 << 30
+    for at, n in histogram:
+        if n > room:
+            break
+        room, least = room - n, at
+    got = words.where(F.col("step") >= least).select("h", "class", "c").toArrow()
     h, cls, c = (got.column(i).to_numpy() for i in range(3))
-    h = h.astype(np.int64).view(np.uint64)
+    order = np.lexsort((h, -c))
+    h, cls, c = h[order].astype(np.int64).view(np.uint64), cls[order], c[order]
     per_class = words.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toArrow()
     class_tokens, class_types = np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64)
     class_tokens[per_class.column(0).to_numpy()] = per_class.column(1).to_numpy()
