@@ -8,6 +8,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyspark.sql.types as T
 from pyspark.sql import Column, functions as F
 
 # Letters whose case folding is not their lower case.
@@ -38,7 +39,7 @@ def normalize_roman(c) -> Column:
     return F.regexp_replace(F.lower(out), "[^a-z0-9']", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Spark has no built-in for this; ASCII and already composed texts are returned as they are."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -58,7 +59,7 @@ def match_key(c) -> Column:
 def to_output(c) -> Column:
     """canonical, with the nukta letters recomposed."""
     out = canonical(c)
-    for base, composed in (("ড", "ড়"), ("ঢ", "ঢ়"), ("য", "য়")):
+    for base, composed in (("\u09a1", "\u09dc"), ("\u09a2", "\u09dd"), ("\u09af", "\u09df")):
         out = F.replace(out, F.lit(base + NUKTA), F.lit(composed))
     return out
 
