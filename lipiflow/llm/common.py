@@ -74,7 +74,7 @@ def passes(batch: pa.RecordBatch, column: str = "text", limit: int = PASS_BYTES)
 class Words:
     """The words of a slice of texts: byte spans, the document each belongs to, and fingerprints."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, separator: np.ndarray = _SEPARATOR):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if texts.offset or len(texts.buffers()) < 3 or texts.buffers()[2] is None:
             texts = pa.concat_arrays([texts, pa.array([""], pa.large_string())]).slice(0, len(texts))
@@ -86,7 +86,7 @@ class Words:
         self.data = np.zeros(n + 8, np.uint8)
         self.data[:n] = _LOWER[raw] if lower else raw
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = ~_SEPARATOR[raw]
+        inside[1:-1] = ~separator[raw]
         edge = np.zeros(n + 1, bool)
         edge[self.bounds] = True
         starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
@@ -116,6 +116,15 @@ class Words:
             alive = alive[left[alive] > 0]
         return h
 
+    def prefixes(self, points: int) -> Words:
+        """The words cut to their first code points."""
+        begins = np.flatnonzero((self.data[: self.bounds[-1]] & 0xC0) != 0x80)
+        at = np.searchsorted(begins, self.starts) + points
+        out = object.__new__(Words)
+        limit = np.append(begins, self.bounds[-1])[np.minimum(at, len(begins))]
+        out.data, out.bounds, out.starts, out.ends, out.first, out.n = self.data, self.bounds, self.starts, np.minimum(limit, self.ends), self.first, self.n
+        return out
+
     def kept_text(self, document: int, keep: np.ndarray) -> bytes:
         """The kept words of a document, joined by one space."""
         a, b = self.first[document], self.first[document + 1]

@@ -15,29 +15,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, passes
+from .common import Words, mix, passes
 
 #: Buckets that words are hashed to, words that a model may use, and labelled rows for training.
 BUCKETS, FEATURES, SAMPLE_ROWS = 1 << 20, 256, 20_000
 FOLDS = 5
 #: Categories in the chain's order, as SQL over the labels.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 AND quality = 0"}
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
 
 def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each document its distinct word buckets, sorted, in one array with offsets; words are letters in lower case."""
-    w = Words(pa.array([_PUNCTUATION_TO_SPACE(t.as_py() or "") for t in texts], pa.string()), lower=True)
-    pair = np.unique(w.doc().astype(np.uint64) << np.uint64(32) | (w.hashes() % np.uint64(BUCKETS)))
-    doc = (pair >> np.uint64(32)).astype(np.int64)
-    return (pair & np.uint64(0xFFFFFFFF)).astype(np.int32), np.searchsorted(doc, np.arange(len(texts) + 1))
+    """For each document its distinct buckets, sorted, in one array with offsets.
+
+    There is a bucket for each word, runs of letters and digits in lower case, and for each word beginning of five
+    code points that the document has at least once, twice, four and eight times.
+    """
+    w = Words(texts, lower=True, separator=_NOT_ALPHANUMERIC)
+    doc = w.doc().astype(np.uint64) << np.uint64(32)
+    found = [np.unique(doc | (w.hashes() % np.uint64(BUCKETS)))]
+    begins, times = np.unique(doc | (w.prefixes(5).hashes(seed=5) & np.uint64(0xFFFFFFFF)), return_counts=True)
+    for least in (1, 2, 4, 8):
+        enough = begins[times >= least]
+        found.append((enough & ~np.uint64(0xFFFFFFFF)) | (mix((enough & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(least)) % np.uint64(BUCKETS)))
+    return _split(np.unique(np.concatenate(found)), len(texts))
 
 
-_TABLE = {c: " " for c in range(128) if not chr(c).isalnum()}
+def _split(pair: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    doc = (pair >> np.uint64(32)).astype(np.int64)
+    return (pair & np.uint64(0xFFFFFFFF)).astype(np.int32), np.searchsorted(doc, np.arange(documents + 1))
 
 
-def _PUNCTUATION_TO_SPACE(text: str) -> str:
-    return text.translate(_TABLE)
+_NOT_ALPHANUMERIC = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 @dataclass
