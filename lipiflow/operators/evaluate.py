@@ -77,7 +77,7 @@ def rerank_grid(candidates: DataFrame, model_weights: list[float], offsets: list
 
 def macro_average(evaluated: DataFrame, metrics: tuple[str, ...] = ("top1", "top3", "mrr")) -> DataFrame:
     """The mean over sets of each set's figure; evaluated has a row for each set."""
-    return evaluated.agg(F.count(F.lit(1)).alias("sets"), *(F.round(F.avg(m), 6).alias(m) for m in metrics))
+    return evaluated.agg(F.count(F.lit(1)).alias("sets"), *(F.avg(m).alias(m) for m in metrics))
 
 
 def stride_sample(rows: DataFrame, n: int, order: str) -> DataFrame:

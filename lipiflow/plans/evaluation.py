@@ -53,10 +53,10 @@ def topk_mrr_weighted(spark, d):
 
 
 @query(f"""WITH {RANKS}, s AS (SELECT length(gold) % 4 AS set_id, sum(CASE WHEN rank <= 1 THEN weight ELSE 0 END) * 100.0 / sum(weight) AS top1, sum(CASE WHEN rank <= 3 THEN weight ELSE 0 END) * 100.0 / sum(weight) AS top3, sum(coalesce(weight / rank, 0)) / sum(weight) AS mrr FROM gr GROUP BY 1)
-  SELECT count(*)::BIGINT AS sets, round(avg(round(top1, 6)), 6) AS top1, round(avg(round(top3, 6)), 6) AS top3, round(avg(round(mrr, 6)), 6) AS mrr FROM s""")
+  SELECT count(*)::BIGINT AS sets, round(avg(round(top1, 6)), 4) AS top1, round(avg(round(top3, 6)), 4) AS top3, round(avg(round(mrr, 6)), 4) AS mrr FROM s""")
 def macro_average(spark, d):
     ranks = E.gold_ranks(queries(spark, d), _ranked(spark, d)).withColumn("set_id", F.length("gold") % 4)
-    return E.macro_average(E.word_eval(ranks, by=("set_id",)))
+    return E.macro_average(E.word_eval(ranks, by=("set_id",))).select("sets", *(F.round(m, 4).alias(m) for m in ("top1", "top3", "mrr")))
 
 
 @query("""WITH p AS (SELECT a.p_name AS h, b.p_name AS r FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1) SELECT h, r, CASE WHEN length(r) = 0 THEN (length(h) > 0)::INT ELSE round(levenshtein(h, r) / length(r), 6) END AS cer FROM p""")
