@@ -110,3 +110,27 @@ def coordinate_ascent(score, start: dict[str, float], grid: dict[str, list[float
         if best == before:
             break
     return best, at
+
+
+def context_eval(items: DataFrame, ranked: DataFrame, key, bounds: tuple[int, ...] = (1, 3, 5, 10, 50)) -> DataFrame:
+    """n, within<k> for each bound, absent, and of the misses those whose first choice has the gold's key or is another word.
+
+    items: q, gold; ranked: q, word, rank; key maps a column of words to their phonetic key.
+    """
+    first = ranked.where("rank = 1").select("q", F.col("word").alias("first"))
+    rows = gold_ranks(items, ranked).join(first, "q", "left")
+    missed = F.col("rank").isNull() | (F.col("rank") > 1)
+    same = F.coalesce(key("first") == key("gold"), F.lit(False))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("rank") <= k).alias(f"within{k}") for k in bounds), F.count_if(F.col("rank").isNull()).alias("absent"),
+        F.count_if(missed & same).alias("same_key"), F.count_if(missed & ~same).alias("other_word"),
+    )
+
+
+def seeded_sample(values: list, n: int, seed: int) -> list:
+    """The first n after a shuffle by CPython's generator, for driver-side lists of bounded size."""
+    import random
+
+    out = list(values)
+    random.Random(seed).shuffle(out)
+    return out[:n]

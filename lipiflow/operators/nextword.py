@@ -101,3 +101,21 @@ def guess_pick(share: Column, word: Column, first: Column, typed: Column, least:
 
 def worth_refining(partial: Column, strong: Column) -> Column:
     return partial & ~strong
+
+
+def letter_study(tested: DataFrame, followers: DataFrame, max_letters: int, bars: tuple[float, ...]) -> DataFrame:
+    """letters, bar, positions, shown, right, saved: predicting tested (prev, word) from the first typed letters.
+
+    A guess is shown when its share among the followers that fit is at least the bar; a right one saves the letters left.
+    Guesses are made once for each distinct (prev, letters), then joined to the positions.
+    """
+    typed = tested.select("prev", "word", F.explode(F.sequence(F.lit(1), F.lit(max_letters))).alias("letters")).where(F.col("letters") < F.length("word"))
+    typed = typed.withColumn("roman", F.substring(F.col("word"), F.lit(1), F.col("letters")))
+    guesses = next_completions(typed.select("prev", "roman").distinct(), followers, 1).select("prev", "roman", F.col("word").alias("guess"), "share")
+    grid = typed.sparkSession.createDataFrame([(float(b),) for b in bars], "bar double")
+    rows = typed.join(guesses, ["prev", "roman"], "left").crossJoin(F.broadcast(grid))
+    shown = F.coalesce(F.round("share", 9) >= F.col("bar"), F.lit(False))
+    flagged = rows.select("letters", "bar", shown.alias("shown"), (shown & (F.col("guess") == F.col("word"))).alias("right"), (F.length("word") - F.col("letters")).alias("left"))
+    return flagged.groupBy("letters", "bar").agg(
+        F.count(F.lit(1)).alias("positions"), F.count_if("shown").alias("shown"), F.count_if("right").alias("right"), F.sum(F.when(F.col("right"), F.col("left")).otherwise(0)).alias("saved")
+    )

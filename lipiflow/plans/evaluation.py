@@ -171,3 +171,14 @@ def dense_top_k(spark, d):
 def softmax_scores(spark, d):
     e = table(spark, d, "embeddings").select("label", "vec_id", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("score"))
     return S.log_softmax(e, ["label"]).select("label", "vec_id", F.round("logp", 5).alias("logp"))
+
+
+@query(f"""WITH {CAND}, rk AS (SELECT q, word, row_number() OVER (PARTITION BY q ORDER BY score DESC, word) AS rank FROM (SELECT q, word, round({SCORE_SQL}, 6) AS score FROM cand)),
+  {sql_key('coarse', 'words', out='ka')}, x AS (SELECT qs.q, g.rank, kf1.key = kg.key AS same FROM qs LEFT JOIN (SELECT * FROM rk WHERE rank <= 50) g ON g.q = qs.q AND g.word = qs.gold LEFT JOIN (SELECT q, word FROM rk WHERE rank = 1) f ON f.q = qs.q
+    LEFT JOIN ka kf1 ON kf1.word = f.word LEFT JOIN ka kg ON kg.word = qs.gold)
+  SELECT count(*)::BIGINT AS n, {', '.join(f'count(*) FILTER (rank <= {k})::BIGINT AS within{k}' for k in (1, 3, 5, 10, 50))}, count(*) FILTER (rank IS NULL)::BIGINT AS absent,
+  count(*) FILTER ((rank IS NULL OR rank > 1) AND coalesce(same, false))::BIGINT AS same_key, count(*) FILTER ((rank IS NULL OR rank > 1) AND NOT coalesce(same, false))::BIGINT AS other_word FROM x""")
+def context_eval(spark, d):
+    from ..functions.keys import key_from_roman
+
+    return E.context_eval(queries(spark, d), _ranked(spark, d, 50), key_from_roman)

@@ -98,3 +98,16 @@ def list_arrangement(spark, d):
         row = one.select("id", F.array_join(N.arranged(F.col("base"), F.col("guess"), F.col("typed"), k), "|").alias("shown"), F.array_join(N.merged(base, F.col("predicted"), start, n, most), "|").alias("with_predicted"))
         out = row if out is None else out.union(row)
     return out
+
+
+@query(f"""WITH {PAIRS}, {RANKED}, te AS (SELECT prev, word FROM seq WHERE prev IS NOT NULL AND kept IS NOT NULL), ty AS (SELECT prev, word, i AS letters, left(word, i) AS roman FROM te, (SELECT unnest([1, 2, 3]) AS i) WHERE i < length(word)),
+  tr AS (SELECT DISTINCT roman AS word FROM ty), {sql_key('coarse', 'fol', out='kw')}, {sql_key('coarse', 'tr', out='kt')}, dt AS (SELECT DISTINCT prev, roman FROM ty),
+  fit AS (SELECT dt.prev, roman, rf.word, rf.cnt FROM dt JOIN kt ON dt.roman = kt.word JOIN rf ON rf.prev = dt.prev JOIN kw ON kw.word = rf.word WHERE kt.key <> '' AND starts_with(kw.key, kt.key)),
+  g AS (SELECT prev, roman, word AS guess, share FROM (SELECT *, cnt / sum(cnt) OVER (PARTITION BY prev, roman) AS share, row_number() OVER (PARTITION BY prev, roman ORDER BY cnt DESC, word) AS place FROM fit) WHERE place = 1),
+  x AS (SELECT letters, bar, coalesce(round(share, 9) >= bar, false) AS shown, coalesce(round(share, 9) >= bar AND guess = ty.word, false) AS ok, length(ty.word) - letters AS l FROM ty LEFT JOIN g ON g.prev = ty.prev AND g.roman = ty.roman, (SELECT unnest([0.2, 0.5])::DOUBLE AS bar))
+  SELECT letters::BIGINT AS letters, bar, count(*)::BIGINT AS positions, count(*) FILTER (shown)::BIGINT AS shown, count(*) FILTER (ok)::BIGINT AS "right", coalesce(sum(l) FILTER (ok), 0)::BIGINT AS saved FROM x GROUP BY letters, bar""")
+def first_letter_study(spark, d):
+    s = sentences(spark, d)
+    tested = L.with_previous(s, s.groupBy("word").count().where("count >= 2")).where("prev IS NOT NULL AND kept IS NOT NULL").select("prev", "word")
+    f, _ = _followers(spark, d)
+    return N.letter_study(tested, f, 3, (0.2, 0.5)).select(F.col("letters").cast("bigint").alias("letters"), "bar", "positions", "shown", "right", "saved")
