@@ -40,11 +40,14 @@ class Remembered(dict):
     def __missing__(self, key):
         if (value := self.old.get(key)) is None:
             value = self.f(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 class ByteBpe:

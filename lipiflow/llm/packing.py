@@ -10,20 +10,25 @@ steps of one tier and an equal number of tokens. Every task packs the documents
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import Remembered
+from .bpe import Remembered, byte_alphabet
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step group, and tokens packed at a time (they bound a task's memory).
 STEP_TOKENS, BUFFER_TOKENS = 65_536, 3_000_000
 END_ID = 2
+#: Small letters of ASCII and Latin-1, which no normalisation changes.
+_LATIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
@@ -118,7 +123,8 @@ class WordIds:
     """Token ids as little-endian uint32 bytes, word by word.
 
     The vocabulary's normaliser turns white space into one space and its pattern crosses none, so that the ids
-    of a text are those of its parts between spaces and newlines; parts met lately are not encoded again.
+    of a text are those of its parts between spaces and newlines; parts met lately are not encoded again. A word of
+    small Latin letters is one piece for the pattern: it goes to the vocabulary's model at once.
     """
 
     def __init__(self, path: str):
@@ -128,20 +134,28 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = Remembered(self._one, 500_000)
+        self.merge = self.tokenizer.model.tokenize
+        self.alphabet = byte_alphabet()
+        self.words = Remembered(self._one, 300_000)
 
     def _one(self, word: str) -> bytes:
-        if word.isascii() and "<|" not in word:
+        if _LATIN(word):
+            spelt = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
+            return np.array([t.id for t in self.merge(spelt)], "<u4").tobytes()
+        if "<|" not in word:
             # as the normaliser and the pattern have it: in lower case, a run of letters apart from punctuation
-            low = word.lower()
-            letters = low.rstrip(PUNCTUATION)
-            if low != word:
+            letters = word.rstrip(PUNCTUATION)
+            if letters != word and letters.isascii() and letters.isalpha():
+                return self.words[letters] + self.words[word[len(letters) :]]
+            if word.isascii() and (low := word.lower()) != word:
                 return self.words[low]
-            if letters != low and letters.isalpha():
-                return self.words[letters] + self.words[low[len(letters) :]]
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        low = text.lower()
+        # in lower case where that is sure to be what the normaliser makes of it: no special token, no mark to be composed
+        if "<|" not in text and (text.isascii() or ("Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))):
+            text = low
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 

@@ -181,7 +181,7 @@ def test_packing_ids_equal_the_library(spark, sf_dir):
 
     library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
     rng = random.Random(9)
-    pool = "ab CD  \n\t'sll've 12é́ßΣς漢İ  🙂.,<|endoftext|>"
+    pool = "abJHjhtT\u030c\u0331 CD  \n\t'sll've 12é́ßΣς漢İ  🙂.,<|endoftext|>"
     texts = ODD + texts_of(spark, sf_dir)[1][:80] + ["".join(rng.choice(pool) for _ in range(40)) for _ in range(300)] + ["a<|endoftext|>b ΑΣ ς"]
     ids: dict[int, dict[int, list[int]]] = {}
     rows = packing.packed_sequences(frame(spark, texts), tokenizer("word_bpe_49k.json"), with_ids=True, buffer_tokens=20_000).collect()
