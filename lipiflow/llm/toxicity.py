@@ -88,9 +88,8 @@ def fit_linear(words, offsets, before, y, features: int = FEATURES, ridge: float
     n, positives = len(y), y.sum()
     if n == 0 or positives in (0, n):
         return Linear(np.zeros(0, np.int32), np.zeros(0), np.zeros(before.shape[1]), -20.0 if not positives else 20.0)
-    doc = np.repeat(np.arange(n), np.diff(offsets))
     seen = np.bincount(words, minlength=BUCKETS).astype(float)
-    seen_positive = np.bincount(words, y[doc], BUCKETS)
+    seen_positive = np.bincount(words[np.repeat(y > 0, np.diff(offsets))], minlength=BUCKETS).astype(float)
     candidates = np.flatnonzero(seen >= 5)
     a, b = seen_positive[candidates], seen[candidates]
     rate, inside = positives / n, np.clip(a / b, 1e-6, 1 - 1e-6)
@@ -100,9 +99,11 @@ def fit_linear(words, offsets, before, y, features: int = FEATURES, ridge: float
     chosen = np.sort(chosen[deviance[np.searchsorted(candidates, chosen)] > 30.0]).astype(np.int32)
     x = np.zeros((n, len(chosen) + before.shape[1] + 1))
     if len(chosen):
-        at = np.minimum(np.searchsorted(chosen, words), len(chosen) - 1)
-        hit = chosen[at] == words
-        x[doc[hit], at[hit]] = 1
+        column = np.full(BUCKETS, -1, np.int32)
+        column[chosen] = np.arange(len(chosen))
+        at = column[words]
+        hit = at >= 0
+        x[np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))[hit], at[hit]] = 1
     x[:, len(chosen) : -1] = before
     x[:, -1] = 1
     penalty = np.full(x.shape[1], ridge)
