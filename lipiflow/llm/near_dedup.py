@@ -2,9 +2,11 @@
 
 A text's k-mers are its runs of five words, labelled by occurrence. Each sketch takes the two labelled k-mers that
 hash lowest and keeps them in text order, so that a collision is likely only for texts with a small edit
-distance. Texts that share a sketch are candidates: each meets the bucket's first text and its neighbour in an
-order by the next sketch, so that a bucket of n gives at most 2n pairs, however large it is. A banded
-alignment of the words verifies them; verified pairs are joined to classes by alternating star contractions.
+distance. Texts that share a sketch are candidates. Each first meets the bucket's first text and its neighbour in an
+order by the next sketch: two pairs a text, which join most copies. A banded alignment of the words verifies
+them; verified pairs are joined to classes by alternating star contractions. Then all pairs of a bucket whose
+texts are still in different classes are met in blocks, and those verified that word counts do not rule out; so
+the classes are those that verifying every pair of every bucket would give.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import _C1, Words, mix, passes, signed, stored, window_hashes
 
 KMER, SKETCHES, SIMILARITY = 5, 20, 0.8
+#: Texts of a bucket that one block holds against as many others, and counters of a text's words.
+BLOCK, BINS = 1024, 256
 
 
 def omh_sketches(w: Words, sketches: int = SKETCHES, k: int = KMER) -> np.ndarray:
@@ -125,20 +129,103 @@ def _lag_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(before, node)[same]), pa.array(np.maximum(before, node)[same])], names=["a", "b"])
 
 
-def candidate_pairs(sketched: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of nodes; sketched has node and sketches (array of long)."""
-    n = max(int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+def bucket_members(sketched: DataFrame) -> DataFrame:
+    """node, key, next, rep, size: the texts of each bucket of two or more; sketched has node and sketches (array of long)."""
     size = F.size("sketches")
     rows = sketched.select("node", F.posexplode("sketches").alias("i", "key"), "sketches").select(
         "node", "key", F.element_at("sketches", F.when(F.col("i") + 2 > size, 1).otherwise(F.col("i") + 2)).alias("next")
     )
-    buckets = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).where("size > 1").drop("size"), "omh-buckets")
-    members = stored(rows.join(buckets, "key"), "omh-members")
+    buckets = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).where("size > 1"), "omh-buckets")
+    return stored(rows.join(buckets, "key"), "omh-members")
+
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of nodes: each text of a bucket with the first one and with its neighbour."""
+    n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     star = members.where(F.col("node") != F.col("rep")).select(F.col("rep").alias("a"), F.col("node").alias("b"))
     ordered = members.select("key", "next", "node").repartitionByRange(n, "key", "next", "node").sortWithinPartitions("key", "next", "node")
     return star.union(ordered.mapInArrow(_lag_pairs, "a long, b long")).distinct()
 
 
+def word_shapes(w: Words) -> np.ndarray:
+    """(documents, BINS) counts of words by hash, 255 at most: an edit changes one counter by one, or two if it replaces."""
+    docs = len(w.first) - 1
+    cell = w.doc() * BINS + (w.hashes(seed=2) % np.uint64(BINS)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=docs * BINS), 255).astype(np.uint8).reshape(docs, BINS)
+
+
+def _unlike(node: np.ndarray, label: np.ndarray, words: np.ndarray, shape: np.ndarray, late: np.ndarray, across: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a block that are in different classes and may be similar enough by their word counts."""
+    left, right = (np.flatnonzero(~late), np.flatnonzero(late)) if across else (np.arange(len(node)),) * 2
+    ends_a, ends_b = [], []
+    step = max(65536 // max(len(right), 1), 1)
+    for at in range(0, len(left), step):
+        x = left[at : at + step]
+        longer = np.maximum(words[x][:, None], words[right][None])
+        apart = np.abs(words[x][:, None] - words[right][None])
+        most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+        may = (label[x][:, None] != label[right][None]) & (apart <= most)
+        if not across:
+            may &= node[x][:, None] < node[right][None]
+        i, j = np.nonzero(may)
+        for cut in range(0, len(i), 4096):
+            p, q = i[cut : cut + 4096], j[cut : cut + 4096]
+            a, b = shape[x[p]], shape[right[q]]
+            differ = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+            good = differ + apart[p, q] <= 2 * most[p, q]
+            a, b = node[x[p[good]]], node[right[q[good]]]
+            ends_a.append(np.minimum(a, b))
+            ends_b.append(np.maximum(a, b))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *ends_a]), np.concatenate([none, *ends_b])
+
+
+def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs a < b that share a bucket, are in different classes, and whose word counts allow the similarity.
+
+    nodes has node, words and shape. A bucket's texts are dealt to blocks of about BLOCK; each two blocks meet in a
+    group of their own, so that no task holds more of a bucket, however large it is.
+    """
+    n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    known = stored(members.where("size > 2").select("node", "key", "size").join(labels, "node", "left").select("node", "key", "size", F.coalesce("label", "node").alias("label")), "omh-known")
+    # stored, so that the join exchanges both sides anew and a bucket with very many texts can be split
+    split = stored(known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "omh-open")
+    open_ = stored(known.join(split, "key"), "omh-unlike")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = open_.join(nodes.select("node", "words", "shape"), "node").withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(node, 8), blocks) AS int)"))
+    met = dealt.select("key", "node", "label", "words", "shape", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "words", "shape")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        names = ["key", "i", "j", "own", "node", "label", "words"]
+
+        def pairs(c: dict, shape: np.ndarray, a: int, b: int):
+            if c["label"][a:b].min() == c["label"][a:b].max():
+                return None
+            x, y = _unlike(c["node"][a:b], c["label"][a:b], c["words"][a:b], shape[a:b], c["own"][a:b] != c["i"][a:b], c["i"][a] != c["j"][a], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"]) if len(x) else None
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = {x: b.column(x).to_numpy() for x in names}
+            shape = np.frombuffer(b"".join(b.column("shape").to_pylist()), np.uint8).reshape(-1, BINS)
+            if held:
+                c, shape = {x: np.concatenate([held[0][x], c[x]]) for x in names}, np.concatenate([held[1], shape])
+            new = (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])
+            cuts = [0, *(np.flatnonzero(new) + 1)]
+            for s, e in zip(cuts, cuts[1:]):
+                if (out := pairs(c, shape, s, e)) is not None:
+                    yield out
+            held = {x: c[x][cuts[-1] :] for x in names}, shape[cuts[-1] :]
+        if held and (out := pairs(*held, 0, len(held[1]))) is not None:
+            yield out
+
+    grouped = met.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return grouped.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified_links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose word sequences have an edit similarity, 1 - distance / longer length, of at least `similarity`."""
 
@@ -191,7 +278,8 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, sketches: int =
 
     Texts with the same words in the same order are one node, linked to another if the edit similarity of their
     words is at least `similarity` and they were candidates; classes are connected components. class_id is the
-    least doc_id of the class, and that document is kept; n_links counts the verified links of the row's text.
+    least doc_id of the class, and that document is kept; n_links counts the verified links of the row's text, which
+    are not all its near copies: texts that others have joined to a class already are not held against each other.
     Null and empty texts are equal to each other. Rows with a null doc_id are kept and in no class (class_id is
     null, n_links 0); rows that repeat a doc_id are one document. Other columns are ignored.
     """
@@ -209,12 +297,17 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, sketches: int =
                 f1, f2 = (t[w.first[1:]] - t[w.first[:-1]] for t in (total, again))
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, sketches, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.ascontiguousarray(found[sizes > 0]).ravel())))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(signed(f1)), pa.array(signed(f2)), lists], names=["doc_id", "f1", "f2", "sketches"])
+                shape = pa.array([x.tobytes() for x in word_shapes(w)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(signed(f1)), pa.array(signed(f2)), lists, pa.array(sizes.astype(np.int64)), shape], names=["doc_id", "f1", "f2", "sketches", "words", "shape"])
 
-    base = stored(docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, f1 long, f2 long, sketches array<long>"), "omh-sketches")
-    nodes = stored(base.where("doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.any_value("sketches").alias("sketches")), "omh-nodes")
-    pairs = stored(candidate_pairs(nodes), "omh-pairs")
-    links = stored(verified_links(pairs, docs.select(F.col("doc_id").alias("node"), "text"), similarity), "omh-links")
+    base = stored(docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, f1 long, f2 long, sketches array<long>, words long, shape binary"), "omh-sketches")
+    same = [F.any_value(c).alias(c) for c in ("sketches", "words", "shape")]
+    nodes = stored(base.where("doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), *same), "omh-nodes")
+    members, texts = bucket_members(nodes), docs.select(F.col("doc_id").alias("node"), "text")
+    pairs = stored(first_pairs(members), "omh-pairs")
+    links = stored(verified_links(pairs, texts, similarity), "omh-links")
+    rest = remaining_pairs(members, components(links), nodes, similarity).join(pairs.hint("merge"), ["a", "b"], "left_anti")
+    links = links.union(stored(verified_links(stored(rest, "omh-rest"), texts, similarity), "omh-links"))
     labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = stored(

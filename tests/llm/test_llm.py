@@ -367,6 +367,39 @@ def test_near_dedup_classes(spark):
     assert near_dedup(frame(spark, texts[:3]).limit(0)).count() == 0
 
 
+def test_near_copies_in_a_bucket_of_unlike_texts(spark):
+    """Texts share a passage, and pairs of them every other word of the rest: only the passage's buckets hold such a pair."""
+    from lipiflow.llm.near_dedup import near_dedup
+
+    passage, pairs = [f"p{i}" for i in range(60)], 60
+    own = lambda g, copy: [f"o{g}x{i}" if i % 2 else f"c{copy}g{g}x{i}" for i in range(20)]
+    texts = [" ".join(passage + own(i % pairs, i // pairs)) for i in range(2 * pairs)]
+    rows = near_dedup(frame(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: i % pairs for i in range(2 * pairs)}
+    assert all(r.n_links == 1 for r in rows)
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_remaining_pairs_are_brute_force(spark, monkeypatch, block):
+    from lipiflow.llm import near_dedup as nd
+
+    monkeypatch.setattr(nd, "BLOCK", block)
+    rng = random.Random(5)
+    bases = [[rng.choice("abcdef") for _ in range(rng.randint(8, 14))] for _ in range(12)]
+    texts = [" ".join(rng.choice("abcdef") if rng.random() < 0.15 else x for x in bases[i % 12]) for i in range(60)]
+    w = nd.Words(pa.array(texts))
+    shapes, sizes = nd.word_shapes(w), np.diff(w.first)
+    nodes = spark.createDataFrame([(i, int(sizes[i]), shapes[i].tobytes()) for i in range(60)], "node long, words long, shape binary")
+    keys = {k: [i for i in range(60) if rng.random() < 0.5] for k in range(3)}
+    members = spark.createDataFrame([(i, k, len(v)) for k, v in keys.items() for i in v], "node long, key long, size long")
+    label = {i: rng.randint(0, 1) * 30 for i in range(40)}
+    labels = spark.createDataFrame(list(label.items()), "node long, label long")
+    got = {(r.a, r.b) for r in nd.remaining_pairs(members, labels, nodes).collect()}
+    met = {(a, b) for v in keys.values() for a in v for b in v if a < b and label.get(a, a) != label.get(b, b)}
+    near = {(a, b) for a, b in met if edit_distance(texts[a].split(), texts[b].split()) <= int(0.2 * max(sizes[a], sizes[b]) + 1e-9)}
+    assert near and near <= got <= met
+
+
 def test_components_of_chains_and_stars(spark):
     from lipiflow.llm.near_dedup import components
 
