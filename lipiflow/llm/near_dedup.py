@@ -1,8 +1,9 @@
 """Near-duplicate classes by Order MinHash.
 
-A text's k-mers are its runs of five words, labelled by occurrence. Each sketch takes the two labelled k-mers that
+A text's k-mers are its runs of two words, labelled by occurrence. Each sketch takes the two labelled k-mers that
 hash lowest and keeps them in text order, so that a collision is likely only for texts with a small edit
-distance. Texts that share a sketch are candidates. Each first meets the bucket's first text and its neighbour in an
+distance. Pairs of fewer than 20 words are found without chance instead, by triples of the words that come first in
+one order of all words (prefix filter). Texts that share a sketch are candidates. Each first meets the bucket's first text and its neighbour in an
 order by the next sketch: two pairs a text, which join most copies. A banded alignment of the words verifies
 them; verified pairs are joined to classes by alternating star contractions. Then all pairs of a bucket whose
 texts are still in different classes are met in blocks, and those verified that word counts do not rule out; so
@@ -12,6 +13,7 @@ the classes are those that verifying every pair of every bucket would give.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,38 +21,38 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import _C1, Words, mix, passes, signed, stored, window_hashes
 
-KMER, SKETCHES, SIMILARITY = 5, 20, 0.8
+KMER, SKETCHES, SIMILARITY = 2, 20, 0.8
+#: Pairs whose longer text has fewer words than this are found by triples.
+SHORT = 20
 #: Texts of a bucket that one block holds against as many others, and counters of a text's words.
 BLOCK, BINS = 1024, 256
 
 
-def omh_sketches(w: Words, sketches: int = SKETCHES, k: int = KMER) -> np.ndarray:
-    """(documents, sketches) fingerprints; documents of fewer than k words have one k-mer, all they have.
+def occurrences(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which occurrence of its value in its document each one is, from 0."""
+    order = np.lexsort((value, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (value[order][1:] != value[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    runs = np.flatnonzero(new)
+    nth = np.empty(len(order), np.uint64)
+    nth[order] = np.arange(len(order)) - np.repeat(runs, np.diff(np.append(runs, len(order))))
+    return nth
+
 
-    The rows of documents without words are zero.
+def omh_sketches(w: Words, sketches: int = SKETCHES, k: int = KMER) -> np.ndarray:
+    """(documents, sketches) fingerprints; the rows of documents of fewer than k words are zero.
     """
-    sizes = np.diff(w.first)
-    out = np.zeros((len(sizes), sketches), np.uint64)
+    out = np.zeros((len(w.first) - 1, sketches), np.uint64)
     h, doc = w.hashes(), w.doc()
     if not len(h):
         return out
     # k-mers that lie in one document
     kmers = window_hashes(h, k)
     whole = np.flatnonzero(doc[: len(kmers)] == doc[k - 1 : k - 1 + len(kmers)]) if len(kmers) else np.zeros(0, np.int64)
-    kmer, kdoc, place = kmers[whole], doc[whole], whole
-    short = np.flatnonzero((sizes > 0) & (sizes < k))
-    if len(short):
-        extra = np.array([mix(np.array([np.bitwise_xor.reduce(mix(h[w.first[d] : w.first[d + 1]] + np.arange(sizes[d], dtype=np.uint64)))], np.uint64))[0] for d in short], np.uint64)
-        kmer, kdoc, place = np.concatenate([kmer, extra]), np.concatenate([kdoc, short]), np.concatenate([place, w.first[short]])
-        order = np.argsort(kdoc, kind="stable")
-        kmer, kdoc, place = kmer[order], kdoc[order], place[order]
-    # which occurrence of its k-mer in its document each one is
-    order = np.lexsort((kmer, kdoc))
-    new = np.ones(len(order), bool)
-    new[1:] = (kmer[order][1:] != kmer[order][:-1]) | (kdoc[order][1:] != kdoc[order][:-1])
-    runs = np.flatnonzero(new)
-    nth = np.empty(len(order), np.uint64)
-    nth[order] = np.arange(len(order)) - np.repeat(runs, np.diff(np.append(runs, len(order))))
+    kmer, kdoc = kmers[whole], doc[whole]
+    if not len(kmer):
+        return out
+    nth = occurrences(kmer, kdoc)
     label = mix(kmer + nth * np.uint64(0xD1B54A32D192ED03))
     starts = np.flatnonzero(np.append(True, kdoc[1:] != kdoc[:-1]))
     docs, counts = kdoc[starts], np.diff(np.append(starts, len(kdoc)))
@@ -70,6 +72,38 @@ def omh_sketches(w: Words, sketches: int = SKETCHES, k: int = KMER) -> np.ndarra
     return out
 
 
+def short_triples(w: Words, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(document, fingerprint) of what texts of 3 to SHORT - 1 words share with every text so similar that has fewer than SHORT.
+
+    At most d = (1 - similarity) * n edits leave two texts, n words the longer one, n - d labelled words in common. Of
+    texts with that many in common, the first d + 3 in any order of all labelled words share three. This holds where
+    n - d is 3 or more unless d is 0: for similarities of 0.75 and more.
+    """
+    sizes = np.diff(w.first)
+    label = mix(w.hashes() + occurrences(w.hashes(), w.doc()) * np.uint64(0xD1B54A32D192ED03)) if w.n else np.zeros(0, np.uint64)
+    docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n in range(3, SHORT):
+        at = np.flatnonzero(sizes == n)
+        if not len(at):
+            continue
+        first = np.sort(label[w.first[at][:, None] + np.arange(n)], axis=1)[:, : int((1 - similarity) * n + 1e-9) + 3]
+        for i, j, k in combinations(range(first.shape[1]), 3):
+            docs.append(at)
+            keys.append(mix(mix(mix(first[:, i] + _C1) * _C1 + first[:, j]) * _C1 + first[:, k]))
+    return np.concatenate(docs), np.concatenate(keys)
+
+
+def text_sketches(w: Words, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of the sketches of each document: triples of short ones, Order MinHash of those that may resemble longer ones."""
+    sizes = np.diff(w.first)
+    docs, keys = short_triples(w, similarity)
+    long = np.flatnonzero(sizes >= SHORT - int((1 - similarity) * SHORT + 1e-9))
+    docs = np.concatenate([docs, np.repeat(long, sketches)])
+    keys = np.concatenate([keys, omh_sketches(w, sketches)[long].ravel()])
+    order = np.argsort(docs, kind="stable")
+    return np.append(0, np.cumsum(np.bincount(docs, minlength=len(sizes)))).astype(np.int32), keys[order]
+
+
 def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """The edit distance of two sequences if it is at most `most`; only diagonals that near are walked."""
     n = min(len(a), len(b))
@@ -288,15 +322,14 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, sketches: int =
         for batch in batches:
             for part in passes(batch):
                 w = Words(part.column("text"))
-                found, sizes = omh_sketches(w, sketches), np.diff(w.first)
+                (offsets, found), sizes = text_sketches(w, sketches, similarity), np.diff(w.first)
                 h = w.hashes(seed=1)
                 at = np.arange(w.n) - np.repeat(w.first[:-1], sizes)
                 spread = mix(h + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 total = np.concatenate([[np.uint64(0)], np.cumsum(spread, dtype=np.uint64)])
                 again = np.concatenate([[np.uint64(0)], np.cumsum(mix(spread ^ np.uint64(0xABCDEF)), dtype=np.uint64)])
                 f1, f2 = (t[w.first[1:]] - t[w.first[:-1]] for t in (total, again))
-                offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, sketches, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.ascontiguousarray(found[sizes > 0]).ravel())))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(found)))
                 shape = pa.array([x.tobytes() for x in word_shapes(w)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(signed(f1)), pa.array(signed(f2)), lists, pa.array(sizes.astype(np.int64)), shape], names=["doc_id", "f1", "f2", "sketches", "words", "shape"])
 

@@ -379,6 +379,24 @@ def test_near_copies_in_a_bucket_of_unlike_texts(spark):
     assert all(r.n_links == 1 for r in rows)
 
 
+def test_sketches_find_pairs_near_the_threshold():
+    """Of all pairs at 0.8 or more by brute force, every short one and nine of ten long ones share a sketch."""
+    from lipiflow.llm.near_dedup import text_sketches
+
+    rng, texts = random.Random(3), []
+    for n in [4, 5, 6, 9, 10, 14, 15, 19, 20, 25, 40, 100, 200] * 12:
+        base, d = [f"w{rng.randint(0, 3000)}" for _ in range(n)], n // 5
+        places = [range(4, n, 5), rng.sample(range(n), d)]
+        texts += [base] + [[f"z{rng.randint(0, 3000)}" if i in p else x for i, x in enumerate(base)] for p in places]
+        texts.append([x for i, x in enumerate(base) if i not in places[1]])
+    offsets, found = text_sketches(Words(pa.array([" ".join(x) for x in texts])))
+    own = [set(found[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
+    near = [(a, b, max(len(texts[a]), len(texts[b]))) for a in range(len(texts)) for b in range(a) if set(texts[a]) & set(texts[b]) and edit_distance(texts[a], texts[b]) <= int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9)]
+    short, long = ([bool(own[a] & own[b]) for a, b, n in near if (n < 20) == s] for s in (True, False))
+    assert len(short) > 200 and all(short)
+    assert len(long) > 150 and sum(long) >= 0.9 * len(long)
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_remaining_pairs_are_brute_force(spark, monkeypatch, block):
     from lipiflow.llm import near_dedup as nd
