@@ -1,13 +1,14 @@
 """Near-duplicate classes by Order MinHash.
 
-A text's k-mers are its runs of two words, labelled by occurrence. Each sketch takes the two labelled k-mers that
-hash lowest and keeps them in text order, so that a collision is likely only for texts with a small edit
-distance. Pairs of fewer than 20 words are found without chance instead, by triples of the words that come first in
-one order of all words (prefix filter). Texts that share a sketch are candidates. Each first meets the bucket's first text and its neighbour in an
-order by the next sketch: two pairs a text, which join most copies. A banded alignment of the words verifies
-them; verified pairs are joined to classes by alternating star contractions. Then all pairs of a bucket whose
-texts are still in different classes are met in blocks, and those verified that word counts do not rule out; so
-the classes are those that verifying every pair of every bucket would give.
+A text's k-mers are its runs of five words (of three in texts of fewer than 256 words), labelled by occurrence.
+Each of 64 sketches (32) takes the two labelled k-mers that hash lowest and keeps them in text order, so that a
+collision is likely only for texts with a small edit distance. Pairs of fewer than 20 words are found without
+chance instead, by triples of the words that come first in one order of all words (prefix filter). Texts that share
+a sketch are candidates. Each first meets the bucket's first text: one pair a text, which joins most copies. Word
+counts rule out most unlike pairs, a banded alignment of the words verifies the others;
+verified pairs are joined to classes by alternating star contractions. Then all pairs of a bucket whose texts are
+still in different classes and near enough in length are met in blocks, and those verified that word counts do not
+rule out; so the classes are those that verifying every pair of every bucket would give.
 """
 
 from __future__ import annotations
@@ -17,11 +18,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import _C1, Words, mix, passes, signed, stored, window_hashes
 
-KMER, SKETCHES, SIMILARITY = 2, 20, 0.8
+SIMILARITY = 0.8
+#: Words of a k-mer and sketches of texts from LONG words on, and of shorter ones, few of whose longer runs survive edits.
+KMER, SKETCHES = 5, 64
+LONG, SHORTER_KMER, FEWER_SKETCHES = 256, 3, 32
 #: Pairs whose longer text has fewer words than this are found by triples.
 SHORT = 20
 #: Texts of a bucket that one block holds against as many others, and counters of a text's words.
@@ -30,76 +35,84 @@ BLOCK, BINS = 1024, 256
 
 def occurrences(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which occurrence of its value in its document each one is, from 0."""
-    order = np.lexsort((value, doc))
+    own = mix(value + doc.astype(np.uint64) * _C1)
+    order = np.argsort(own, kind="stable")
     new = np.ones(len(order), bool)
-    new[1:] = (value[order][1:] != value[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    new[1:] = own[order][1:] != own[order][:-1]
     runs = np.flatnonzero(new)
     nth = np.empty(len(order), np.uint64)
     nth[order] = np.arange(len(order)) - np.repeat(runs, np.diff(np.append(runs, len(order))))
     return nth
 
 
-def omh_sketches(w: Words, sketches: int = SKETCHES, k: int = KMER) -> np.ndarray:
-    """(documents, sketches) fingerprints; the rows of documents of fewer than k words are zero.
-    """
-    out = np.zeros((len(w.first) - 1, sketches), np.uint64)
-    h, doc = w.hashes(), w.doc()
-    if not len(h):
-        return out
-    # k-mers that lie in one document
+def omh_sketches(h: np.ndarray, first: np.ndarray, which: np.ndarray, k: int, sketches: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, fingerprints by document and sketch) of the documents of a mask that have k words; h are all words' hashes."""
+    sizes = np.diff(first)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
     kmers = window_hashes(h, k)
-    whole = np.flatnonzero(doc[: len(kmers)] == doc[k - 1 : k - 1 + len(kmers)]) if len(kmers) else np.zeros(0, np.int64)
+    whole = np.flatnonzero((doc[: len(kmers)] == doc[k - 1 : k - 1 + len(kmers)]) & which[doc[: len(kmers)]]) if len(kmers) else np.zeros(0, np.int64)
     kmer, kdoc = kmers[whole], doc[whole]
     if not len(kmer):
-        return out
+        return np.zeros(0, np.int64), np.zeros((0, sketches), np.uint64)
     nth = occurrences(kmer, kdoc)
     label = mix(kmer + nth * np.uint64(0xD1B54A32D192ED03))
     starts = np.flatnonzero(np.append(True, kdoc[1:] != kdoc[:-1]))
-    docs, counts = kdoc[starts], np.diff(np.append(starts, len(kdoc)))
+    docs, single = kdoc[starts], np.diff(np.append(starts, len(kdoc))) == 1
     seeds = mix(np.arange(1, 2 * sketches + 1, dtype=np.uint64))
-    biggest = np.uint64(0xFFFFFFFFFFFFFFFF)
-    single = counts == 1
+    # half of a value is the k-mer's hash, the other its place: a least value names the k-mer that it belongs to
+    place, low_half = np.arange(len(label), dtype=np.uint64), np.uint64(0xFFFFFFFF)
+    v, out = np.empty(len(label), np.uint64), np.empty((len(docs), sketches), np.uint64)
     for i in range(sketches):
-        v = (label ^ seeds[2 * i]) * (seeds[2 * i + 1] | np.uint64(1))
-        first = np.flatnonzero(v == np.repeat(np.minimum.reduceat(v, starts), counts))
-        v[first] = biggest
-        low = np.minimum.reduceat(v, starts)
-        second = first.copy()
-        hit = np.flatnonzero((v == np.repeat(low, counts)) & ~np.repeat(single, counts))
-        second[~single] = hit[np.append(True, kdoc[hit][1:] != kdoc[hit][:-1])] if len(hit) else second[~single]
-        a, b = np.minimum(first, second), np.maximum(first, second)  # in text order
-        out[docs, i] = mix(mix(label[a] + np.uint64(i)) * _C1 + label[b])
-    return out
-
-
-def short_triples(w: Words, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+        np.bitwise_xor(label, seeds[2 * i], out=v)
+        np.multiply(v, seeds[2 * i + 1] | np.uint64(1), out=v)
+        np.bitwise_and(v, ~low_half, out=v)
+        np.bitwise_or(v, place, out=v)
+        first = (np.minimum.reduceat(v, starts) & low_half).astype(np.int64)
+        v[first] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        second = np.where(single, first, (np.minimum.reduceat(v, starts) & low_half).astype(np.int64))
+        a, b = label[np.minimum(first, second)], label[np.maximum(first, second)]  # in text order
+        out[:, i] = mix(mix(a + np.uint64(1000 * k + i)) * _C1 + b)
+    return docs, out
+
+
+def short_triples(h: np.ndarray, first: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """(document, fingerprint) of what texts of 3 to SHORT - 1 words share with every text so similar that has fewer than SHORT.
 
     At most d = (1 - similarity) * n edits leave two texts, n words the longer one, n - d labelled words in common. Of
     texts with that many in common, the first d + 3 in any order of all labelled words share three. This holds where
     n - d is 3 or more unless d is 0: for similarities of 0.75 and more.
     """
-    sizes = np.diff(w.first)
-    label = mix(w.hashes() + occurrences(w.hashes(), w.doc()) * np.uint64(0xD1B54A32D192ED03)) if w.n else np.zeros(0, np.uint64)
+    sizes = np.diff(first)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    some = np.flatnonzero(sizes[doc] < SHORT)
+    label = np.zeros(len(h), np.uint64)
+    label[some] = mix(h[some] + occurrences(h[some], doc[some]) * np.uint64(0xD1B54A32D192ED03))
     docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for n in range(3, SHORT):
         at = np.flatnonzero(sizes == n)
         if not len(at):
             continue
-        first = np.sort(label[w.first[at][:, None] + np.arange(n)], axis=1)[:, : int((1 - similarity) * n + 1e-9) + 3]
-        for i, j, k in combinations(range(first.shape[1]), 3):
+        least = np.sort(label[first[at][:, None] + np.arange(n)], axis=1)[:, : int((1 - similarity) * n + 1e-9) + 3]
+        for i, j, k in combinations(range(least.shape[1]), 3):
             docs.append(at)
-            keys.append(mix(mix(mix(first[:, i] + _C1) * _C1 + first[:, j]) * _C1 + first[:, k]))
+            keys.append(mix(mix(mix(least[:, i] + _C1) * _C1 + least[:, j]) * _C1 + least[:, k]))
     return np.concatenate(docs), np.concatenate(keys)
 
 
-def text_sketches(w: Words, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and values of the sketches of each document: triples of short ones, Order MinHash of those that may resemble longer ones."""
-    sizes = np.diff(w.first)
-    docs, keys = short_triples(w, similarity)
-    long = np.flatnonzero(sizes >= SHORT - int((1 - similarity) * SHORT + 1e-9))
-    docs = np.concatenate([docs, np.repeat(long, sketches)])
-    keys = np.concatenate([keys, omh_sketches(w, sketches)[long].ravel()])
+def text_sketches(w: Words, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of the sketches of each document.
+
+    There are three kinds: triples of short texts, sketches of short k-mers and of long ones. A text has those of two
+    kinds where texts similar to it may be on either side of the border between the kinds.
+    """
+    sizes, h = np.diff(w.first), w.hashes()
+    reaches = lambda n: sizes >= n - int((1 - similarity) * n + 1e-9)
+    docs, keys = short_triples(h, w.first, similarity)
+    found = [(docs, keys)]
+    for which, k, sketches in ((reaches(SHORT) & (sizes < LONG), SHORTER_KMER, FEWER_SKETCHES), (reaches(LONG), KMER, SKETCHES)):
+        at, values = omh_sketches(h, w.first, which, k, sketches)
+        found.append((np.repeat(at, sketches), values.ravel()))
+    docs, keys = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(docs, kind="stable")
     return np.append(0, np.cumsum(np.bincount(docs, minlength=len(sizes)))).astype(np.int32), keys[order]
 
@@ -124,61 +137,88 @@ def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     if max(balance[balance > 0].sum(), -balance[balance < 0].sum()) > most:
         return None
     x, y = inverse[: len(a)].tolist(), inverse[len(a) :].tolist()
-    n, m = len(x), len(y)
-    x.append(-1)
-    y.append(-2)
-    goal = n - m
-    reach = {0: 0}  # diagonal (i - j) to the furthest i
-    for d in range(most + 1):
-        after: dict[int, int] = {}
-        for k in range(-min(d, m), min(d, n) + 1) if d else (0,):
-            if abs(goal - k) > most - d:
-                continue
-            i = 0 if not d else max(reach.get(k, -2) + 1, reach.get(k - 1, -2) + 1, reach.get(k + 1, -1))
-            if i < 0 or i - k < 0:
-                continue
-            i = min(i, n, m + k)
-            j = i - k
-            while x[i] == y[j]:
-                i += 1
-                j += 1
-            after[k] = i
-        if after.get(goal, -1) >= n:
-            return d
-        reach = after
-    return None
-
-
-def _lag_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of a bucket in sorted input, row after row."""
-    last = None
-    for b in batches:
-        key, node = b.column("key").to_numpy(), b.column("node").to_numpy()
-        if not len(key):
-            continue
-        before = np.concatenate([[last[1] if last else node[0]], node[:-1]])
-        same = np.concatenate([[bool(last and last[0] == key[0])], key[1:] == key[:-1]])
-        last = (key[-1], node[-1])
-        same &= before != node
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(before, node)[same]), pa.array(np.maximum(before, node)[same])], names=["a", "b"])
-
-
-def bucket_members(sketched: DataFrame) -> DataFrame:
-    """node, key, next, rep, size: the texts of each bucket of two or more; sketched has node and sketches (array of long)."""
-    size = F.size("sketches")
-    rows = sketched.select("node", F.posexplode("sketches").alias("i", "key"), "sketches").select(
-        "node", "key", F.element_at("sketches", F.when(F.col("i") + 2 > size, 1).otherwise(F.col("i") + 2)).alias("next")
-    )
+    near = min(most, 14)  # most copies need a narrow band only
+    d = _banded(x, y, near)
+    return d if d is not None or near == most else _banded(x, y, most)
+
+
+def _banded(a: list[int], b: list[int], most: int) -> int | None:
+    """As edit_distance_within, of sequences that are not empty: a column of the band is two integers.
+
+    Bit i of `up` and of `down` says that the distance rises or falls by one from the row before to row i of the band,
+    which moves down a row with each column. The distance is followed along the band's lower edge, then the last row.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    m, n = len(a), len(b)
+    if m - n > most:
+        return None
+    below, above = min(most, m - 1), min(most, n)
+    width = below + above + 1
+    whole, edge = (1 << width) - 1, 1 << (width - 1)
+    places: dict[int, int] = {}
+    for i, x in enumerate(a, above):
+        places[x] = places.get(x, 0) | 1 << i
+    up, down, d = whole ^ ((1 << above) - 1), 0, below
+    turn = m - below
+    give_up = most + n - turn
+    for j, y in enumerate(b):
+        equal = places.get(y, 0) >> j & whole
+        same = (((equal & up) + up) ^ up | equal | down) & whole  # no more than on the diagonal before
+        right, left = down | (whole ^ (same | up)), same & up
+        if j >= turn:
+            at = width - 2 - (j - turn)
+            d += (right >> at & 1) - (left >> at & 1)
+        elif same < edge:
+            d += 1
+            if d > give_up:
+                return None
+        same >>= 1
+        up, down = left | (whole ^ (same | right)), same & right
+    return d if d <= most else None
+
+
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """node, words, key, rep, size: the texts of each bucket of two or more, without buckets of one text twice."""
+    rows = nodes.select("node", "words", F.explode(F.array_distinct("sketches")).alias("key"))
     buckets = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).where("size > 1"), "omh-buckets")
     return stored(rows.join(buckets, "key"), "omh-members")
 
 
 def first_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of nodes: each text of a bucket with the first one and with its neighbour."""
-    n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    star = members.where(F.col("node") != F.col("rep")).select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    ordered = members.select("key", "next", "node").repartitionByRange(n, "key", "next", "node").sortWithinPartitions("key", "next", "node")
-    return star.union(ordered.mapInArrow(_lag_pairs, "a long, b long")).distinct()
+    """Distinct pairs a < b of nodes: each text of a bucket with the first one."""
+    return members.where(F.col("node") != F.col("rep")).select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs that lengths and word counts do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                words = [part.column(c).to_numpy() for c in ("words_a", "words_b")]
+                shapes = [_shapes(part.column(c)) for c in ("shape_a", "shape_b")]
+                good = _may_link(*words, *shapes, similarity)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("words").alias(f"words_{x}"), F.col("shape").alias(f"shape_{x}"))
+    return pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def _shapes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _may_link(words_a: np.ndarray, words_b: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lengths and word counts, row by row, leave the similarity possible."""
+    apart = np.abs(words_a - words_b)
+    most = ((1 - similarity) * np.maximum(words_a, words_b) + 1e-9).astype(np.int64)
+    good = apart <= most
+    some = np.flatnonzero(good)
+    differ = (np.maximum(a[some], b[some]) - np.minimum(a[some], b[some])).sum(axis=1, dtype=np.int64)
+    good[some] = differ + apart[some] <= 2 * most[some]
+    return good
 
 
 def word_shapes(w: Words) -> np.ndarray:
@@ -188,26 +228,31 @@ def word_shapes(w: Words) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=docs * BINS), 255).astype(np.uint8).reshape(docs, BINS)
 
 
-def _unlike(node: np.ndarray, label: np.ndarray, words: np.ndarray, shape: np.ndarray, late: np.ndarray, across: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a block that are in different classes and may be similar enough by their word counts."""
-    left, right = (np.flatnonzero(~late), np.flatnonzero(late)) if across else (np.arange(len(node)),) * 2
+#: Lengths of texts that are similar enough differ by one level at most: a little wider than 1 / SIMILARITY.
+LEVEL = 1.26
+
+
+def _unlike(c: dict[str, np.ndarray], shape: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a group of two blocks that are in different classes and may be similar enough by their word counts.
+
+    Of a group of two levels, pairs of the upper one are left to the next group; within a block, each pair is met once.
+    """
+    across = c["i"][0] != c["j"][0]
+    late = c["own"] != c["i"]
+    left, right = (np.flatnonzero(~late), np.flatnonzero(late)) if across else (np.arange(len(late)),) * 2
+    node, label, words, low = c["node"], c["label"], c["words"], c["level"] == c["lower"]
     ends_a, ends_b = [], []
     step = max(65536 // max(len(right), 1), 1)
     for at in range(0, len(left), step):
         x = left[at : at + step]
-        longer = np.maximum(words[x][:, None], words[right][None])
-        apart = np.abs(words[x][:, None] - words[right][None])
-        most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
-        may = (label[x][:, None] != label[right][None]) & (apart <= most)
+        may = (label[x][:, None] != label[right][None]) & (low[x][:, None] | low[right][None])
         if not across:
             may &= node[x][:, None] < node[right][None]
         i, j = np.nonzero(may)
         for cut in range(0, len(i), 4096):
-            p, q = i[cut : cut + 4096], j[cut : cut + 4096]
-            a, b = shape[x[p]], shape[right[q]]
-            differ = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
-            good = differ + apart[p, q] <= 2 * most[p, q]
-            a, b = node[x[p[good]]], node[right[q[good]]]
+            p, q = x[i[cut : cut + 4096]], right[j[cut : cut + 4096]]
+            good = _may_link(words[p], words[q], shape[p], shape[q], similarity)
+            a, b = node[p[good]], node[q[good]]
             ends_a.append(np.minimum(a, b))
             ends_b.append(np.maximum(a, b))
     none = np.zeros(0, np.int64)
@@ -217,46 +262,46 @@ def _unlike(node: np.ndarray, label: np.ndarray, words: np.ndarray, shape: np.nd
 def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Distinct pairs a < b that share a bucket, are in different classes, and whose word counts allow the similarity.
 
-    nodes has node, words and shape. A bucket's texts are dealt to blocks of about BLOCK; each two blocks meet in a
-    group of their own, so that no task holds more of a bucket, however large it is.
+    members has node, words, key and size; nodes has node and shape. A bucket is parted by levels of length, each
+    level meeting itself and the next one, and these by dealing texts to blocks of about BLOCK: each two blocks meet
+    in a group of their own, so that no task holds more of a bucket, however large it is.
     """
     n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    known = stored(members.where("size > 2").select("node", "key", "size").join(labels, "node", "left").select("node", "key", "size", F.coalesce("label", "node").alias("label")), "omh-known")
+    level = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / float(np.log(max(LEVEL, 1.008 / similarity)))).cast("int")
+    known = members.where("size > 2").join(labels, "node", "left").select("node", "words", "key", level.alias("level"), F.coalesce("label", "node").alias("label"))
+    parts = stored(known.withColumn("lower", F.explode(F.array(F.col("level") - 1, F.col("level")))), "omh-known")
     # stored, so that the join exchanges both sides anew and a bucket with very many texts can be split
-    split = stored(known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "omh-open")
-    open_ = stored(known.join(split, "key"), "omh-unlike")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = open_.join(nodes.select("node", "words", "shape"), "node").withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(node, 8), blocks) AS int)"))
-    met = dealt.select("key", "node", "label", "words", "shape", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "words", "shape")
+    counts = parts.groupBy("key", "lower").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.col("level") - F.col("lower")).alias("own"))
+    split = stored(counts.where("low <> high AND own = 0").select("key", "lower", F.ceil(F.col("texts") / BLOCK).cast("int").alias("blocks")), "omh-open")
+    open_ = stored(parts.join(split, ["key", "lower"]), "omh-unlike")
+    dealt = open_.join(nodes.select("node", "shape"), "node").withColumn("own", F.expr("cast(pmod(xxhash64(node, 8), blocks) AS int)"))
+    met = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    met = met.select("key", "lower", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "level", "node", "label", "words", "shape")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        names = ["key", "i", "j", "own", "node", "label", "words"]
+        group = ["key", "lower", "i", "j"]
 
         def pairs(c: dict, shape: np.ndarray, a: int, b: int):
-            if c["label"][a:b].min() == c["label"][a:b].max():
-                return None
-            x, y = _unlike(c["node"][a:b], c["label"][a:b], c["words"][a:b], shape[a:b], c["own"][a:b] != c["i"][a:b], c["i"][a] != c["j"][a], similarity)
+            x, y = _unlike({k: v[a:b] for k, v in c.items()}, shape[a:b], similarity)
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"]) if len(x) else None
 
         for b in batches:
             if not b.num_rows:
                 continue
-            c = {x: b.column(x).to_numpy() for x in names}
-            shape = np.frombuffer(b"".join(b.column("shape").to_pylist()), np.uint8).reshape(-1, BINS)
+            c, shape = {x: b.column(x).to_numpy() for x in b.schema.names if x != "shape"}, _shapes(b.column("shape"))
             if held:
-                c, shape = {x: np.concatenate([held[0][x], c[x]]) for x in names}, np.concatenate([held[1], shape])
-            new = (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])
+                c, shape = {x: np.concatenate([held[0][x], c[x]]) for x in c}, np.concatenate([held[1], shape])
+            new = np.logical_or.reduce([c[x][1:] != c[x][:-1] for x in group])
             cuts = [0, *(np.flatnonzero(new) + 1)]
             for s, e in zip(cuts, cuts[1:]):
                 if (out := pairs(c, shape, s, e)) is not None:
                     yield out
-            held = {x: c[x][cuts[-1] :] for x in names}, shape[cuts[-1] :]
+            held = {x: c[x][cuts[-1] :] for x in c}, shape[cuts[-1] :]
         if held and (out := pairs(*held, 0, len(held[1]))) is not None:
             yield out
 
-    grouped = met.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    grouped = met.repartition(n, "key", "lower", "i", "j").sortWithinPartitions("key", "lower", "i", "j")
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -276,14 +321,20 @@ def verified_links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMIL
                     good.append(edit_distance_within(x, y, int((1 - similarity) * longer + 1e-9)) is not None)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # merge joins at every size: what is shuffled stays in proportion to the input
-    own = stored(texts.join(ends.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "omh-texts")
-    with_a = pairs.hint("merge").join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.hint("merge").join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    with_a = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a long, b long")
 
 
+def node_texts(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """node, text of the texts that share a bucket; stored. A node's document is found by its id and its text's hash."""
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "hash")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    # of rows that repeat a document, whose text is the same, one is taken
+    return stored(rows.join(wanted.hint("merge"), ["doc_id", "hash"]).select("node", "text").dropDuplicates(["node"]), "omh-texts")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of each node's component, for the nodes of links (a, b).
 
@@ -307,22 +358,18 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
-    """doc_id, class_id, n_links, kept: one row for each row of docs.
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, f1, f2 of each row; f1, f2, class_id, class_row, n_links of each text), both stored.
 
-    Texts with the same words in the same order are one node, linked to another if the edit similarity of their
-    words is at least `similarity` and they were candidates; classes are connected components. class_id is the
-    least doc_id of the class, and that document is kept; n_links counts the verified links of the row's text, which
-    are not all its near copies: texts that others have joined to a class already are not held against each other.
-    Null and empty texts are equal to each other. Rows with a null doc_id are kept and in no class (class_id is
-    null, n_links 0); rows that repeat a doc_id are one document. Other columns are ignored.
+    A row's number is given when it is read here. class_row is the row of the class with the least (doc_id, row).
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in passes(batch):
                 w = Words(part.column("text"))
-                (offsets, found), sizes = text_sketches(w, sketches, similarity), np.diff(w.first)
+                (offsets, found), sizes = text_sketches(w, similarity), np.diff(w.first)
                 h = w.hashes(seed=1)
                 at = np.arange(w.n) - np.repeat(w.first[:-1], sizes)
                 spread = mix(h + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -331,26 +378,47 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, sketches: int =
                 f1, f2 = (t[w.first[1:]] - t[w.first[:-1]] for t in (total, again))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(found)))
                 shape = pa.array([x.tobytes() for x in word_shapes(w)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(signed(f1)), pa.array(signed(f2)), lists, pa.array(sizes.astype(np.int64)), shape], names=["doc_id", "f1", "f2", "sketches", "words", "shape"])
+                columns = [pa.array(row + np.arange(part.num_rows)), part.column("doc_id"), part.column("hash"), pa.array(signed(f1)), pa.array(signed(f2)), pa.array(sizes.astype(np.int64)), lists, shape]
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SKETCHED.split(", ")])
 
-    base = stored(docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, f1 long, f2 long, sketches array<long>, words long, shape binary"), "omh-sketches")
+    base = stored(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(sketch, _SKETCHED), "omh-sketches")
     same = [F.any_value(c).alias(c) for c in ("sketches", "words", "shape")]
-    nodes = stored(base.where("doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), *same), "omh-nodes")
-    members, texts = bucket_members(nodes), docs.select(F.col("doc_id").alias("node"), "text")
-    pairs = stored(first_pairs(members), "omh-pairs")
+    nodes = base.where("doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "row", "hash")).alias("least"), *same)
+    nodes = stored(nodes.select("f1", "f2", F.col("least.row").alias("node"), "least.doc_id", "least.hash", "sketches", "words", "shape"), "omh-nodes")
+    members = bucket_members(nodes)
+    texts = node_texts(docs, nodes, members)
+    pairs = stored(plausible(first_pairs(members), nodes, similarity), "omh-pairs")
     links = stored(verified_links(pairs, texts, similarity), "omh-links")
     rest = remaining_pairs(members, components(links), nodes, similarity).join(pairs.hint("merge"), ["a", "b"], "left_anti")
     links = links.union(stored(verified_links(stored(rest, "omh-rest"), texts, similarity), "omh-links"))
-    labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = stored(
-        nodes.select("f1", "f2", "node").join(labels, "node", "left").join(degree, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
-        "omh-classes",
-    )
-    joined = base.select("doc_id", "f1", "f2").join(known, ["f1", "f2"], "left")
+    labelled = nodes.select("f1", "f2", "node", "doc_id").join(components(links), "node", "left").join(degree, "node", "left")
+    labelled = stored(labelled.select("f1", "f2", "node", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "omh-labels")
+    heads = stored(labelled.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("head")), "omh-heads")
+    named = labelled.join(heads, "label").select("f1", "f2", F.col("head.doc_id").alias("class_id"), F.col("head.node").alias("class_row"), "n_links")
+    return base.select("row", "doc_id", "f1", "f2"), stored(named, "omh-classes")
+
+
+_SKETCHED = "row long, doc_id long, hash long, f1 long, f2 long, words long, sketches array<long>, shape binary"
+
+
+def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, n_links, kept: one row for each row of docs.
+
+    Texts with the same words in the same order are one node, linked to another if the edit similarity of their
+    words is at least `similarity` and they were candidates; classes are connected components. class_id is the
+    least doc_id of the class, and one row of that id and class is kept; n_links counts the verified links of the
+    row's text, which are not all its near copies: texts that others have joined to a class already are not held
+    against each other. Null and empty texts are equal to each other. Rows with a null doc_id are kept and in no class
+    (class_id is null, n_links 0); rows that repeat a doc_id with another text are documents of their own. Other columns
+    are ignored; an empty table gives no rows.
+    """
+    rows, classes = near_classes(docs, similarity)
+    joined = rows.join(classes, ["f1", "f2"], "left")
     return joined.select(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.col("n_links")).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
-        (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).alias("kept"),
+        (F.col("doc_id").isNull() | (F.col("row") == F.col("class_row"))).alias("kept"),
     )

@@ -397,6 +397,65 @@ def test_sketches_find_pairs_near_the_threshold():
     assert len(long) > 150 and sum(long) >= 0.9 * len(long)
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.82, 0.85, 0.9])
+def test_recall_of_sketches(similarity):
+    """Of pairs with as many words replaced at random as the threshold lets, nine of ten share a sketch, at any length."""
+    from lipiflow.llm.near_dedup import text_sketches
+
+    rng = random.Random(int(similarity * 100))
+    for n in (12, 20, 40, 120, 255, 320, 600):
+        texts = []
+        for _ in range(150):
+            base = [f"w{rng.randint(0, 30000)}" for _ in range(n)]
+            at = set(rng.sample(range(n), int((1 - similarity) * n + 1e-9)))
+            texts += [" ".join(base), " ".join(f"z{rng.randint(0, 30000)}" if i in at else x for i, x in enumerate(base))]
+        offsets, found = text_sketches(Words(pa.array(texts)))
+        own = [set(found[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
+        assert np.mean([bool(own[i] & own[i + 1]) for i in range(0, len(texts), 2)]) >= (0.88 if n > 20 else 0.85), n  # 150 pairs: some spread
+
+
+def test_near_dedup_equals_all_pairs(spark):
+    """Classes against the components of all similar pairs, where no pair is close to the threshold."""
+    from lipiflow.llm.near_dedup import near_dedup
+
+    rng, texts = random.Random(21), []
+    for g in range(25):
+        n = rng.choice([6, 18, 19, 22, 90, 240, 256, 300])
+        base = [f"v{rng.randint(0, 4000)}" for _ in range(n)]
+        for _ in range(rng.choice([1, 2, 4])):
+            copy = list(base)
+            for _ in range(n // 12):
+                copy[rng.randrange(len(copy))] = f"e{rng.randint(0, 4000)}"
+            texts.append(" ".join(copy + ["tail"] * rng.randint(0, n // 20)))
+    label = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            x, y = texts[a].split(), texts[b].split()
+            if set(x) & set(y) and edit_distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if c == old else c for c in label]
+    rows = near_dedup(frame(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(label))
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    from lipiflow.llm.near_dedup import near_dedup
+
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = near_dedup(frame(spark, [one, two, one + " x", two + " y", two], [1, 1, 5, 6, 1])).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.kept) for r in rows) == [(1, 1, 1, False), (1, 1, 1, True), (1, 1, 1, True), (5, 1, 1, False), (6, 1, 1, False)]
+
+
+def test_a_very_long_text_and_its_copy(spark):
+    from lipiflow.llm.near_dedup import near_dedup
+
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 9000)}" for _ in range(150_000)]
+    copy = [x if i % 50 else "z" for i, x in enumerate(base)]
+    rows = near_dedup(frame(spark, [" ".join(base), " ".join(copy), "q" * 2_000_000])).collect()
+    assert sorted((r.doc_id, r.class_id) for r in rows) == [(0, 0), (1, 0), (2, 2)]
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_remaining_pairs_are_brute_force(spark, monkeypatch, block):
     from lipiflow.llm import near_dedup as nd
@@ -407,9 +466,9 @@ def test_remaining_pairs_are_brute_force(spark, monkeypatch, block):
     texts = [" ".join(rng.choice("abcdef") if rng.random() < 0.15 else x for x in bases[i % 12]) for i in range(60)]
     w = nd.Words(pa.array(texts))
     shapes, sizes = nd.word_shapes(w), np.diff(w.first)
-    nodes = spark.createDataFrame([(i, int(sizes[i]), shapes[i].tobytes()) for i in range(60)], "node long, words long, shape binary")
+    nodes = spark.createDataFrame([(i, shapes[i].tobytes()) for i in range(60)], "node long, shape binary")
     keys = {k: [i for i in range(60) if rng.random() < 0.5] for k in range(3)}
-    members = spark.createDataFrame([(i, k, len(v)) for k, v in keys.items() for i in v], "node long, key long, size long")
+    members = spark.createDataFrame([(i, int(sizes[i]), k, len(v)) for k, v in keys.items() for i in v], "node long, words long, key long, size long")
     label = {i: rng.randint(0, 1) * 30 for i in range(40)}
     labels = spark.createDataFrame(list(label.items()), "node long, label long")
     got = {(r.a, r.b) for r in nd.remaining_pairs(members, labels, nodes).collect()}
