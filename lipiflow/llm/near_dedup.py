@@ -5,10 +5,11 @@ Each of 64 sketches (32) takes the two labelled k-mers that hash lowest and keep
 collision is likely only for texts with a small edit distance. Pairs of fewer than 20 words are found without
 chance instead, by triples of the words that come first in one order of all words (prefix filter). Texts that share
 a sketch are candidates. Each first meets the bucket's first text: one pair a text, which joins most copies. Word
-counts rule out most unlike pairs, a banded alignment of the words verifies the others;
-verified pairs are joined to classes by alternating star contractions. Then all pairs of a bucket whose texts are
-still in different classes and near enough in length are met in blocks, and those verified that word counts do not
-rule out; so the classes are those that verifying every pair of every bucket would give.
+counts rule out most unlike pairs, a banded alignment of the words verifies the others; verified pairs are joined
+to classes by alternating star contractions. Then all pairs of a bucket whose texts are still in different classes
+and near enough in length are met in blocks, and those verified that word counts do not rule out, the likelier ones
+first, unless a class has come to hold both; so the classes are those that verifying every pair of every bucket
+would give.
 """
 
 from __future__ import annotations
@@ -199,7 +200,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
                 part = b.slice(at, 4096)
                 words = [part.column(c).to_numpy() for c in ("words_a", "words_b")]
                 shapes = [_shapes(part.column(c)) for c in ("shape_a", "shape_b")]
-                good = _may_link(*words, *shapes, similarity)
+                good = _least_edits(*words, *shapes, similarity) <= 1
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("words").alias(f"words_{x}"), F.col("shape").alias(f"shape_{x}"))
@@ -210,15 +211,15 @@ def _shapes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
-def _may_link(words_a: np.ndarray, words_b: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether lengths and word counts, row by row, leave the similarity possible."""
+def _least_edits(words_a: np.ndarray, words_b: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Edits that lengths and word counts, row by row, prove, as a share of those that the similarity allows; over 1 rules out."""
     apart = np.abs(words_a - words_b)
     most = ((1 - similarity) * np.maximum(words_a, words_b) + 1e-9).astype(np.int64)
-    good = apart <= most
-    some = np.flatnonzero(good)
+    share = np.full(len(most), 2.0)
+    some = np.flatnonzero(apart <= most)
     differ = (np.maximum(a[some], b[some]) - np.minimum(a[some], b[some])).sum(axis=1, dtype=np.int64)
-    good[some] = differ + apart[some] <= 2 * most[some]
-    return good
+    share[some] = (differ + apart[some]) / np.maximum(2 * most[some], 1) + (differ + apart[some] > 2 * most[some])
+    return share
 
 
 def word_shapes(w: Words) -> np.ndarray:
@@ -228,12 +229,14 @@ def word_shapes(w: Words) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=docs * BINS), 255).astype(np.uint8).reshape(docs, BINS)
 
 
+#: Shares of the allowed edits up to which word counts put a pair into each tier but the last.
+TIERS = np.array([0.75, 0.88])
 #: Lengths of texts that are similar enough differ by one level at most: a little wider than 1 / SIMILARITY.
 LEVEL = 1.26
 
 
-def _unlike(c: dict[str, np.ndarray], shape: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a group of two blocks that are in different classes and may be similar enough by their word counts.
+def _unlike(c: dict[str, np.ndarray], shape: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a group of two blocks that are in different classes and may be similar enough, with their tiers.
 
     Of a group of two levels, pairs of the upper one are left to the next group; within a block, each pair is met once.
     """
@@ -241,7 +244,7 @@ def _unlike(c: dict[str, np.ndarray], shape: np.ndarray, similarity: float) -> t
     late = c["own"] != c["i"]
     left, right = (np.flatnonzero(~late), np.flatnonzero(late)) if across else (np.arange(len(late)),) * 2
     node, label, words, low = c["node"], c["label"], c["words"], c["level"] == c["lower"]
-    ends_a, ends_b = [], []
+    ends_a, ends_b, tiers = [], [], []
     step = max(65536 // max(len(right), 1), 1)
     for at in range(0, len(left), step):
         x = left[at : at + step]
@@ -251,18 +254,20 @@ def _unlike(c: dict[str, np.ndarray], shape: np.ndarray, similarity: float) -> t
         i, j = np.nonzero(may)
         for cut in range(0, len(i), 4096):
             p, q = x[i[cut : cut + 4096]], right[j[cut : cut + 4096]]
-            good = _may_link(words[p], words[q], shape[p], shape[q], similarity)
+            share = _least_edits(words[p], words[q], shape[p], shape[q], similarity)
+            good = share <= 1
             a, b = node[p[good]], node[q[good]]
+            tiers.append(np.searchsorted(TIERS, share[good]).astype(np.int32))
             ends_a.append(np.minimum(a, b))
             ends_b.append(np.maximum(a, b))
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *ends_a]), np.concatenate([none, *ends_b])
+    return np.concatenate([none, *ends_a]), np.concatenate([none, *ends_b]), np.concatenate([np.zeros(0, np.int32), *tiers])
 
 
 def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs a < b that share a bucket, are in different classes, and whose word counts allow the similarity.
+    """a, b, tier: distinct pairs a < b that share a bucket, are in different classes, and whose word counts allow the similarity.
 
-    members has node, words, key and size; nodes has node and shape. A bucket is parted by levels of length, each
+    The fewer edits the word counts prove, the lower the tier. members has node, words, key and size; nodes has node and shape. A bucket is parted by levels of length, each
     level meeting itself and the next one, and these by dealing texts to blocks of about BLOCK: each two blocks meet
     in a group of their own, so that no task holds more of a bucket, however large it is.
     """
@@ -283,8 +288,8 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, sim
         group = ["key", "lower", "i", "j"]
 
         def pairs(c: dict, shape: np.ndarray, a: int, b: int):
-            x, y = _unlike({k: v[a:b] for k, v in c.items()}, shape[a:b], similarity)
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"]) if len(x) else None
+            found = _unlike({k: v[a:b] for k, v in c.items()}, shape[a:b], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "tier"]) if len(found[0]) else None
 
         for b in batches:
             if not b.num_rows:
@@ -302,7 +307,7 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, sim
             yield out
 
     grouped = met.repartition(n, "key", "lower", "i", "j").sortWithinPartitions("key", "lower", "i", "j")
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    return grouped.mapInArrow(run, "a long, b long, tier int").distinct()
 
 
 def verified_links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -391,7 +396,13 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     pairs = stored(plausible(first_pairs(members), nodes, similarity), "omh-pairs")
     links = stored(verified_links(pairs, texts, similarity), "omh-links")
     rest = remaining_pairs(members, components(links), nodes, similarity).join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    links = links.union(stored(verified_links(stored(rest, "omh-rest"), texts, similarity), "omh-links"))
+    rest = stored(rest, "omh-rest")
+    for tier in range(len(TIERS) + 1):  # likely links first: what they join need not be verified any more
+        labels = components(links)
+        label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))  # noqa: E731, B023
+        apart = rest.where(F.col("tier") == tier).join(label("a"), "a", "left").join(label("b"), "b", "left")
+        apart = stored(apart.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), "omh-apart")
+        links = links.union(stored(verified_links(apart, texts, similarity), "omh-links"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     labelled = nodes.select("f1", "f2", "node", "doc_id").join(components(links), "node", "left").join(degree, "node", "left")
     labelled = stored(labelled.select("f1", "f2", "node", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "omh-labels")
