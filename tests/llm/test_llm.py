@@ -136,6 +136,25 @@ def test_line_dedup_plan_has_no_python(spark, sf_dir):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_line_dedup_streams_sorted_ranges(spark, sf_dir):
+    """One range exchange, its sort, then the window: nothing between them."""
+    from lipiflow.llm.line_dedup import first_occurrences, line_keys
+
+    plan = first_occurrences(line_keys(spark.read.parquet(f"{sf_dir}/documents.parquet")))._jdf.queryExecution().executedPlan().toString()
+    names = re.findall(r"Exchange \w+|Sort \[|Window \[", plan)
+    assert names == ["Window [", "Sort [", "Exchange rangepartitioning"], plan
+
+
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    shared = "a shared line that has forty code points or more"
+    texts = [shared] * 5 + [f"{shared}\nb", "a line that only this row has, of forty points\nb", f"x\n{shared}", f"x\n{shared}", shared, None]
+    ids = [0, 1, 3, 4, 9, 2, 2, 7, 7, None, None]
+    df = frame(spark, texts, ids)
+    got = [(r.doc_id, r.n_dropped, r.kept_text) for r in apply_bitmaps(df, line_dedup(df)).collect()]
+    want = [(i, 1, "") for i in (0, 1, 3, 4)] + [(9, 0, shared), (2, 1, "b"), (2, 0, texts[6]), (7, 1, "x"), (7, 1, "x"), (None, 0, shared), (None, 0, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_grace_spills_and_collapses():
     rng = random.Random(1)
     contents = [rng.randbytes(300) for _ in range(400)]
