@@ -30,8 +30,8 @@ END, FIRST_WORD = 0, 1 + CLASSES
 SYMBOLS = FIRST_WORD + TOP
 #: Fingerprint that stands for the end of a text, and what is added to counts.
 END_HASH, ADDED = np.uint64(0x5EED0E4D5EED0E4D), 0.1
-#: Tokens of a stretch that training takes at once; states at its start follow the model's occupancy.
-STRETCH, BATCH = 64, 1024
+#: Tokens of whole texts that training takes at once, and steps between the forward states that it keeps.
+TOGETHER, BLOCK = 4_000_000, 32
 
 
 def held_out(doc_id) -> bool:
@@ -247,48 +247,59 @@ class Hmm:
         return out
 
     def expected(self, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Baum-Welch counts of texts: starts, moves, emissions, and the log-likelihood of the stretches."""
+        """Baum-Welch counts of whole texts: starts, moves, emissions, and the log-likelihood.
+
+        All texts go forward together, the longest first, so that those not yet ended are the first rows. Of the scaled
+        forward states every BLOCK-th is kept; going backward, those between are made again.
+        """
         states = len(self.start)
         starts, moves, emits, total = np.zeros(states), np.zeros((states, states)), np.zeros((len(self.emits), states)), 0.0
         sizes = np.diff(offsets)
-        pieces = -(-sizes // STRETCH)
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = np.repeat(offsets[:-1], pieces) + nth * STRETCH
-        length = np.minimum(np.repeat(offsets[1:], pieces) - begin, STRETCH)
-        order = np.argsort(-length, kind="stable")
-        begin, length, fresh = begin[order], length[order], (nth == 0)[order]
-        occupancy = np.linalg.matrix_power(self.moves, 64).mean(0)
-        for a in range(0, len(order), BATCH):
-            b, n, new = begin[a : a + BATCH], length[a : a + BATCH], fresh[a : a + BATCH]
-            steps = int(n[0])
-            alive = np.searchsorted(-n, -np.arange(steps), "left")  # with more than t symbols
-            seen, alphas, scales, emitted = [], [], [], []
-            alpha = np.where(new[:, None], self.start, occupancy)
-            for t in range(steps):
-                k = alive[t]
-                s = symbols[b[:k] + t]
-                e = self.emits[s]
-                alpha = (alpha[:k] @ self.moves if t else alpha[:k]) * e
-                c = alpha.sum(1, keepdims=True)
-                alpha = alpha / c
-                total += np.log(c).sum()
-                seen.append(s)
-                alphas.append(alpha)
-                scales.append(c)
-                emitted.append(e)
-            beta = np.ones((alive[-1], states))
-            gammas = [None] * steps
-            for t in range(steps - 1, -1, -1):
-                gammas[t] = alphas[t] * beta
+        order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
+        if not len(order):
+            return starts, moves, emits, total
+        begin, n = offsets[:-1][order], sizes[order]
+        steps = int(n[0])
+        alive = np.searchsorted(-n, -np.arange(steps), "left")  # with more than t symbols
+
+        def forward(alpha, t):
+            k = alive[t]
+            s = symbols[begin[:k] + t]
+            e = self.emits[s]
+            alpha = (alpha[:k] @ self.moves if t else np.tile(self.start, (k, 1))) * e
+            c = alpha.sum(1, keepdims=True)
+            return alpha / c, s, e, c
+
+        kept, alpha = [], None
+        for t in range(steps):
+            if t % BLOCK == 0:
+                kept.append(alpha)
+            alpha, _, _, c = forward(alpha, t)
+            total += np.log(c).sum()
+        beta = onward = None
+        for block in range(len(kept) - 1, -1, -1):
+            first = block * BLOCK
+            made, alpha = [], kept.pop()
+            before = alpha
+            for t in range(first, min(first + BLOCK, steps)):
+                made.append(forward(alpha, t))
+                alpha = made[-1][0]
+            gammas = []
+            for t in range(first + len(made) - 1, first - 1, -1):
+                alpha, s, e, c = made[t - first]
+                beta = np.ones((alive[t], states))
+                if onward is not None:  # of the texts that go on after t
+                    beta[: len(onward)] = onward @ self.moves.T
+                gammas.append(alpha * beta)
+                onward = e * beta / c
                 if t:
-                    onward = emitted[t] * beta / scales[t]
-                    k, more = alive[t], alive[t - 1]
-                    moves += alphas[t - 1][:k].T @ onward
-                    beta = np.concatenate([onward @ self.moves.T, np.ones((more - k, states))]) if more > k else onward @ self.moves.T
-            starts += gammas[0][new].sum(0)
-            s, g = np.concatenate(seen), np.concatenate(gammas)
+                    previous = made[t - first - 1][0] if t > first else before
+                    moves += previous[: alive[t]].T @ onward
+            s, g = np.concatenate([m[1] for m in reversed(made)]), np.concatenate(gammas)
             for j in range(states):
                 emits[:, j] += np.bincount(s, g[:, j], len(emits))
+            if not block:
+                starts += gammas[-1].sum(0)
         return starts, moves * self.moves, emits, total
 
 
@@ -298,6 +309,26 @@ def _symbol_lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(), offsets
 
 
+def _together(batches: Iterator[pa.RecordBatch], most: int = TOGETHER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and offsets of many texts at once, of at most `most` symbols but for a longer text."""
+    held: list[np.ndarray] = []
+    sizes: list[int] = []
+    size = 0
+    for batch in batches:
+        symbols, offsets = _symbol_lists(batch)
+        cuts = [0, *(np.flatnonzero(np.diff((offsets - offsets[0]) // (most // 4))) + 1), len(offsets) - 1]
+        for a, b in zip(cuts, cuts[1:]):
+            n = int(offsets[b] - offsets[a])
+            if held and size + n > most:
+                yield np.concatenate(held), np.concatenate([[0], np.cumsum(sizes)])
+                held, sizes, size = [], [], 0
+            held.append(symbols[offsets[a] : offsets[b]])
+            sizes += np.diff(offsets[a : b + 1]).tolist()
+            size += n
+    if held:
+        yield np.concatenate(held), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def baum_welch(texts: DataFrame, vocab: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> Hmm:
     """Each iteration is one job over all training texts; a task adds up its counts, Spark adds up the tasks'."""
     spark = texts.sparkSession
@@ -310,10 +341,9 @@ def baum_welch(texts: DataFrame, vocab: Vocabulary, states: int = STATES, iterat
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             m, total = sent.value, None
-            for batch in batches:
-                for a in range(0, batch.num_rows, 1000):
-                    got = m.expected(*_symbol_lists(batch.slice(a, 1000)))
-                    total = [x + y for x, y in zip(total, got)] if total else list(got)
+            for symbols, offsets in _together(batches):
+                got = m.expected(symbols, offsets)
+                total = [x + y for x, y in zip(total, got)] if total else list(got)
             if total:
                 rows = np.concatenate([total[2], total[1], total[0][None, :]])
                 some = np.flatnonzero(rows.any(1))

@@ -263,10 +263,67 @@ def test_hmm_forward_is_the_sum_over_paths():
                 p *= m.moves[a, b] * m.emits[s, b]
             total += p
         assert abs(got - np.log10(total)) < 1e-9
-    starts, moves, emits, _ = m.expected(flat, offsets)
+    starts, moves, emits, _ = m.expected(flat, offsets.astype(int))
     assert abs(starts.sum() - 3) < 1e-9 and abs(emits.sum() - len(flat)) < 1e-9 and abs(moves.sum() - len(flat) + 3) < 1e-9
 
 
+def test_hmm_counts_are_the_sum_over_paths():
+    """Counts by enumerating paths of short texts, and by a plain unscaled recursion of texts over several blocks."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+    m = hmm.Hmm(norm(rng.random(2), 0), norm(rng.random((2, 2)), 1), norm(rng.random((5, 2)), 0))
+
+    def paths(text):
+        starts, moves, emits, all_ = np.zeros(2), np.zeros((2, 2)), np.zeros((5, 2)), 0
+        for path in itertools.product(range(2), repeat=len(text)):
+            p = m.start[path[0]] * m.emits[text[0], path[0]]
+            for a, b, s in zip(path, path[1:], text[1:]):
+                p *= m.moves[a, b] * m.emits[s, b]
+            all_ += p
+            starts[path[0]] += p
+            for a, b in zip(path, path[1:]):
+                moves[a, b] += p
+            for s, a in zip(text, path):
+                emits[s, a] += p
+        return starts / all_, moves / all_, emits / all_
+
+    def recursion(text):
+        alpha, beta = [m.start * m.emits[text[0]]], [np.ones(2)]
+        for s in text[1:]:
+            alpha.append((alpha[-1] @ m.moves) * m.emits[s])
+        for s in text[:0:-1]:
+            beta.insert(0, m.moves @ (m.emits[s] * beta[0]))
+        all_, emits, moves = alpha[-1].sum(), np.zeros((5, 2)), np.zeros((2, 2))
+        for t, s in enumerate(text):
+            emits[s] += alpha[t] * beta[t] / all_
+            if t:
+                moves += np.outer(alpha[t - 1], m.emits[s] * beta[t]) * m.moves / all_
+        return alpha[0] * beta[0] / all_, moves, emits
+
+    short = [rng.integers(0, 5, n) for n in (1, 2, 5, 9, 9)]
+    long = [rng.integers(0, 5, n) for n in (31, 32, 33, 64, 65, 150, 200)]
+    for texts in (short, long, short + long):
+        flat, offsets = np.concatenate(texts), np.cumsum([0] + [len(t) for t in texts])
+        starts, moves, emits, total = m.expected(flat, offsets)
+        want = [paths(t) if len(t) < 10 else recursion(t) for t in texts]
+        for got, each in zip((starts, moves, emits), zip(*want)):
+            assert np.allclose(got, sum(each), atol=1e-9)
+        assert abs(total / np.log(10) - m.log10(flat, offsets).sum()) < 1e-6
+
+
+def test_texts_taken_together_are_whole():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 9, n) for n in rng.integers(1, 400, 300)]
+    lists = pa.array([t.tolist() for t in texts], pa.list_(pa.int32()))
+    batches = [pa.RecordBatch.from_arrays([lists.slice(a, 70)], names=["symbols"]) for a in range(0, 300, 70)]
+    got = []
+    for symbols, offsets in hmm._together(batches, 2000):
+        got += [symbols[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+    assert got == [t.tolist() for t in texts]
+
+
 def test_toxicity_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
