@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.metrics import cer
 
@@ -80,6 +82,18 @@ def macro_average(evaluated: DataFrame, metrics: tuple[str, ...] = ("top1", "top
     return evaluated.agg(F.count(F.lit(1)).alias("sets"), *(F.avg(m).alias(m) for m in metrics))
 
 
+def percentiles(rows: DataFrame, group: str, value: str, wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """group and a column for each wanted percentile: the value at the index that it makes of the group's number of values.
+
+    Equal values are counted before they are exchanged; a running sum over the distinct ones finds the index. Nulls are left out.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(group)
+    run = counts.withColumn("_upto", F.sum("_n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(own))
+    at = lambda index: F.max(F.when((F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index), F.col(value)))
+    return run.groupBy(group).agg(*(at(index(F.col("_all"))).alias(name) for name, index in wanted.items()))
+
+
 def stride_sample(rows: DataFrame, n: int, order: str) -> DataFrame:
     """Every ceil(N / n)-th row by `order`, n at most. A sampling operator; ordinals come from a range-partitioned sort."""
     total = rows.count()
@@ -112,15 +126,16 @@ def coordinate_ascent(score, start: dict[str, float], grid: dict[str, list[float
     return best, at
 
 
-def context_eval(items: DataFrame, ranked: DataFrame, key, bounds: tuple[int, ...] = (1, 3, 5, 10, 50)) -> DataFrame:
+def context_eval(items: DataFrame, ranked: DataFrame, keys: DataFrame, bounds: tuple[int, ...] = (1, 3, 5, 10, 50)) -> DataFrame:
     """n, within<k> for each bound, absent, and of the misses those whose first choice has the gold's key or is another word.
 
-    items: q, gold; ranked: q, word, rank; key maps a column of words to their phonetic key.
+    items: q, gold; ranked: q, word, rank; keys: word, key of each word.
     """
     first = ranked.where("rank = 1").select("q", F.col("word").alias("first"))
-    rows = gold_ranks(items, ranked).join(first, "q", "left")
+    key_of = lambda c: keys.select(F.col("word").alias(c), F.col("key").alias(f"{c}_key"))
+    rows = gold_ranks(items, ranked).join(first, "q", "left").join(key_of("first"), "first", "left").join(key_of("gold"), "gold", "left")
     missed = F.col("rank").isNull() | (F.col("rank") > 1)
-    same = F.coalesce(key("first") == key("gold"), F.lit(False))
+    same = F.coalesce(F.col("first_key") == F.col("gold_key"), F.lit(False))
     return rows.agg(
         F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("rank") <= k).alias(f"within{k}") for k in bounds), F.count_if(F.col("rank").isNull()).alias("absent"),
         F.count_if(missed & same).alias("same_key"), F.count_if(missed & ~same).alias("other_word"),

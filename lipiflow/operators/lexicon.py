@@ -28,6 +28,13 @@ def best_surface(counts: DataFrame, key: str = "word", surface: str = "surface")
     return counts.groupBy(key).agg(F.min_by(surface, F.struct(-F.col("n"), "first")).alias("best"))
 
 
+def display_words(tokens: DataFrame, register: Column, priority: tuple[str, ...] = ("chat", "subs", "wiki")) -> DataFrame:
+    """word, display: the most frequent surface in the first register of `priority` that has the word, of equals the one seen first."""
+    place = F.array_position(F.array(*(F.lit(r) for r in priority)), register)
+    counts = tokens.withColumn("_place", place).where("_place > 0").groupBy("word", "_place", "surface").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    return counts.groupBy("word").agg(F.min_by("surface", F.struct("_place", -F.col("n"), "first")).alias("display"))
+
+
 def register_counts(tokens: DataFrame, register: Column, registers: tuple[str, ...] = ("wiki", "subs", "chat")) -> DataFrame:
     """A row for each word with its count in each register: the full outer merge of the corpora in one aggregate."""
     named = tokens.withColumn("_register", register)
@@ -60,16 +67,18 @@ def source_ranked(romans: DataFrame) -> DataFrame:
 
 def key_index(words: DataFrame, level: str = "coarse") -> DataFrame:
     """words with the phonetic key, ready to be joined by it."""
-    return words.withColumn("key", key_from_roman("word", level)).where(F.col("key") != "")
+    key = F.col(level) if level in words.columns else key_from_roman("word", level)
+    return words.withColumn("key", key).where(F.col("key") != "")
 
 
-def prefix_top(entries: DataFrame, text: str, score: str, max_chars: int, top: int = PREFIX_TOP, keep_whole: bool = True) -> DataFrame:
-    """prefix and the `top` entries with the largest score that begin with it, for prefixes of 1 to max_chars.
+def prefix_top(entries: DataFrame, text: str, score: str, max_chars: int | None, top: int = PREFIX_TOP, keep_whole: bool = True) -> DataFrame:
+    """prefix and the `top` entries with the largest score that begin with it, for prefixes of 1 to max_chars (None: of any length).
 
     Entries are exploded to their prefixes, hence the lookup is an equality join whatever the prefix. Each (prefix, word)
     counts with its best score. keep_whole: an entry counts as its own prefix.
     """
-    longest = F.least(F.length(text) - (0 if keep_whole else 1), F.lit(max_chars))
+    whole = F.length(text) - (0 if keep_whole else 1)
+    longest = whole if max_chars is None else F.least(whole, F.lit(max_chars))
     rows = entries.where(longest >= 1).select("*", F.explode(F.sequence(F.lit(1), longest)).alias("_n")).withColumn("prefix", F.substring(F.col(text), F.lit(1), F.col("_n")))
     best = rows.groupBy("prefix", "word").agg(F.max(score).alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("score"), "word")))

@@ -9,50 +9,107 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.keys import key_from_roman
-from ..functions.scores import fast_supported, score_features, static_prescore, unigram_logp
+from ..functions.scores import context_adjust, fast_supported, score_features, static_prescore, unigram_logp
 
 # Candidates of a channel.
 PER_CHANNEL, LONGER_KEYS, MODEL_SCORED = 30, 15, 16
 
 
+def keyed(df: DataFrame, text: str, level: str) -> DataFrame:
+    """df with its key at the level as `key`, and no rows without one: the column of the level's name where df has it."""
+    key = F.col(level) if level in df.columns else key_from_roman(text, level)
+    return df.withColumn("key", key).where("key <> ''")
+
+
 def top_by_key(words: DataFrame, level: str, top: int = PER_CHANNEL) -> DataFrame:
     """key, word: the best words of each key, score descending and then word descending."""
-    keyed = words.select("word", "score", key_from_roman("word", level).alias("key")).where("key <> ''")
     order = Window.partitionBy("key").orderBy(F.desc("score"), F.desc("word"))
-    return keyed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).drop("_r")
+    rows = keyed(words, "word", level).select("word", "score", "key")
+    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).drop("_r")
+
+
+def top_by_longer_key(words: DataFrame, level: str, top: int = LONGER_KEYS) -> DataFrame:
+    """key, word, gap: the best words whose key goes on after `key`, and by how many letters."""
+    rows = keyed(words, "word", level).where(F.length("key") > 1)
+    rows = rows.select("word", "score", F.col("key").alias("_k"), F.explode(F.sequence(F.lit(1), F.length("key") - 1)).alias("_n"))
+    rows = rows.select(F.substring(F.col("_k"), F.lit(1), F.col("_n")).alias("key"), "word", "score", (F.length("_k") - F.col("_n")).alias("gap"))
+    order = Window.partitionBy("key").orderBy(F.desc("score"), F.desc("word"))
+    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).select("key", "word", "gap")
 
 
-def top_completions(romans: DataFrame, words: DataFrame, max_chars: int = 24, top: int = PER_CHANNEL) -> DataFrame:
-    """prefix, word, rom_prefix, gap: what longer romanizations a prefix may become."""
+def top_completions(romans: DataFrame, words: DataFrame, top: int = PER_CHANNEL) -> DataFrame:
+    """prefix, word, rom_prefix, gap: what longer romanizations a prefix may become; a row for each letter of a romanization goes in."""
     scored = romans.join(words.select("word", "score"), "word", "left").withColumn("_s", F.col("count") * 10000 + F.least(F.coalesce("score", F.lit(0)), F.lit(9999)))
-    rows = scored.where(F.length("roman") > 1).select("word", "count", "_s", "roman", F.explode(F.sequence(F.lit(1), F.least(F.length("roman") - 1, F.lit(max_chars)))).alias("_n"))
+    rows = scored.where(F.length("roman") > 1).select("word", "count", "_s", "roman", F.explode(F.sequence(F.lit(1), F.length("roman") - 1)).alias("_n"))
     rows = rows.select(F.substring(F.col("roman"), F.lit(1), F.col("_n")).alias("prefix"), "word", "count", "_s", (F.length("roman") - F.col("_n")).alias("gap"))
     order = Window.partitionBy("prefix").orderBy(F.desc("_s"), F.desc("word"), F.desc("count"), F.desc("gap"))
     kept = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
     return kept.groupBy("prefix", "word").agg(F.sum("count").alias("rom_prefix"), F.min("gap").alias("gap"))
 
 
-def candidates(queries: DataFrame, words: DataFrame, romans: DataFrame) -> DataFrame:
-    """q, word and features: rom_exact, rom_prefix, gap, key_fine, key_coarse, uni, in_lexicon.
-
-    Completions count only for words without an exact romanization.
+#: Features that channels give, how those of one (query, word) are merged, and what they are where no channel gives one.
+MERGED = {
+    "rom_exact": (F.max, 0), "rom_prefix": (F.max, 0), "gap": (F.min, 0), "personal_sel": (F.max, 0.0), "personal_share": (F.max, 0.0),
+    **dict.fromkeys(("key_fine", "key_coarse", "key_fine_prefix", "key_coarse_prefix", "avro", "is_latin"), (F.bool_or, False)),
+}
+
+
+def candidates(
+    queries: DataFrame,
+    words: DataFrame,
+    romans: DataFrame,
+    completions: DataFrame | None = None,
+    rules: DataFrame | None = None,
+    selections: DataFrame | None = None,
+    own_words: DataFrame | None = None,
+    spelling: DataFrame | None = None,
+) -> DataFrame:
+    """q, word and features: those of MERGED that the given tables have, uni, in_lexicon, personal_word and spelled.
+
+    Channels: romanizations that match, their completions, words of the query's key and of longer keys, the word that
+    rules spell (rules: roman, word), and what was chosen for the query before (selections: roman, word, count), which may
+    be the typed letters themselves. own_words (word, count) and spelling (word) add features to what is there.
+    Completions and the gap count only for words without an exact romanization. queries and words may bring their keys along
+    as columns fine and coarse. A null roman matches nothing.
     """
-    zero, no = F.lit(0).cast("bigint"), F.lit(False)
-    exact = queries.join(romans, "roman").select("q", "word", F.col("count").cast("bigint").alias("rom_exact"), zero.alias("rom_prefix"), F.lit(None).cast("int").alias("gap"), no.alias("key_fine"), no.alias("key_coarse"))
-    longer = top_completions(romans, words)
-    completed = queries.join(longer, queries.roman == longer.prefix).select("q", "word", zero, F.col("rom_prefix").cast("bigint"), "gap", no, no)
-    channels = exact.union(completed)
+    longer = top_completions(romans, words) if completions is None else completions
+    channels = [queries.join(romans, "roman").select("q", "word", F.col("count").cast("bigint").alias("rom_exact"))]
+    channels.append(queries.join(longer, queries.roman == longer.prefix).select("q", "word", F.col("rom_prefix").cast("bigint").alias("rom_prefix"), "gap"))
     for level in ("fine", "coarse"):
-        keyed = queries.select("q", key_from_roman("roman", level).alias("key")).join(top_by_key(words, level), "key")
-        channels = channels.union(keyed.select("q", "word", zero, zero, F.lit(None).cast("int"), F.lit(level == "fine"), F.lit(level == "coarse")))
-    merged = channels.groupBy("q", "word").agg(
-        F.max("rom_exact").alias("rom_exact"), F.max("rom_prefix").alias("rom_prefix"), F.min("gap").alias("gap"), F.bool_or("key_fine").alias("key_fine"), F.bool_or("key_coarse").alias("key_coarse")
-    )
-    some = F.col("rom_exact") > 0
-    merged = merged.withColumn("rom_prefix", F.when(some, 0).otherwise(F.col("rom_prefix"))).withColumn("gap", F.when(some, 0).otherwise(F.coalesce("gap", F.lit(0))))
+        typed = keyed(queries, "roman", level).select("q", "key")
+        channels.append(typed.join(top_by_key(words, level), "key").select("q", "word", F.lit(True).alias(f"key_{level}")))
+        channels.append(typed.join(top_by_longer_key(words, level), "key").select("q", "word", "gap", F.lit(True).alias(f"key_{level}_prefix")))
+    if rules is not None:
+        channels.append(queries.join(rules.where("word <> roman AND word <> ''"), "roman").select("q", "word", F.lit(True).alias("avro")))
+    if selections is not None:
+        shares = selections.withColumn("_share", F.col("count") / F.sum("count").over(Window.partitionBy("roman")))
+        own = queries.select("q", "roman").join(shares, "roman")
+        channels.append(own.select("q", "word", F.col("count").cast("double").alias("personal_sel"), F.col("_share").alias("personal_share"), (F.col("word") == F.col("roman")).alias("is_latin")))
+    rows = channels[0]
+    for c in channels[1:]:
+        rows = rows.unionByName(c, allowMissingColumns=True)
+    given = [f for f in MERGED if f in rows.columns]
+    merged = rows.groupBy("q", "word").agg(*(F.coalesce(MERGED[f][0](f), F.lit(MERGED[f][1])).alias(f) for f in given))
+    for f in ("rom_prefix", "gap"):
+        merged = merged.withColumn(f, F.when(F.col("rom_exact") > 0, 0).otherwise(F.col(f)))
+    if own_words is not None:
+        merged = merged.join(own_words.select("word", F.col("count").alias("personal_word")), "word", "left")
+        merged = merged.withColumn("personal_word", F.when(F.col("is_latin") | F.col("personal_word").isNull(), 0.0).otherwise(F.col("personal_word")))
+    if spelling is not None:
+        merged = merged.join(spelling.select("word", F.lit(True).alias("spelled")).distinct(), "word", "left").withColumn("spelled", F.coalesce("spelled", F.lit(False)))
     return with_prior(merged, words)
 
 
+def with_context(candidates_: DataFrame, before: DataFrame, pairs: DataFrame, totals: DataFrame) -> DataFrame:
+    """Adds context: what the word before (before: q, prev) does to each candidate's log probability.
+
+    pairs: prev, word, count; totals: prev, total. Without a word before, or pairs of it, all candidates have 0.
+    """
+    rows = candidates_.join(before.select("q", "prev"), "q", "left").join(totals.select("prev", F.col("total").alias("_total")), "prev", "left")
+    rows = rows.join(pairs.select("prev", "word", F.col("count").alias("_count")), ["prev", "word"], "left")
+    return rows.withColumn("context", context_adjust("_count", "_total", "uni")).drop("_total", "_count")
+
+
 def with_prior(candidates_: DataFrame, words: DataFrame) -> DataFrame:
     """Adds uni, the unigram log probability, and in_lexicon; the normaliser is one row."""
     total = words.agg((F.coalesce(F.sum("score"), F.lit(0)) + 1).alias("total"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -21,14 +23,38 @@ def log_softmax(scored: DataFrame, group: list[str], score: str = "score") -> Da
     return shifted.withColumn("logp", F.col("_z") - F.log(F.sum(F.exp("_z")).over(w))).drop("_z")
 
 
+#: Vectors of a block of queries and of a block of items: a pair of blocks is one matrix product in a task.
+QUERY_BLOCK, ITEM_BLOCK = 1024, 8192
+
+
+def _blocks(rows: DataFrame, name: str, vector: str, size: int) -> DataFrame:
+    """A row for each block of about `size` vectors, dealt by hash: arrays of ids and of the vectors' values, end to end."""
+    n = max(1, -(-rows.count() // size))
+    dealt = rows.select(name, F.transform(vector, lambda x: x.cast("double")).alias(vector)).withColumn("_b", F.pmod(F.xxhash64(name), F.lit(n)))
+    both = dealt.groupBy("_b").agg(F.collect_list(F.struct(name, vector)).alias("_l"))
+    return both.select(F.col(f"_l.{name}").alias(name), F.flatten(F.col(f"_l.{vector}")).alias(vector))
+
+
 def dense_top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """q, item, score, rank: the k items of largest dot product for each query, of equals the least item.
 
-    Queries come in blocks, each a row with an array of vectors, so that a block meets every item once; the k best of each
-    task are kept by the limited window before the exchange.
+    queries: q, qv; items: item, v. Both are dealt to blocks; each two blocks meet once in a matrix product, of which only
+    the k best of a query, with their ties, leave the task. Rows with a null id or vector are left out.
     """
-    pairs = items.crossJoin(queries)
-    rows = pairs.select("q", "item", F.round(dot("qv", "v"), 6).alias("score"))
+    left = _blocks(queries.where("q IS NOT NULL AND qv IS NOT NULL"), "q", "qv", QUERY_BLOCK)
+    right = _blocks(items.where("item IS NOT NULL AND v IS NOT NULL"), "item", "v", ITEM_BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                q, qv, item, v = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("q", "qv", "item", "v"))
+                scores = np.round(qv.reshape(len(q), -1) @ v.reshape(len(item), -1).T, 6)
+                least = np.partition(scores, -min(k, len(item)), axis=1)[:, -min(k, len(item))]
+                a, c = np.nonzero(scores >= least[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(q[a]), pa.array(item[c]), pa.array(scores[a, c])], names=["q", "item", "score"])
+
+    types = f"q {queries.schema['q'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, score double"
+    rows = left.crossJoin(right).mapInArrow(run, types)
     order = Window.partitionBy("q").orderBy(F.desc("score"), "item")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

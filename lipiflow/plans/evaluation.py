@@ -8,8 +8,8 @@ from ..functions import metrics as M
 from ..functions.scores import TUNED_WEIGHTS
 from ..functions.text import ascii_tokens
 from ..operators import evaluate as E, lexicon as L, retrieve as R, scorer as S
-from .lexicon import CAND, SCORE_SQL
-from .standins import QUERY_SQL, ROMANS, STYLE_EXPRESSIONS, TOK, WORDS, attested, queries, sql_key, sql_style, table, tokens, words
+from .lexicon import CAND, SCORE_SQL, _candidates
+from .standins import QUERY_SQL, ROMANS, STYLE_EXPRESSIONS, TOK, WORDS, keyed_words, queries, sql_key, sql_style, table, tokens, words
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -43,7 +43,7 @@ RANKS = f"""{CAND}, rk AS (SELECT q, word, row_number() OVER (PARTITION BY q ORD
 
 
 def _ranked(spark, d, k=5):
-    return R.ranked(R.candidates(queries(spark, d), words(spark, d), L.merge_romanizations(attested(spark, d))), TUNED_WEIGHTS, k)
+    return R.ranked(_candidates(spark, d), TUNED_WEIGHTS, k)
 
 
 @query(f"""WITH {RANKS} SELECT count(*)::BIGINT AS n, round(100.0 * sum(CASE WHEN rank <= 1 THEN weight ELSE 0 END) / sum(weight), 6) AS top1, round(100.0 * sum(CASE WHEN rank <= 3 THEN weight ELSE 0 END) / sum(weight), 6) AS top3,
@@ -59,6 +59,16 @@ def macro_average(spark, d):
     return E.macro_average(E.word_eval(ranks, by=("set_id",))).select("sets", *(F.round(m, 4).alias(m) for m in ("top1", "top3", "mrr")))
 
 
+@query(f"""WITH {RANKS}, one AS (SELECT q, word FROM rk WHERE rank = 1), g AS (SELECT roman, list(gold) AS golds, sum(weight) AS w FROM qs GROUP BY roman), a AS (SELECT qs.roman, min(one.word) AS word FROM qs LEFT JOIN one USING (q) GROUP BY qs.roman)
+  SELECT round(100.0 * sum(list_min(list_transform(golds, lambda g: levenshtein(coalesce(word, ''), g) / length(g))) * w) / sum(w), 6) AS cer FROM g JOIN a USING (roman)""")
+def mean_least_cer(spark, d):
+    """Of the golds of a spelling the one nearest to the first choice counts; a spelling's queries all have the same choice."""
+    qs = queries(spark, d)
+    golds = qs.groupBy("roman").agg(F.collect_list("gold").alias("golds"), F.sum("weight").alias("weight"))
+    first = qs.select("q", "roman").join(_ranked(spark, d, 1).select("q", "word"), "q", "left").groupBy("roman").agg(F.min("word").alias("word"))
+    return E.mean_least_cer(golds.join(first, "roman"))
+
+
 @query("""WITH p AS (SELECT a.p_name AS h, b.p_name AS r FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1) SELECT h, r, CASE WHEN length(r) = 0 THEN (length(h) > 0)::INT ELSE round(levenshtein(h, r) / length(r), 6) END AS cer FROM p""")
 def cer_ascii(spark, d):
     p = table(spark, d, "part")
@@ -75,9 +85,10 @@ def wer_corpus(spark, d):
     return each.agg(F.sum("errors").alias("errors"), F.sum("words").alias("words"), F.round(100.0 * F.sum("errors") / F.sum("words"), 6).alias("wer"))
 
 
-def _percentiles(spark, d, f, ps):
-    v = table(spark, d, "events").where("value IS NOT NULL").groupBy("event_type").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    return v.select("event_type", *(F.round(f("v", p), 6).alias(f"p{round(p * 100 if p <= 1 else p)}") for p in ps))
+def _percentiles(spark, d, index, ps):
+    name = lambda p: f"p{round(p * 100 if p <= 1 else p)}"
+    found = E.percentiles(table(spark, d, "events"), "event_type", "value", {name(p): lambda n, p=p: index(n, p) for p in ps})
+    return found.select("event_type", *(F.round(name(p), 6).alias(name(p)) for p in ps))
 
 
 VALUES = "v AS (SELECT event_type, list(value ORDER BY value) AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1)"
@@ -85,26 +96,26 @@ VALUES = "v AS (SELECT event_type, list(value ORDER BY value) AS v, count(*) AS
 
 @query(f"WITH {VALUES} SELECT event_type, " + ", ".join(f"round(v[greatest(1, least(n, round_even({p} / 100.0 * n + 0.5, 0)::BIGINT))], 6) AS p{p}" for p in (50, 95, 99)) + " FROM v")
 def percentiles_eval(spark, d):
-    return _percentiles(spark, d, M.percentile_eval, (50, 95, 99))
+    return _percentiles(spark, d, M.index_eval, (50, 95, 99))
 
 
 @query(f"WITH {VALUES} SELECT event_type, round(v[n // 2 + 1], 6) AS p50, round(v[least(n - 1, floor(n * 0.95::DOUBLE)::BIGINT) + 1], 6) AS p95 FROM v")
 def percentiles_telemetry(spark, d):
-    return _percentiles(spark, d, M.percentile_telemetry, (0.5, 0.95))
+    return _percentiles(spark, d, M.index_telemetry, (0.5, 0.95))
 
 
 @query(f"WITH {VALUES} SELECT event_type, round(v[round((n - 1) * 0.5::DOUBLE)::BIGINT + 1], 6) AS p50, round(v[round((n - 1) * 0.9::DOUBLE)::BIGINT + 1], 6) AS p90 FROM v")
 def percentiles_bench(spark, d):
-    return _percentiles(spark, d, M.percentile_bench, (0.5, 0.9))
+    return _percentiles(spark, d, M.index_bench, (0.5, 0.9))
 
 
-@query(f"""WITH {WORDS}, {QUERY_SQL}, px AS (SELECT left(word, i) AS prefix, word, score FROM (SELECT word, score, unnest(range(1, least(length(word), 16) + 1)) AS i FROM words)),
+@query(f"""WITH {WORDS}, {QUERY_SQL}, px AS (SELECT left(word, i) AS prefix, word, score FROM (SELECT word, score, unnest(range(1, length(word) + 1)) AS i FROM words)),
   pr AS (SELECT prefix, word, row_number() OVER (PARTITION BY prefix ORDER BY score DESC, word) AS rank FROM px),
   ty AS (SELECT q, gold, length(gold) AS n, unnest(range(1, length(gold) + 1)) AS i FROM qs),
   e AS (SELECT q, n, min(CASE WHEN rank = 1 THEN i END) AS f1, min(CASE WHEN rank <= 5 THEN i END) AS fk FROM ty LEFT JOIN pr ON prefix = left(gold, i) AND pr.word = gold GROUP BY q, n)
   SELECT sum(n)::BIGINT AS keystrokes, sum(coalesce(n - f1, 0))::BIGINT AS saved_top1, sum(coalesce(n - fk, 0))::BIGINT AS saved_topk, count(*) FILTER (f1 IS NULL)::BIGINT AS never_top1, count(*) FILTER (fk IS NULL)::BIGINT AS never_topk FROM e""")
 def keystroke_replay(spark, d):
-    ranks = L.prefix_top(words(spark, d).withColumn("text", F.col("word")), "text", "score", 16, 5)
+    ranks = L.prefix_top(words(spark, d).withColumn("text", F.col("word")), "text", "score", None, 5)
     return E.replay(queries(spark, d).select("q", F.col("gold").alias("roman"), "gold"), ranks, 5)
 
 
@@ -120,14 +131,14 @@ def rerank_grid(spark, d):
 _STYLED = ", ".join(f"('{n}', {sql_style(n, 'word')})" for n in STYLE_EXPRESSIONS)
 
 
-@query(f"""WITH {WORDS} SELECT word, style, roman FROM (SELECT word, s[1] AS style, s[2] AS roman FROM (SELECT word, unnest([{', '.join(f"['{n}', {sql_style(n, 'word')}]" for n in STYLE_EXPRESSIONS)}, ['as_is', word]]) AS s FROM words WHERE score >= 20)) WHERE regexp_matches(roman, '[A-Za-z]')""")
+@query(f"""WITH {WORDS} SELECT word, style, roman FROM (SELECT word, s[1] AS style, s[2] AS roman FROM (SELECT word, unnest([{', '.join(f"['{n}', {sql_style(n, 'word')}]" for n in STYLE_EXPRESSIONS)}, ['as_is', word]]) AS s FROM words)) WHERE regexp_matches(roman, '[A-Za-z]')""")
 def style_variants(spark, d):
     from ..operators.stress import variants
 
-    return variants(words(spark, d).where("score >= 20").select("word"))
+    return variants(words(spark, d).select("word"))
 
 
-@query(f"""WITH {WORDS}, {sql_key('coarse', 'words', out='kc')}, v AS (SELECT word, s[1] AS style, s[2] AS roman FROM (SELECT word, unnest([{', '.join(f"['{n}', {sql_style(n, 'word')}]" for n in STYLE_EXPRESSIONS)}, ['as_is', word]]) AS s FROM words WHERE score >= 20)),
+@query(f"""WITH {WORDS}, {sql_key('coarse', 'words', out='kc')}, v AS (SELECT word, s[1] AS style, s[2] AS roman FROM (SELECT word, unnest([{', '.join(f"['{n}', {sql_style(n, 'word')}]" for n in STYLE_EXPRESSIONS)}, ['as_is', word]]) AS s FROM words)),
   kv AS (SELECT roman AS word FROM v), {sql_key('coarse', 'kv', out='kq')}, tk AS (SELECT key, w.word, row_number() OVER (PARTITION BY key ORDER BY score DESC, w.word DESC) AS rank FROM words w JOIN kc USING (word) WHERE key <> '')
   SELECT style, count(*)::BIGINT AS n, round(100.0 * count(*) FILTER (rank = 1) / count(*), 6) AS top1, round(100.0 * count(*) FILTER (rank <= 5) / count(*), 6) AS top5 FROM v JOIN kq ON v.roman = kq.word LEFT JOIN tk ON tk.key = kq.key AND tk.word = v.word AND rank <= 30 GROUP BY style""")
 def stress_summary(spark, d):
@@ -136,9 +147,10 @@ def stress_summary(spark, d):
     from ..functions.keys import key_from_roman
     from ..operators.stress import summary, variants
 
-    w = words(spark, d)
+    w = keyed_words(spark, d)
     top = R.top_by_key(w, "coarse").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), F.desc("word")))).select("key", "word", "rank")
-    v = variants(w.where("score >= 20").select("word")).withColumn("key", key_from_roman("roman"))
+    v = variants(w.select("word")).join(w.select(F.col("word").alias("roman"), "coarse"), "roman", "left")
+    v = v.withColumn("key", F.coalesce("coarse", key_from_roman("roman")))
     return summary(v.join(top, ["key", "word"], "left"), "style")
 
 
@@ -179,6 +191,4 @@ def softmax_scores(spark, d):
   SELECT count(*)::BIGINT AS n, {', '.join(f'count(*) FILTER (rank <= {k})::BIGINT AS within{k}' for k in (1, 3, 5, 10, 50))}, count(*) FILTER (rank IS NULL)::BIGINT AS absent,
   count(*) FILTER ((rank IS NULL OR rank > 1) AND coalesce(same, false))::BIGINT AS same_key, count(*) FILTER ((rank IS NULL OR rank > 1) AND NOT coalesce(same, false))::BIGINT AS other_word FROM x""")
 def context_eval(spark, d):
-    from ..functions.keys import key_from_roman
-
-    return E.context_eval(queries(spark, d), _ranked(spark, d, 50), key_from_roman)
+    return E.context_eval(queries(spark, d), _ranked(spark, d, 50), keyed_words(spark, d).select("word", F.col("coarse").alias("key")))

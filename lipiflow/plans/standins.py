@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.keys import key_from_roman
 from ..functions.text import ascii_tokens
-from ..operators import lexicon as L
+from ..operators import lexicon as L, retrieve as R
+from ..sources.store import built_once
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -22,9 +24,28 @@ def register() -> F.Column:
     return F.when(F.col("lang") == "en", "wiki").when(F.col("lang") == "fr", "subs").otherwise("chat")
 
 
+def with_keys(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("fine", key_from_roman(text, "fine")).withColumn("coarse", key_from_roman(text, "coarse"))
+
+
 def words(spark: SparkSession, d: str) -> DataFrame:
     """word, wiki, subs, chat, score."""
-    return L.scored(L.register_counts(tokens(spark, d), register()))
+    return built_once(spark, d, "words", lambda: L.scored(L.register_counts(tokens(spark, d), register())))
+
+
+def keyed_words(spark: SparkSession, d: str) -> DataFrame:
+    """words with their keys, fine and coarse."""
+    return built_once(spark, d, "keyed-words", lambda: with_keys(words(spark, d), "word"))
+
+
+def romans(spark: SparkSession, d: str) -> DataFrame:
+    """roman, word, count, src."""
+    return built_once(spark, d, "romans", lambda: L.merge_romanizations(attested(spark, d)))
+
+
+def completions(spark: SparkSession, d: str) -> DataFrame:
+    """prefix, word, rom_prefix, gap."""
+    return built_once(spark, d, "completions", lambda: R.top_completions(romans(spark, d), words(spark, d)))
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -49,11 +70,15 @@ def attested(spark: SparkSession, d: str) -> DataFrame:
     return counts.select(F.explode(romans).alias("roman"), "word", "count", bit.alias("src"))
 
 
-def queries(spark: SparkSession, d: str, least: int = 3) -> DataFrame:
-    """q, roman, gold, weight: words of some frequency, typed without h where that changes them."""
-    w = words(spark, d).withColumn("n", F.col("wiki") + F.col("subs") + F.col("chat")).where(F.col("n") >= least)
-    typed = w.withColumn("roman", F.expr(STYLE_EXPRESSIONS["no_h"].replace("{w}", "word").replace("{1}", "$1"))).where("roman <> word")
-    return typed.select(F.col("word").alias("q"), "roman", F.col("word").alias("gold"), F.col("n").alias("weight"))
+def queries(spark: SparkSession, d: str) -> DataFrame:
+    """q, roman, gold, weight, fine, coarse: every word that is typed otherwise without h, and the keys of how it is typed."""
+
+    def make():
+        w = words(spark, d).withColumn("n", F.col("wiki") + F.col("subs") + F.col("chat"))
+        typed = w.withColumn("roman", F.expr(STYLE_EXPRESSIONS["no_h"].replace("{w}", "word").replace("{1}", "$1"))).where("roman <> word")
+        return with_keys(typed.select(F.col("word").alias("q"), "roman", F.col("word").alias("gold"), F.col("n").alias("weight")), "roman")
+
+    return built_once(spark, d, "queries", make)
 
 
 def sql_style(name: str, w: str) -> str:
@@ -70,7 +95,7 @@ SENT = """sent AS (SELECT sent, role, i - 1 AS pos, lower(w[i]) AS word FROM (SE
 ROMANS = f"""att AS (SELECT unnest(list_distinct([word, {', '.join(sql_style(s, 'word') for s in STYLE_EXPRESSIONS)}])) AS roman, word, n, src FROM
   (SELECT word, source, count(*) AS n, 1 << (substr(source, 4, 3)::INT % 3) AS src FROM tok GROUP BY word, source)),
   romans AS (SELECT roman, word, least(sum(n), 2147483647)::BIGINT AS cnt, bit_or(src) AS src FROM att GROUP BY roman, word)"""
-QUERY_SQL = f"""qs AS (SELECT word AS q, roman, word AS gold, n AS weight FROM (SELECT word, wiki + subs + chat AS n, {sql_style('no_h', 'word')} AS roman FROM words) WHERE n >= 3 AND roman <> word)"""
+QUERY_SQL = f"""qs AS (SELECT word AS q, roman, word AS gold, n AS weight FROM (SELECT word, wiki + subs + chat AS n, {sql_style('no_h', 'word')} AS roman FROM words) WHERE roman <> word)"""
 
 
 def sql_key(level: str, source: str, word: str = "word", out: str = "keyed") -> str:

@@ -114,10 +114,10 @@ def chunk_dedup(spark, d):
 
 
 @query(f"""WITH {COMMITS}, l AS (SELECT install, h, event_id, sum(length(roman || ' ' || chose) + 1) OVER (PARTITION BY install ORDER BY h, event_id) AS u FROM com WHERE h >= '2024-01-10T00')
-  SELECT install, event_id, t AS truncated FROM (SELECT *, max(u) OVER (PARTITION BY install) > 500 AS t FROM l) WHERE u <= 500""")
+  SELECT install, event_id, t AS truncated FROM (SELECT *, max(u) OVER (PARTITION BY install) > {T.EXPORT_BYTES} AS t FROM l) WHERE u <= {T.EXPORT_BYTES}""")
 def export_since(spark, d):
     rows = commits(spark, d).select("install", "h", F.col("h").alias("chunk"), F.col("event_id").alias("line_no"), F.concat("roman", F.lit(" "), "chose").alias("line"))
-    return T.export(rows, "2024-01-10T00", 500).select("install", F.col("line_no").alias("event_id"), "truncated")
+    return T.export(rows, "2024-01-10T00").select("install", F.col("line_no").alias("event_id"), "truncated")
 
 
 NOW = 1706745600.0  # 2024-02-01

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,12 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scores import HALF_LIFE_DAYS
 from ..operators.telemetry import hour_bucket
+from ..sources.store import shared_dir
 from ..sources.writers import put_chunks
 
 
 def _shared(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lipiflow-")
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, out: str, mode: str = "append", checkpoint: str | None = None) -> None:
