@@ -63,6 +63,7 @@ def candidates(
     selections: DataFrame | None = None,
     own_words: DataFrame | None = None,
     spelling: DataFrame | None = None,
+    key_indexes: dict[str, tuple[DataFrame, DataFrame]] | None = None,
 ) -> DataFrame:
     """q, word and features: those of MERGED that the given tables have, uni, in_lexicon, personal_word and spelled.
 
@@ -70,15 +71,17 @@ def candidates(
     rules spell (rules: roman, word), and what was chosen for the query before (selections: roman, word, count), which may
     be the typed letters themselves. own_words (word, count) and spelling (word) add features to what is there.
     Completions and the gap count only for words without an exact romanization. queries and words may bring their keys along
-    as columns fine and coarse. A null roman matches nothing.
+    as columns fine and coarse. completions and key_indexes (for each level what top_by_key and top_by_longer_key give) are
+    made here unless they are given. A null roman matches nothing.
     """
     longer = top_completions(romans, words) if completions is None else completions
     channels = [queries.join(romans, "roman").select("q", "word", F.col("count").cast("bigint").alias("rom_exact"))]
     channels.append(queries.join(longer, queries.roman == longer.prefix).select("q", "word", F.col("rom_prefix").cast("bigint").alias("rom_prefix"), "gap"))
     for level in ("fine", "coarse"):
         typed = keyed(queries, "roman", level).select("q", "key")
-        channels.append(typed.join(top_by_key(words, level), "key").select("q", "word", F.lit(True).alias(f"key_{level}")))
-        channels.append(typed.join(top_by_longer_key(words, level), "key").select("q", "word", "gap", F.lit(True).alias(f"key_{level}_prefix")))
+        same, beyond = key_indexes[level] if key_indexes else (top_by_key(words, level), top_by_longer_key(words, level))
+        channels.append(typed.join(same, "key").select("q", "word", F.lit(True).alias(f"key_{level}")))
+        channels.append(typed.join(beyond, "key").select("q", "word", "gap", F.lit(True).alias(f"key_{level}_prefix")))
     if rules is not None:
         channels.append(queries.join(rules.where("word <> roman AND word <> ''"), "roman").select("q", "word", F.lit(True).alias("avro")))
     if selections is not None:

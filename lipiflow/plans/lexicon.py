@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import scores
 from ..functions.text import ascii_tokens, is_latin_only, normalize_roman
 from ..operators import lexicon as L, retrieve as R
-from .standins import QUERY_SQL, ROMANS, SENT, STYLE_EXPRESSIONS, TOK, WORDS, completions, keyed_words, queries, register, romans, sentences, sql_key, sql_style, table, tokens, words
+from .standins import QUERY_SQL, ROMANS, SENT, STYLE_EXPRESSIONS, TOK, WORDS, completions, key_indexes, keyed_words, queries, register, romans, sentences, sql_key, sql_style, table, tokens, words
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -127,8 +127,8 @@ def prefix_lookup(spark, d):
   s AS (SELECT q, roman, best.word, round(0.5 * ln((best.score + 0.5) / t) + 0.6, 6) AS score FROM qs JOIN keyedq ON qs.roman = keyedq.word JOIN best USING (key), total)
   SELECT roman, q AS gold, word, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, word) AS rank FROM s) WHERE rank <= 5""")
 def suggest_by_key(spark, d):
-    w, qs = keyed_words(spark, d), queries(spark, d)
-    found = qs.select("q", "roman", F.col("coarse").alias("key")).join(R.top_by_key(w, "coarse"), "key").select("q", "roman", "word", "score")
+    w, qs = words(spark, d), queries(spark, d)
+    found = qs.select("q", "roman", F.col("coarse").alias("key")).join(key_indexes(spark, d)["coarse"][0], "key").select("q", "roman", "word", "score")
     s = F.round(scores.TUNED_WEIGHTS["unigram"] * scores.unigram_logp("score", "total") + scores.TUNED_WEIGHTS["key_coarse"], 6)
     order = Window.partitionBy("q").orderBy(F.desc("score"), "word")
     top = found.crossJoin(F.broadcast(L.normaliser(w))).withColumn("score", s).withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 5")
@@ -163,7 +163,7 @@ SCORE_SQL = f"""({_W['unigram']} * uni + CASE WHEN rom_exact > 0 THEN {_W['rom_e
 
 
 def _candidates(spark, d):
-    return R.candidates(queries(spark, d), keyed_words(spark, d), romans(spark, d), completions(spark, d))
+    return R.candidates(queries(spark, d), keyed_words(spark, d), romans(spark, d), completions(spark, d), key_indexes=key_indexes(spark, d))
 
 
 @query(f"WITH {CAND} SELECT q, word, rom_exact, rom_prefix, gap, key_fine, key_coarse, key_fine_prefix, key_coarse_prefix, round(uni, 6) AS uni FROM cand")
@@ -228,7 +228,7 @@ def suggest_with_evidence(spark, d):
     chosen = own.select(F.expr(STYLE_EXPRESSIONS["no_h"].replace("{w}", "word").replace("{1}", "$1")).alias("roman"), "word", "count")
     rules = qs.select("roman", F.replace("roman", F.lit("f"), F.lit("ph")).alias("word")).distinct()
     spelling = table(spark, d, "benchmark").select(F.explode(ascii_tokens("text")).alias("w")).select(F.lower("w").alias("word"))
-    c = R.candidates(qs, keyed_words(spark, d), romans(spark, d), completions(spark, d), rules, chosen, own, spelling)
+    c = R.candidates(qs, keyed_words(spark, d), romans(spark, d), completions(spark, d), rules, chosen, own, spelling, key_indexes(spark, d))
     before = qs.select("q", F.when(F.length("q") % 2 == 0, L.START).otherwise("the").alias("prev"))
     c = R.with_context(c, before, L.followers(f), L.pair_totals(f))
     personal = F.round(scores.personal_bonus("personal_sel", F.col("personal_share"), _W), 6)

@@ -48,6 +48,12 @@ def completions(spark: SparkSession, d: str) -> DataFrame:
     return built_once(spark, d, "completions", lambda: R.top_completions(romans(spark, d), words(spark, d)))
 
 
+def key_indexes(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """For each level the best words of each key, and of longer keys."""
+    made = {"same": R.top_by_key, "longer": R.top_by_longer_key}
+    return {level: tuple(built_once(spark, d, f"key-{level}-{n}", lambda f=f, level=level: f(keyed_words(spark, d), level)) for n, f in made.items()) for level in ("fine", "coarse")}
+
+
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     """sent, pos, word of conversations."""
     turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent"), "role", F.posexplode(ascii_tokens("text")).alias("pos", "surface"))
