@@ -13,6 +13,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a longer document forms a pass of its own.
 PASS_BYTES = 1 << 19
@@ -48,6 +49,19 @@ def stored(df, name: str, partition_by: str | None = None):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def surviving(docs, rows):
+    """The rows of docs that `rows` (doc_id, text_hash, kept) keeps, with all their columns.
+
+    A row is found by its id and its text's hash. Rows that repeat both are one document, of which one row stays.
+    """
+    names = [f"_{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    doc_id = names[docs.columns.index("doc_id")]
+    own = docs.select("*", F.xxhash64("text")).toDF(*names, "_text_hash").dropDuplicates([doc_id, "_text_hash"])
+    kept = rows.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash"))
+    return own.join(kept, same, "left_semi").select(*names).toDF(*docs.columns)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * _C2

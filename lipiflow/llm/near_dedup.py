@@ -364,7 +364,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, f1, f2 of each row; f1, f2, class_id, class_row, n_links of each text), both stored.
+    """(row, doc_id, hash, f1, f2 of each row; f1, f2, class_id, class_row, n_links of each text), both stored.
 
     A row's number is given when it is read here. class_row is the row of the class with the least (doc_id, row).
     """
@@ -408,7 +408,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     labelled = stored(labelled.select("f1", "f2", "node", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "omh-labels")
     heads = stored(labelled.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("head")), "omh-heads")
     named = labelled.join(heads, "label").select("f1", "f2", F.col("head.doc_id").alias("class_id"), F.col("head.node").alias("class_row"), "n_links")
-    return base.select("row", "doc_id", "f1", "f2"), stored(named, "omh-classes")
+    return base.select("row", "doc_id", "hash", "f1", "f2"), stored(named, "omh-classes")
 
 
 _SKETCHED = "row long, doc_id long, hash long, f1 long, f2 long, words long, sketches array<long>, shape binary"
@@ -425,10 +425,16 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     (class_id is null, n_links 0); rows that repeat a doc_id with another text are documents of their own. Other columns
     are ignored; an empty table gives no rows.
     """
+    return near_rows(docs, similarity).drop("text_hash")
+
+
+def near_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """As near_dedup, with text_hash, that of the row's text as it is."""
     rows, classes = near_classes(docs, similarity)
     joined = rows.join(classes, ["f1", "f2"], "left")
     return joined.select(
         "doc_id",
+        F.col("hash").alias("text_hash"),
         F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.col("n_links")).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
         (F.col("doc_id").isNull() | (F.col("row") == F.col("class_row"))).alias("kept"),

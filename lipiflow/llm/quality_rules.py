@@ -107,14 +107,19 @@ COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 )
 
 
+def _verdicts(texts: pa.Array) -> dict[str, np.ndarray]:
+    m = _measure(texts)
+    m["base_failed"] = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+    m["kept"] = ~m["base_failed"] & (m["dup_line_share"] <= LINE_LIMIT)
+    for n, most in NGRAM_LIMITS.items():
+        m["kept"] &= m[f"dup_{n}gram_share"] <= most
+    return m
+
+
 def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in passes(batch):
-            m = _measure(part.column("text"))
-            m["base_failed"] = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-            m["kept"] = ~m["base_failed"] & (m["dup_line_share"] <= LINE_LIMIT)
-            for n, most in NGRAM_LIMITS.items():
-                m["kept"] &= m[f"dup_{n}gram_share"] <= most
+            m = _verdicts(part.column("text"))
             names = [c.split()[0] for c in COLUMNS.split(", ")]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(m[c].astype(float) if c.endswith("share") else m[c]) for c in names[1:])], names=names)
 
@@ -126,3 +131,18 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     on its own; other columns are ignored; an empty table gives no rows. No exchange takes place.
     """
     return docs.select("doc_id", "text").mapInArrow(_rules, COLUMNS)
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_rules keeps: each row by its own text, without any join."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judged = pa.RecordBatch.from_arrays([batch.column(place), pa.array(np.arange(batch.num_rows))], names=["text", "row"])
+            keep = np.zeros(batch.num_rows, bool)
+            for part in passes(judged):
+                keep[part.column("row").to_numpy()] = _verdicts(part.column("text"))["kept"]
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -236,21 +236,33 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
         "distinct-segments",
     )
     twice = flagged.where("mixed").join(texts.where("n > 1").select("key", "span"), ["key", "span"]).select("num", "start", "count")
-    names = parsed.select("num", "doc", "row")
+    # of rows that repeat a document one speaks for all
+    names = parsed.groupBy("doc", "row").agg(F.min("num").alias("num"))
     asked = (
         texts.select("one.*").groupBy("num").agg(F.collect_list(F.struct("start", "count")).alias("asked")).join(names, "num").select("doc", "row", "asked")
     )
-    asked = asked.groupBy("doc", "row").agg(F.array_distinct(F.flatten(F.collect_list("asked"))).alias("asked"))
     # rows that repeat a document hold one text: their segments were found twice above
     own = base.select("doc", "row", "text").join(asked, ["doc", "row"]).select("doc", "row", "text", "asked")
     windows = stored(own.mapInArrow(_window_rows(window), "doc long, row long, w1 long, w2 long, start int"), "windows")
     again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    single = windows.join(again, ["w1", "w2"], "left_semi").select("doc", "row", "start", F.lit(1).alias("count"))
+    single = windows.join(again, ["w1", "w2"], "left_semi").select("doc", "row", "start", F.lit(1).alias("count")).distinct()
     by_doc = sure.union(twice).groupBy("num").agg(F.collect_list(F.struct("start", "count")).alias("ranges")).join(names, "num").select("doc", "row", "ranges")
     singles = single.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
     return by_doc.union(singles).groupBy("doc", "row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
+def cut_documents(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+    """docs with the repeated passages cut from text, and n_chars, where there is one, made to fit; other columns stay."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = substring_dedup(docs, window, rounds, carry=others)
+    # the results stand before the carried columns, whatever those are called
+    cut = cut.toDF("_doc_id", "_n_words", "_n_removed", "_kept_text", *(f"_carried_{i}" for i in range(len(others))))
+    of = {"doc_id": F.col("_doc_id"), "text": F.col("_kept_text")} | {c: F.col(f"_carried_{i}") for i, c in enumerate(others)}
+    if "n_chars" in others:
+        of["n_chars"] = F.length("_kept_text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(of[c].alias(c) for c in docs.columns))
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, digest: bool = False, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text for each row of docs; kept_sha256 in place of the text if `digest`.
 
@@ -282,7 +294,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
                 yield pa.RecordBatch.from_arrays([*columns, *own], names=names)
 
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
-    fields += [T.StructField("kept_sha256" if digest else "kept_text", T.StringType())] + [docs.schema[c] for c in carry]
+    fields += [T.StructField("kept_sha256" if digest else "kept_text", T.StringType())]
+    results = [f.name for f in fields]
+    fields += [T.StructField(f"carried_{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]  # carried columns may be called like results
     names = [f.name for f in fields]
     joined = _identified(docs, carry).join(ranges, ["doc", "row"], "left").drop("doc", "row")
-    return joined.mapInArrow(run, T.StructType(fields))
+    return joined.mapInArrow(run, T.StructType(fields)).toDF(*results, *carry)

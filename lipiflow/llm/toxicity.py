@@ -20,8 +20,8 @@ from .common import Words, mix, passes
 #: Buckets that words are hashed to, words that a model may use, and labelled rows for training.
 BUCKETS, FEATURES, SAMPLE_ROWS = 1 << 20, 256, 20_000
 FOLDS = 5
-#: Categories in the chain's order, as SQL over the labels.
-CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 AND quality = 0"}
+#: Categories in the chain's order, as SQL over the labels; the verdict is the last one's.
+CATEGORIES = {"low_quality": "quality = 0", "toxic_low_quality": "toxic = 1 AND quality = 0", "toxic": "toxic = 1"}
 THRESHOLD = 0.4
 
 
@@ -147,20 +147,22 @@ def fit_chain(words, offsets, labels: np.ndarray, names: list[str], folds: int =
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, categories: dict[str, str] = CATEGORIES) -> Chain:
     """A chain fitted to at most `sample_rows` labelled documents, those whose doc_id hashes lowest.
 
-    Labels that are null, or of a document that is not there, are left out; of repeated ones the first counts.
-    Only the sample's word buckets come to the driver.
+    Labels that are null, or of a document that is not there, are left out; of repeated ones the least (quality, toxic)
+    counts, of rows that repeat a doc_id the one whose buckets come first. The sample, which is bounded, goes to the
+    documents; only its word buckets come to the driver.
     """
-    valid = labels.select("doc_id", "quality", "toxic").where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").dropDuplicates(["doc_id"])
+    valid = labels.select("doc_id", "quality", "toxic").where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
+    valid = valid.groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("one")).select("doc_id", "one.*")
     drawn = valid.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h").limit(sample_rows)
     flags = [F.expr(e).cast("int").alias(f"_c{i}") for i, e in enumerate(categories.values())]
-    sample = docs.select("doc_id", "text").join(drawn, "doc_id").select("_h", "doc_id", F.array(*flags).alias("y"), "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("_h", "doc_id", F.array(*flags).alias("y"), "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, offsets = word_buckets(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("_h"), b.column("y"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words, pa.int32()))], names=["h", "y", "words"])
 
-    got = sample.mapInArrow(features, "h long, y array<int>, words array<int>").dropDuplicates(["h"]).toArrow().combine_chunks()
+    got = sample.mapInArrow(features, "h long, y array<int>, words array<int>").groupBy("h").agg(F.min(F.struct("y", "words")).alias("one")).select("h", "one.*").toArrow().combine_chunks()
     names = list(categories)
     if not got.num_rows:
         return fit_chain(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, len(names))), names)
