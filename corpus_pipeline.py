@@ -4,53 +4,47 @@ Every stage takes all rows that the one before kept and, but for the last, retur
 A document that quality rules reject goes; of equal texts the one with the largest doc_id stays; of a class of
 near duplicates the one with the least; repeated passages of 35 words or more are cut from what is left; the
 rest is packed into sequences, a row for each piece. Documents without any word left are still packed: they
-hold an end token.
+hold an end token. Rows are told apart by id and text; extra columns come along to the last stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from lipiflow.llm.common import documents, stored
-from lipiflow.llm.exact_dedup import exact_dedup
-from lipiflow.llm.near_dedup import near_dedup
+from lipiflow.llm.common import documents, stored, surviving
+from lipiflow.llm.exact_dedup import exact_rows
+from lipiflow.llm.near_dedup import near_rows
 from lipiflow.llm.packing import packed_sequences
-from lipiflow.llm.quality_rules import quality_rules
+from lipiflow.llm.quality_rules import passing
 from lipiflow.llm.queries import tokenizer
-from lipiflow.llm.substring_dedup import substring_dedup
+from lipiflow.llm.substring_dedup import cut_documents
 
 #: SQL cannot express near-duplicate classes, so there is none for the whole; tests hold stages against brute force.
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id a verdict names; an id that is null or repeated has one verdict for all its rows."""
-    ids = verdicts.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids._kept_id), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality_rules(docs))
+    """The rows whose own text passes: null and empty texts go, null and repeated ids are nothing special."""
+    return passing(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact_dedup(docs))
+    """One row of each group of equal texts: that of the largest doc_id, a null id being below all others."""
+    return surviving(docs, exact_rows(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_dedup(docs))
+    """One row of each class: that of the least doc_id. Rows without an id are in no class and stay, but for repeated ones."""
+    return surviving(docs, near_rows(docs))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The text becomes the kept words; n_chars follows it."""
-    cut = substring_dedup(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
-    out = cut.drop("n_words", "n_removed").withColumnRenamed("kept_text", "text")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    """All rows; the text becomes the kept words, joined by one space, and n_chars follows it. A null text becomes empty."""
+    return cut_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row's ids; the columns of op9. A null text is empty and still has its end token."""
     return packed_sequences(docs, tokenizer("word_bpe_49k.json"))
 
 
