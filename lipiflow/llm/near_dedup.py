@@ -7,9 +7,8 @@ chance instead, by triples of the words that come first in one order of all word
 a sketch are candidates. Each first meets the bucket's first text: one pair a text, which joins most copies. Word
 counts rule out most unlike pairs, a banded alignment of the words verifies the others; verified pairs are joined
 to classes by alternating star contractions. Then all pairs of a bucket whose texts are still in different classes
-and near enough in length are met in blocks, and those verified that word counts do not rule out, the likelier ones
-first, unless a class has come to hold both; so the classes are those that verifying every pair of every bucket
-would give.
+and near enough in length are met in blocks, once however many sketches they share, and those verified that word
+counts do not rule out; so the classes are those that verifying every pair of every bucket would give.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ LONG, SHORTER_KMER, FEWER_SKETCHES = 256, 3, 32
 #: Pairs whose longer text has fewer words than this are found by triples.
 SHORT = 20
 #: Texts of a bucket that one block holds against as many others, and counters of a text's words.
-BLOCK, BINS = 1024, 256
+BLOCK, BINS = 512, 256
 
 
 def occurrences(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -100,22 +99,24 @@ def short_triples(h: np.ndarray, first: np.ndarray, similarity: float = SIMILARI
     return np.concatenate(docs), np.concatenate(keys)
 
 
-def text_sketches(w: Words, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and values of the sketches of each document.
+def text_sketches(w: Words, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets and values of the sketches of each document, and halves of those of k-mers in a table, each sketch in its column.
 
     There are three kinds: triples of short texts, sketches of short k-mers and of long ones. A text has those of two
     kinds where texts similar to it may be on either side of the border between the kinds.
     """
     sizes, h = np.diff(w.first), w.hashes()
     reaches = lambda n: sizes >= n - int((1 - similarity) * n + 1e-9)
-    docs, keys = short_triples(h, w.first, similarity)
-    found = [(docs, keys)]
+    found = [short_triples(h, w.first, similarity)]
+    table, column = np.zeros((len(sizes), FEWER_SKETCHES + SKETCHES), np.uint32), 0
     for which, k, sketches in ((reaches(SHORT) & (sizes < LONG), SHORTER_KMER, FEWER_SKETCHES), (reaches(LONG), KMER, SKETCHES)):
         at, values = omh_sketches(h, w.first, which, k, sketches)
         found.append((np.repeat(at, sketches), values.ravel()))
+        table[at, column : column + sketches] = values.astype(np.uint32)
+        column += sketches
     docs, keys = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(docs, kind="stable")
-    return np.append(0, np.cumsum(np.bincount(docs, minlength=len(sizes)))).astype(np.int32), keys[order]
+    return np.append(0, np.cumsum(np.bincount(docs, minlength=len(sizes)))).astype(np.int32), keys[order], table
 
 
 def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -229,14 +230,12 @@ def word_shapes(w: Words) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=docs * BINS), 255).astype(np.uint8).reshape(docs, BINS)
 
 
-#: Shares of the allowed edits up to which word counts put a pair into each tier but the last.
-TIERS = np.array([0.75, 0.88])
 #: Lengths of texts that are similar enough differ by one level at most: a little wider than 1 / SIMILARITY.
 LEVEL = 1.26
 
 
-def _unlike(c: dict[str, np.ndarray], shape: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of a group of two blocks that are in different classes and may be similar enough, with their tiers.
+def _unlike(c: dict[str, np.ndarray], shape: np.ndarray, table: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a group of two blocks that are in different classes, may be similar enough, and share no earlier sketch.
 
     Of a group of two levels, pairs of the upper one are left to the next group; within a block, each pair is met once.
     """
@@ -244,7 +243,8 @@ def _unlike(c: dict[str, np.ndarray], shape: np.ndarray, similarity: float) -> t
     late = c["own"] != c["i"]
     left, right = (np.flatnonzero(~late), np.flatnonzero(late)) if across else (np.arange(len(late)),) * 2
     node, label, words, low = c["node"], c["label"], c["words"], c["level"] == c["lower"]
-    ends_a, ends_b, tiers = [], [], []
+    here = np.uint32(int(c["key"][0]) & 0xFFFFFFFF)
+    found_p, found_q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = max(65536 // max(len(right), 1), 1)
     for at in range(0, len(left), step):
         x = left[at : at + step]
@@ -254,22 +254,45 @@ def _unlike(c: dict[str, np.ndarray], shape: np.ndarray, similarity: float) -> t
         i, j = np.nonzero(may)
         for cut in range(0, len(i), 4096):
             p, q = x[i[cut : cut + 4096]], right[j[cut : cut + 4096]]
-            share = _least_edits(words[p], words[q], shape[p], shape[q], similarity)
-            good = share <= 1
-            a, b = node[p[good]], node[q[good]]
-            tiers.append(np.searchsorted(TIERS, share[good]).astype(np.int32))
-            ends_a.append(np.minimum(a, b))
-            ends_b.append(np.maximum(a, b))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *ends_a]), np.concatenate([none, *ends_b]), np.concatenate([np.zeros(0, np.int32), *tiers])
+            good = np.flatnonzero(_least_edits(words[p], words[q], shape[p], shape[q], similarity) <= 1)
+            p, q = p[good], q[good]
+            # a pair that shares several k-mer sketches is left to the first one's bucket
+            same = (table[p] == table[q]) & (table[p] != 0)
+            first = table[p, same.argmax(axis=1)]
+            good = ~same.any(axis=1) | (first == here)
+            found_p.append(p[good])
+            found_q.append(q[good])
+    return np.concatenate(found_p), np.concatenate(found_q)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str], parsed):
+    """The runs of rows with equal `by` of sorted batches, whatever batches they lie in; parsed(batch) gives columns of equal length."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        c = parsed(b)
+        if held:
+            c = {x: held[x] + c[x] if isinstance(c[x], list) else np.concatenate([held[x], c[x]]) for x in c}
+        new = np.logical_or.reduce([c[x][1:] != c[x][:-1] for x in by])
+        cuts = [0, *(np.flatnonzero(new) + 1)]
+        for s, e in zip(cuts, cuts[1:]):
+            yield {x: v[s:e] for x, v in c.items()}
+        held = {x: v[cuts[-1] :] for x, v in c.items()}
+    if held:
+        yield held
+
 
+_GROUP = ["key", "lower", "i", "j"]
 
-def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b, tier: distinct pairs a < b that share a bucket, are in different classes, and whose word counts allow the similarity.
 
-    The fewer edits the word counts prove, the lower the tier. members has node, words, key and size; nodes has node and shape. A bucket is parted by levels of length, each
+def remaining_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs a < b that share a bucket, are in different classes, and reach the similarity: all such pairs are verified.
+
+    members has node, words, key and size; nodes has node, shape and places. A bucket is parted by levels of length, each
     level meeting itself and the next one, and these by dealing texts to blocks of about BLOCK: each two blocks meet
-    in a group of their own, so that no task holds more of a bucket, however large it is.
+    in a group of their own, so that no task holds more of a bucket, however large it is. Word counts tell which texts
+    of a group have to be held against which; only the texts of these go there, once each, and are aligned.
     """
     n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     level = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / float(np.log(max(LEVEL, 1.008 / similarity)))).cast("int")
@@ -279,35 +302,50 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, sim
     counts = parts.groupBy("key", "lower").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.col("level") - F.col("lower")).alias("own"))
     split = stored(counts.where("low <> high AND own = 0").select("key", "lower", F.ceil(F.col("texts") / BLOCK).cast("int").alias("blocks")), "omh-open")
     open_ = stored(parts.join(split, ["key", "lower"]), "omh-unlike")
-    dealt = open_.join(nodes.select("node", "shape"), "node").withColumn("own", F.expr("cast(pmod(xxhash64(node, 8), blocks) AS int)"))
+    dealt = open_.join(nodes.select("node", "shape", "places"), "node").withColumn("own", F.expr("cast(pmod(xxhash64(node, 8), blocks) AS int)"))
     met = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    met = met.select("key", "lower", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "level", "node", "label", "words", "shape")
+    met = met.select("key", "lower", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "level", "node", "label", "words", "shape", "places")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        group = ["key", "lower", "i", "j"]
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parsed(b):
+            table = np.frombuffer(b"".join(b.column("places").to_pylist()), np.uint32).reshape(b.num_rows, -1)
+            return {x: b.column(x).to_numpy() for x in b.schema.names[:-2]} | {"shape": _shapes(b.column("shape")), "places": table}
 
-        def pairs(c: dict, shape: np.ndarray, a: int, b: int):
-            found = _unlike({k: v[a:b] for k, v in c.items()}, shape[a:b], similarity)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "tier"]) if len(found[0]) else None
-
-        for b in batches:
-            if not b.num_rows:
+        for c in _groups(batches, _GROUP, parsed):
+            shape, table = c.pop("shape"), c.pop("places")
+            p, q = _unlike(c, shape, table, similarity)
+            if not len(p):
                 continue
-            c, shape = {x: b.column(x).to_numpy() for x in b.schema.names if x != "shape"}, _shapes(b.column("shape"))
-            if held:
-                c, shape = {x: np.concatenate([held[0][x], c[x]]) for x in c}, np.concatenate([held[1], shape])
-            new = np.logical_or.reduce([c[x][1:] != c[x][:-1] for x in group])
-            cuts = [0, *(np.flatnonzero(new) + 1)]
-            for s, e in zip(cuts, cuts[1:]):
-                if (out := pairs(c, shape, s, e)) is not None:
-                    yield out
-            held = {x: c[x][cuts[-1] :] for x in c}, shape[cuts[-1] :]
-        if held and (out := pairs(*held, 0, len(held[1]))) is not None:
-            yield out
-
-    grouped = met.repartition(n, "key", "lower", "i", "j").sortWithinPartitions("key", "lower", "i", "j")
-    return grouped.mapInArrow(run, "a long, b long, tier int").distinct()
+            some = np.unique(np.concatenate([p, q]))
+            order = np.argsort(p, kind="stable")
+            offsets = np.append(np.searchsorted(p[order], some), len(p)).astype(np.int32)
+            against = pa.ListArray.from_arrays(pa.array(offsets), pa.array(c["node"][q[order]]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[x][some]) for x in (*_GROUP, "node")), against], names=[*_GROUP, "node", "against"])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parsed(b):
+            hashes = []
+            for part in passes(b):
+                w = Words(part.column("text"))
+                hashes += np.split(w.hashes(), w.first[1:-1])
+            return {x: b.column(x).to_numpy() for x in (*_GROUP, "node")} | {"against": b.column("against").to_pylist(), "hashes": hashes}
+
+        for c in _groups(batches, _GROUP, parsed):
+            place = {x: k for k, x in enumerate(c["node"].tolist())}
+            ends = []
+            for x, others, h in zip(c["node"].tolist(), c["against"], c["hashes"]):
+                for y in others:
+                    o = c["hashes"][place[y]]
+                    if edit_distance_within(h, o, int((1 - similarity) * max(len(h), len(o)) + 1e-9)) is not None:
+                        ends.append((min(x, y), max(x, y)))
+            if ends:
+                yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in zip(*ends)], names=["a", "b"])
+
+    by_group = lambda df: df.repartition(n, *_GROUP).sortWithinPartitions(*_GROUP)
+    asked = stored(by_group(met).mapInArrow(plan, "key long, lower int, i int, j int, node long, against array<long>"), "omh-rest")
+    # merge joins at every size, as in verified_links
+    with_texts = asked.hint("merge").join(texts, "node").select(*_GROUP, "node", "against", "text")
+    return by_group(with_texts).mapInArrow(align, "a long, b long").distinct()
 
 
 def verified_links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -374,7 +412,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
         for batch in batches:
             for part in passes(batch):
                 w = Words(part.column("text"))
-                (offsets, found), sizes = text_sketches(w, similarity), np.diff(w.first)
+                (offsets, found, table), sizes = text_sketches(w, similarity), np.diff(w.first)
                 h = w.hashes(seed=1)
                 at = np.arange(w.n) - np.repeat(w.first[:-1], sizes)
                 spread = mix(h + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -383,26 +421,19 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
                 f1, f2 = (t[w.first[1:]] - t[w.first[:-1]] for t in (total, again))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(found)))
                 shape = pa.array([x.tobytes() for x in word_shapes(w)], pa.binary())
-                columns = [pa.array(row + np.arange(part.num_rows)), part.column("doc_id"), part.column("hash"), pa.array(signed(f1)), pa.array(signed(f2)), pa.array(sizes.astype(np.int64)), lists, shape]
+                columns = [pa.array(row + np.arange(part.num_rows)), part.column("doc_id"), part.column("hash"), pa.array(signed(f1)), pa.array(signed(f2)), pa.array(sizes.astype(np.int64)), lists, shape, pa.array([x.tobytes() for x in table], pa.binary())]
                 row += part.num_rows
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SKETCHED.split(", ")])
 
     base = stored(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(sketch, _SKETCHED), "omh-sketches")
-    same = [F.any_value(c).alias(c) for c in ("sketches", "words", "shape")]
+    same = [F.any_value(c).alias(c) for c in ("sketches", "words", "shape", "places")]
     nodes = base.where("doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "row", "hash")).alias("least"), *same)
-    nodes = stored(nodes.select("f1", "f2", F.col("least.row").alias("node"), "least.doc_id", "least.hash", "sketches", "words", "shape"), "omh-nodes")
+    nodes = stored(nodes.select("f1", "f2", F.col("least.row").alias("node"), "least.doc_id", "least.hash", "sketches", "words", "shape", "places"), "omh-nodes")
     members = bucket_members(nodes)
     texts = node_texts(docs, nodes, members)
     pairs = stored(plausible(first_pairs(members), nodes, similarity), "omh-pairs")
     links = stored(verified_links(pairs, texts, similarity), "omh-links")
-    rest = remaining_pairs(members, components(links), nodes, similarity).join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    rest = stored(rest, "omh-rest")
-    for tier in range(len(TIERS) + 1):  # likely links first: what they join need not be verified any more
-        labels = components(links)
-        label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))  # noqa: E731, B023
-        apart = rest.where(F.col("tier") == tier).join(label("a"), "a", "left").join(label("b"), "b", "left")
-        apart = stored(apart.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), "omh-apart")
-        links = links.union(stored(verified_links(apart, texts, similarity), "omh-links"))
+    links = links.union(stored(remaining_links(members, components(links), nodes, texts, similarity), "omh-links"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     labelled = nodes.select("f1", "f2", "node", "doc_id").join(components(links), "node", "left").join(degree, "node", "left")
     labelled = stored(labelled.select("f1", "f2", "node", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "omh-labels")
@@ -411,7 +442,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     return base.select("row", "doc_id", "hash", "f1", "f2"), stored(named, "omh-classes")
 
 
-_SKETCHED = "row long, doc_id long, hash long, f1 long, f2 long, words long, sketches array<long>, shape binary"
+_SKETCHED = "row long, doc_id long, hash long, f1 long, f2 long, words long, sketches array<long>, shape binary, places binary"
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

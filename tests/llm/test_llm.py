@@ -513,7 +513,7 @@ def test_sketches_find_pairs_near_the_threshold():
         places = [range(4, n, 5), rng.sample(range(n), d)]
         texts += [base] + [[f"z{rng.randint(0, 3000)}" if i in p else x for i, x in enumerate(base)] for p in places]
         texts.append([x for i, x in enumerate(base) if i not in places[1]])
-    offsets, found = text_sketches(Words(pa.array([" ".join(x) for x in texts])))
+    offsets, found, _ = text_sketches(Words(pa.array([" ".join(x) for x in texts])))
     own = [set(found[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
     near = [(a, b, max(len(texts[a]), len(texts[b]))) for a in range(len(texts)) for b in range(a) if set(texts[a]) & set(texts[b]) and edit_distance(texts[a], texts[b]) <= int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9)]
     short, long = ([bool(own[a] & own[b]) for a, b, n in near if (n < 20) == s] for s in (True, False))
@@ -533,7 +533,7 @@ def test_recall_of_sketches(similarity):
             base = [f"w{rng.randint(0, 30000)}" for _ in range(n)]
             at = set(rng.sample(range(n), int((1 - similarity) * n + 1e-9)))
             texts += [" ".join(base), " ".join(f"z{rng.randint(0, 30000)}" if i in at else x for i, x in enumerate(base))]
-        offsets, found = text_sketches(Words(pa.array(texts)))
+        offsets, found, _ = text_sketches(Words(pa.array(texts)))
         own = [set(found[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
         assert np.mean([bool(own[i] & own[i + 1]) for i in range(0, len(texts), 2)]) >= (0.88 if n > 20 else 0.85), n  # 150 pairs: some spread
 
@@ -581,7 +581,7 @@ def test_a_very_long_text_and_its_copy(spark):
 
 
 @pytest.mark.parametrize("block", [4, 1024])
-def test_remaining_pairs_are_brute_force(spark, monkeypatch, block):
+def test_remaining_links_are_brute_force(spark, monkeypatch, block):
     from lipiflow.llm import near_dedup as nd
 
     monkeypatch.setattr(nd, "BLOCK", block)
@@ -590,15 +590,16 @@ def test_remaining_pairs_are_brute_force(spark, monkeypatch, block):
     texts = [" ".join(rng.choice("abcdef") if rng.random() < 0.15 else x for x in bases[i % 12]) for i in range(60)]
     w = nd.Words(pa.array(texts))
     shapes, sizes = nd.word_shapes(w), np.diff(w.first)
-    nodes = spark.createDataFrame([(i, shapes[i].tobytes()) for i in range(60)], "node long, shape binary")
+    nodes = spark.createDataFrame([(i, shapes[i].tobytes(), bytes(nd.text_sketches(w)[2][i])) for i in range(60)], "node long, shape binary, places binary")
     keys = {k: [i for i in range(60) if rng.random() < 0.5] for k in range(3)}
     members = spark.createDataFrame([(i, int(sizes[i]), k, len(v)) for k, v in keys.items() for i in v], "node long, words long, key long, size long")
     label = {i: rng.randint(0, 1) * 30 for i in range(40)}
     labels = spark.createDataFrame(list(label.items()), "node long, label long")
-    got = {(r.a, r.b) for r in nd.remaining_pairs(members, labels, nodes).collect()}
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    got = sorted((r.a, r.b) for r in nd.remaining_links(members, labels, nodes, rows).collect())
     met = {(a, b) for v in keys.values() for a in v for b in v if a < b and label.get(a, a) != label.get(b, b)}
     near = {(a, b) for a, b in met if edit_distance(texts[a].split(), texts[b].split()) <= int(0.2 * max(sizes[a], sizes[b]) + 1e-9)}
-    assert near and near <= got <= met
+    assert near and got == sorted(near)
 
 
 def test_components_of_chains_and_stars(spark):
