@@ -97,6 +97,7 @@ def score_features(columns: list[str], w: dict[str, float], context=None, fast:
 
 def static_prescore(columns: list[str]) -> Column:
     """A ranking that no weight moves; it picks the candidates worth a model's score."""
+    # The constants of the sum.
     f = lambda name, default=0: _feature(columns, name, default)
     one = lambda c: c.cast("int")
     some = f("rom_exact") > 0

@@ -13,6 +13,7 @@ NEIGHBOURS = {
     "q": "wa", "w": "qes", "e": "wrd", "r": "etf", "t": "ryg", "y": "tuh", "u": "yij", "i": "uok", "o": "ipl", "p": "o", "a": "qsz", "s": "awdz", "d": "sefx",
     "f": "drgc", "g": "fthv", "h": "gyjb", "j": "hukn", "k": "jilm", "l": "kop", "z": "asx", "x": "zsdc", "c": "xdfv", "v": "cfgb", "b": "vghn", "n": "bhjm", "m": "njk",
 }
+# Letters that an h may follow.
 ASPIRABLE = "kgcjtdpb"
 
 
