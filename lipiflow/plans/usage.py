@@ -133,16 +133,19 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
 
 
-#: in, canonical, match key
-FORMS = [
-    ("কঁা", "কাঁ", "কাঁ"), ("কঁঁা", "কঁাঁ", "কঁাঁ"), ("ত্‍", "ৎ", "ৎ"), ("ৰাতি", "ৰাতি", "রাতি"), ("আমার", "আমার", "আমার"), ("ক‌ষ", "ক‌ষ", "কষ"),
-]
+#: Latin letters to Bengali signs: every word of the tables becomes a text with joiners, khanda ta spelled out, nukta letters,
+#: Assamese letters and candrabindus before vowel signs.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SIGNS = "াবচড" + X.ZWJ + "ফগ" + X.VIRAMA + "িজকলমঁে" + "প" + X.ZWNJ + "ৰসতুভৱ" + X.NUKTA + "যঢ"
 
 
-@query(f"SELECT * FROM (VALUES {_values([(i, c, m) for i, (_, c, m) in enumerate(FORMS)])}) t(id, canonical, match_key)")
+@query(f"""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents),
+  c AS (SELECT word, regexp_replace(replace(nfc_normalize(translate(word, '{LETTERS}', '{SIGNS}')), 'ত{X.VIRAMA}{X.ZWJ}', 'ৎ'), '{X.CANDRABINDU}([{X.VOWEL_SIGNS}]+)', '\\1{X.CANDRABINDU}', 'g') AS canonical FROM w)
+  SELECT word, canonical, translate(canonical, 'ৰৱ{X.ZWNJ}{X.ZWJ}', 'রব') AS match_key FROM c""")
 def bangla_text_forms(spark, d):
-    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(FORMS)], "id int, t string")
-    return df.select("id", X.canonical("t").alias("canonical"), X.match_key("t").alias("match_key"))
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
+    spelled = words.select(F.lower("word").alias("word")).distinct().withColumn("t", F.translate("word", LETTERS, SIGNS))
+    return spelled.select("word", X.canonical("t").alias("canonical"), X.match_key("t").alias("match_key"))
 
 
 #: word, coarse key, fine key
