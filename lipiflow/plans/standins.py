@@ -104,15 +104,25 @@ ROMANS = f"""att AS (SELECT unnest(list_distinct([word, {', '.join(sql_style(s,
 QUERY_SQL = f"""qs AS (SELECT word AS q, roman, word AS gold, n AS weight FROM (SELECT word, wiki + subs + chat AS n, {sql_style('no_h', 'word')} AS roman FROM words) WHERE roman <> word)"""
 
 
+def sql_map(d: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in d.items()) + "}"
+
+
+def sql_finish(level: str, out: str) -> str:
+    """The CTEs from `out`_1 (word, list of units) to `out` (word, key)."""
+    from ..functions.keys import COARSE, COARSE_VOWELS
+
+    first = f"{sql_map(COARSE_VOWELS)}[u[2:]]" if level == "coarse" else "u[2:]"
+    plain = f"coalesce({sql_map(COARSE)}[u], u)" if level == "coarse" else "u"
+    return f"""{out}_2 AS (SELECT word, list_filter(list_transform(l, lambda u, i: CASE WHEN u[1] = 'V' THEN CASE WHEN i = 1 THEN {first} END WHEN u = 'y' THEN CASE WHEN i = 1 THEN 'j' END ELSE {plain} END), lambda u: u IS NOT NULL) AS l FROM {out}_1),
+  {out} AS (SELECT word, coalesce(array_to_string(list_filter(l, lambda u, i: i = 1 OR u <> l[i - 1]), ''), '') AS key FROM {out}_2)"""
+
+
 def sql_key(level: str, source: str, word: str = "word", out: str = "keyed") -> str:
     """A CTE `out` (word, key) over the distinct words of a relation that are in a-z already."""
-    from ..functions.keys import COARSE, COARSE_VOWELS, ROMAN_PATTERN, ROMAN_UNITS
+    from ..functions.keys import ROMAN_PATTERN, ROMAN_UNITS
 
-    m = lambda d: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in d.items()) + "}"
     pattern = ROMAN_PATTERN.replace("'", "''")
-    first = f"{m(COARSE_VOWELS)}[u[2:]]" if level == "coarse" else "u[2:]"
-    plain = f"coalesce({m(COARSE)}[u], u)" if level == "coarse" else "u"
     return f"""{out}_0 AS (SELECT DISTINCT {word} AS word FROM {source}),
-  {out}_1 AS (SELECT word, list_filter(list_transform(regexp_extract_all(word, '{pattern}'), lambda p: {m(ROMAN_UNITS)}[p]), lambda u: u IS NOT NULL) AS l FROM {out}_0),
-  {out}_2 AS (SELECT word, list_filter(list_transform(l, lambda u, i: CASE WHEN u[1] = 'V' THEN CASE WHEN i = 1 THEN {first} END WHEN u = 'y' THEN CASE WHEN i = 1 THEN 'j' END ELSE {plain} END), lambda u: u IS NOT NULL) AS l FROM {out}_1),
-  {out} AS (SELECT word, coalesce(array_to_string(list_filter(l, lambda u, i: i = 1 OR u <> l[i - 1]), ''), '') AS key FROM {out}_2)"""
+  {out}_1 AS (SELECT word, list_filter(list_transform(regexp_extract_all(word, '{pattern}'), lambda p: {sql_map(ROMAN_UNITS)}[p]), lambda u: u IS NOT NULL) AS l FROM {out}_0),
+  {sql_finish(level, out)}"""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.keys import key_from_bangla
+from ..functions.keys import BANGLA_CONSONANTS, BANGLA_UNITS, NUKTA_UNITS, key_from_bangla
 from ..functions.scores import HALF_LIFE_DAYS
 from ..operators import personal as P, rules, telemetry as T
-from .standins import table
+from .standins import sql_finish, sql_map, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -129,33 +129,36 @@ def decayed_selections(spark, d):
     return c.select("install", "roman", F.round("count", 6).alias("count"), F.round("last", 3).alias("last"))
 
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
-
-
 #: Latin letters to Bengali signs: every word of the tables becomes a text with joiners, khanda ta spelled out, nukta letters,
 #: Assamese letters and candrabindus before vowel signs.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SIGNS = "াবচড" + X.ZWJ + "ফগ" + X.VIRAMA + "িজকলমঁে" + "প" + X.ZWNJ + "ৰসতুভৱ" + X.NUKTA + "যঢ"
 
 
-@query(f"""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents),
-  c AS (SELECT word, regexp_replace(replace(nfc_normalize(translate(word, '{LETTERS}', '{SIGNS}')), 'ত{X.VIRAMA}{X.ZWJ}', 'ৎ'), '{X.CANDRABINDU}([{X.VOWEL_SIGNS}]+)', '\\1{X.CANDRABINDU}', 'g') AS canonical FROM w)
-  SELECT word, canonical, translate(canonical, 'ৰৱ{X.ZWNJ}{X.ZWJ}', 'রব') AS match_key FROM c""")
-def bangla_text_forms(spark, d):
+SPELLED = f"""w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents),
+  c AS (SELECT word, regexp_replace(replace(nfc_normalize(translate(word, '{LETTERS}', '{SIGNS}')), 'ত{X.VIRAMA}{X.ZWJ}', 'ৎ'), '{X.CANDRABINDU}([{X.VOWEL_SIGNS}]+)', '\\1{X.CANDRABINDU}', 'g') AS canonical FROM w),
+  f AS (SELECT word, canonical, translate(canonical, 'ৰৱ{X.ZWNJ}{X.ZWJ}', 'রব') AS match_key FROM c)"""
+
+
+def spelled(spark, d):
+    """The distinct words of documents (word) and the same in Bengali signs (t)."""
     words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
-    spelled = words.select(F.lower("word").alias("word")).distinct().withColumn("t", F.translate("word", LETTERS, SIGNS))
-    return spelled.select("word", X.canonical("t").alias("canonical"), X.match_key("t").alias("match_key"))
+    return words.select(F.lower("word").alias("word")).distinct().withColumn("t", F.translate("word", LETTERS, SIGNS))
+
+
+@query(f"WITH {SPELLED} SELECT * FROM f")
+def bangla_text_forms(spark, d):
+    return spelled(spark, d).select("word", X.canonical("t").alias("canonical"), X.match_key("t").alias("match_key"))
 
 
-#: word, coarse key, fine key
-KEYS = [("আমার", "amr", "amr"), ("করছি", "krc", "krch"), ("খুব", "kb", "khb"), ("ভালো", "bl", "bhl"), ("বিশ্ব", "bs", "bsh"), ("স্বামী", "sm", "sm"), ("ব্যাংক", "bnk", "bngk"), ("ঋণ", "rn", "rin"), ("পড়া", "pr", "pr")]
+UNITS = BANGLA_UNITS | NUKTA_UNITS | {X.VIRAMA + "য": "y", X.VIRAMA + "ব": "?b"}
 
 
-@query(f"SELECT * FROM (VALUES {_values(KEYS)}) t(word, coarse, fine)")
+@query(f"""WITH {SPELLED}, p AS (SELECT word, list_transform(regexp_extract_all(match_key, '[{BANGLA_CONSONANTS}]{X.NUKTA}|{X.VIRAMA}য|{X.VIRAMA}ব|.'), lambda p: coalesce({sql_map(UNITS)}[p], CASE WHEN length(p) = 2 AND p[2] = '{X.NUKTA}' THEN {sql_map(BANGLA_UNITS)}[p[1]] END)) AS l FROM f),
+  q AS (SELECT word, list_filter(list_transform(list_filter(l, lambda u: u IS NOT NULL), lambda u, i: CASE WHEN u <> '?b' THEN u WHEN i = 1 THEN 'b' END), lambda u: u IS NOT NULL) AS l FROM p),
+  a_1 AS (SELECT * FROM q), {sql_finish("coarse", "a")}, b_1 AS (SELECT * FROM q), {sql_finish("fine", "b")} SELECT word, a.key AS coarse, b.key AS fine FROM a JOIN b USING (word)""")
 def bangla_keys(spark, d):
-    df = spark.createDataFrame([(w,) for w, *_ in KEYS], "word string")
-    return df.select("word", key_from_bangla("word", "coarse").alias("coarse"), key_from_bangla("word", "fine").alias("fine"))
+    return spelled(spark, d).select("word", key_from_bangla("t", "coarse").alias("coarse"), key_from_bangla("t", "fine").alias("fine"))
 
 
 #: A small bundle of our own for the query; production bundles are read from a file.
