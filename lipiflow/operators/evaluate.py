@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.metrics import cer
+from ..functions.scores import score_features
 
 
 def grouped_wordset(rows: DataFrame) -> DataFrame:
@@ -112,15 +113,32 @@ def ordinals(rows: DataFrame, order: str) -> DataFrame:
     return local.join(F.broadcast(starts), "_p").withColumn("_ordinal", F.col("_start") + F.col("_i")).drop("_p", "_i", "_n", "_start")
 
 
-def coordinate_ascent(score, start: dict[str, float], grid: dict[str, list[float]], rounds: int = 3, least: float = 1e-9) -> tuple[dict[str, float], float]:
-    """Weights of best score: each in turn over its grid, until a round changes none. `score` maps weights to a number."""
-    best, at = dict(start), score(start)
+def weight_hits(candidates: DataFrame, weights: list[dict[str, float]]) -> DataFrame:
+    """setting, hits, n: for each of the weights, by their number, how often the best word is the gold. One job for all of them.
+
+    candidates: q, gold, word and features; a query's candidates are scored under every setting, of equals the lesser word wins.
+    """
+    names = sorted(weights[0])
+    schema = "setting int, w struct<" + ", ".join(f"{n}: double" for n in names) + ">"
+    grid = candidates.sparkSession.createDataFrame([(i, tuple(float(w[n]) for n in names)) for i, w in enumerate(weights)], schema)
+    s = F.round(score_features(candidates.columns, {n: F.col("w")[n] for n in names}), 6)
+    best = candidates.crossJoin(F.broadcast(grid)).groupBy("q", "gold", "setting").agg(F.min_by("word", F.struct(-s, "word")).alias("word"))
+    return best.groupBy("setting").agg(F.count_if(F.col("word") == F.col("gold")).alias("hits"), F.count(F.lit(1)).alias("n"))
+
+
+def coordinate_ascent(scores, start: dict[str, float], grid: dict[str, list[float]], rounds: int = 3, least: float = 1e-9) -> tuple[dict[str, float], float]:
+    """Weights of best score: each in turn over its grid, until a round changes none.
+
+    `scores` maps a list of weights to their numbers; it is called once for each grid, so that one job can serve all its values.
+    """
+    best, at = dict(start), scores([dict(start)])[0]
     for _ in range(rounds):
         before = dict(best)
         for name, values in grid.items():
-            for v in values:
-                if v != best[name] and (s := score(best | {name: v})) > at + least:
-                    best, at = best | {name: v}, s
+            others = [best | {name: v} for v in values if v != best[name]]
+            for w, s in zip(others, scores(others) if others else []):
+                if s > at + least:
+                    best, at = w, s
         if best == before:
             break
     return best, at

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.keys import key_from_roman
-from ..functions.scores import context_adjust, fast_supported, score_features, static_prescore, unigram_logp
+from ..functions.scores import BACKOFF, context_adjust, fast_supported, score_features, static_prescore, unigram_logp
 
 # Candidates of a channel.
 PER_CHANNEL, LONGER_KEYS, MODEL_SCORED = 30, 15, 16
@@ -127,6 +127,43 @@ def ranked(candidates_: DataFrame, weights: dict[str, float], k: int, fast: bool
     return candidates_.withColumn("score", s).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def transliterated_sentences(tokens: DataFrame, candidates_: DataFrame, weights: dict[str, float], pairs: DataFrame, totals: DataFrame) -> DataFrame:
+    """sent, words: each sentence word by word, the first choice of every word given the one chosen before it.
+
+    tokens: sent, pos, core (the token as typed), roman (its normal form, NULL or empty where it has no Latin letter: such a
+    token passes as it is and is no context). candidates_ has q = roman; pairs: prev, word, count; totals: prev, total. A word
+    without candidates stays as typed. Ties go to the lesser word; both parts of a sum are rounded to six places.
+
+    What is chosen depends on the word before alone. So the choices that a word before changes are made first, once for each
+    two spellings that meet anywhere; a sentence then only looks them up, from left to right.
+    """
+    shift = lambda context: F.round(weights["bigram"] * context, 6)
+    base = candidates_.select(F.col("q").alias("roman"), "word", "uni", F.round(score_features(candidates_.columns, weights), 6).alias("s"))
+    lists = base.groupBy("roman").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("n"), "word"))).alias("list"))
+    latin = F.coalesce(F.col("roman") != "", F.lit(False))
+    before = F.last(F.when(latin, F.col("roman")), ignorenulls=True).over(Window.partitionBy("sent").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    spoken = tokens.select("sent", "pos", "core", F.when(latin, F.col("roman")).alias("roman"), before.alias("before"))
+    meet = spoken.where("roman IS NOT NULL AND before IS NOT NULL").select("before", "roman").distinct()
+    reached = meet.join(base.select(F.col("roman").alias("before"), F.col("word").alias("prev")), "before").join(totals, "prev")
+    seen = pairs.select("prev", "word", "count").join(base, "word")
+    told = reached.join(seen, ["prev", "roman"]).withColumn("n", -F.round(F.col("s") + shift(context_adjust("count", "total", "uni")), 6))
+    told = told.groupBy("before", "roman", "prev").agg(F.min(F.struct("n", "word")).alias("best"), F.collect_set("word").alias("had")).join(lists, "roman")
+    rest = F.get(F.filter("list", lambda c: ~F.array_contains("had", c["word"])), 0)
+    other = F.when(rest.isNotNull(), F.struct((-F.round(shift(F.lit(BACKOFF)) - rest["n"], 6)).alias("n"), rest["word"].alias("word")))
+    chosen = told.select("before", "roman", "prev", F.least("best", other)["word"].alias("word"), F.get("list", 0)["word"].alias("first")).where("word <> first")
+    turns = chosen.groupBy("before", "roman").agg(F.map_from_entries(F.collect_list(F.struct("prev", "word"))).alias("turns"))
+    rows = spoken.join(lists.select("roman", F.get("list", 0)["word"].alias("first")), "roman", "left").join(turns, ["before", "roman"], "left")
+    whole = rows.groupBy("sent").agg(F.collect_list(F.struct("pos", "core", "roman", "first", "turns")).alias("t"))
+    step = lambda acc, x: F.coalesce(F.when(x["roman"].isNotNull(), F.coalesce(F.try_element_at(x["turns"], acc["last"]), x["first"])), x["core"])
+    walk = F.aggregate(
+        F.array_sort("t", lambda a, b: a["pos"].cast("int") - b["pos"].cast("int")),
+        F.struct(F.array().cast("array<string>").alias("words"), F.lit("").alias("last")),
+        lambda acc, x: F.struct(F.concat(acc["words"], F.array(step(acc, x))).alias("words"), F.when(x["roman"].isNotNull(), step(acc, x)).otherwise(acc["last"]).alias("last")),
+        lambda acc: acc["words"],
+    )
+    return whole.select("sent", walk.alias("words"))
+
+
 def fast_ranked(candidates_: DataFrame, weights: dict[str, float], k: int) -> DataFrame:
     """ranked without a model: unsupported words go below where an attested spelling has five votes; strong: any has two."""
     some = Window.partitionBy("q")

@@ -91,7 +91,12 @@ def random_variants(lists: DataFrame, key: str, words: str, seed: int) -> DataFr
     return lists.select(key, words).mapInPandas(run, f"{key} long, pos long, word string, style string, roman string")
 
 
-def summary(ranked: DataFrame, *by: str) -> DataFrame:
-    """n, top1 and top5 in per cent; rank is NULL where the word was not found."""
+def summary(ranked: DataFrame, *by: str, cube: bool = False) -> DataFrame:
+    """n, top1 and top5 in per cent; rank is NULL where the word was not found. cube: also over all values (`ALL`) of each column."""
     share = lambda k: F.round(100.0 * F.count_if(F.col("rank") <= k) / F.count(F.lit(1)), 6).alias(f"top{k}")
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), share(1), share(5))
+    figures = (F.count(F.lit(1)).alias("n"), share(1), share(5))
+    if not cube:
+        return ranked.groupBy(*by).agg(*figures)
+    over_all = lambda c: F.when(F.col(f"_all_{c}") == 1, "ALL").otherwise(F.col(c)).alias(c)
+    cubed = ranked.cube(*by).agg(*figures, *(F.grouping(c).alias(f"_all_{c}") for c in by))
+    return cubed.select(*map(over_all, by), "n", "top1", "top5")

@@ -8,8 +8,8 @@ from ..functions import metrics as M
 from ..functions.scores import TUNED_WEIGHTS
 from ..functions.text import ascii_tokens
 from ..operators import evaluate as E, lexicon as L, retrieve as R, scorer as S
-from .lexicon import CAND, SCORE_SQL, _candidates
-from .standins import QUERY_SQL, ROMANS, STYLE_EXPRESSIONS, TOK, WORDS, keyed_words, queries, sql_key, sql_style, table, tokens, words
+from .lexicon import CAND, SCORE_SQL, _candidates, pairs, score_sql
+from .standins import QUERY_SQL, ROMANS, STYLE_EXPRESSIONS, TOK, WORDS, completions, key_indexes, keyed_words, queries, romans, sentences, sql_key, sql_style, table, tokens, with_keys, words
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -142,16 +142,59 @@ def style_variants(spark, d):
   kv AS (SELECT roman AS word FROM v), {sql_key('coarse', 'kv', out='kq')}, tk AS (SELECT key, w.word, row_number() OVER (PARTITION BY key ORDER BY score DESC, w.word DESC) AS rank FROM words w JOIN kc USING (word) WHERE key <> '')
   SELECT style, count(*)::BIGINT AS n, round(100.0 * count(*) FILTER (rank = 1) / count(*), 6) AS top1, round(100.0 * count(*) FILTER (rank <= 5) / count(*), 6) AS top5 FROM v JOIN kq ON v.roman = kq.word LEFT JOIN tk ON tk.key = kq.key AND tk.word = v.word AND rank <= 30 GROUP BY style""")
 def stress_summary(spark, d):
+    from ..operators.stress import summary
+
+    return summary(_stressed(spark, d), "style")
+
+
+def _stressed(spark, d):
+    """word, style, rank of every word under every habit, looked up by its key."""
     from pyspark.sql import Window
 
     from ..functions.keys import key_from_roman
-    from ..operators.stress import summary, variants
+    from ..operators.stress import variants
 
     w = keyed_words(spark, d)
     top = R.top_by_key(w, "coarse").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), F.desc("word")))).select("key", "word", "rank")
     v = variants(w.select("word")).join(w.select(F.col("word").alias("roman"), "coarse"), "roman", "left")
     v = v.withColumn("key", F.coalesce("coarse", key_from_roman("roman")))
-    return summary(v.join(top, ["key", "word"], "left"), "style")
+    return v.join(top, ["key", "word"], "left").select("word", "style", "rank")
+
+
+@query(f"""WITH {WORDS}, {sql_key('coarse', 'words', out='kc')}, v AS (SELECT word, s[1] AS style, s[2] AS roman FROM (SELECT word, unnest([{', '.join(f"['{n}', {sql_style(n, 'word')}]" for n in STYLE_EXPRESSIONS)}, ['as_is', word]]) AS s FROM words)),
+  kv AS (SELECT roman AS word FROM v), {sql_key('coarse', 'kv', out='kq')}, tk AS (SELECT key, w.word, row_number() OVER (PARTITION BY key ORDER BY score DESC, w.word DESC) AS rank FROM words w JOIN kc USING (word) WHERE key <> ''),
+  r AS (SELECT v.word, style, rank FROM v JOIN kq ON v.roman = kq.word LEFT JOIN tk ON tk.key = kq.key AND tk.word = v.word AND rank <= 30), s AS (SELECT source, style, rank FROM r JOIN (SELECT DISTINCT word, lang AS source FROM tok) USING (word))
+  SELECT coalesce(source, 'ALL') AS source, coalesce(style, 'ALL') AS style, count(*)::BIGINT AS n, round(100.0 * count(*) FILTER (rank = 1) / count(*), 6) AS top1, round(100.0 * count(*) FILTER (rank <= 5) / count(*), 6) AS top5 FROM s GROUP BY CUBE (source, style)""")
+def stress_by_source(spark, d):
+    """By style, by source (here the language), by both and over all."""
+    from ..operators.stress import summary
+
+    held = tokens(spark, d).select("word", F.col("lang").alias("source")).distinct()
+    return summary(_stressed(spark, d).join(held, "word"), "source", "style", cube=True)
+
+
+_GRID = [TUNED_WEIGHTS | {"key_coarse": c} for c in (0.2, 0.6, 1.5)] + [TUNED_WEIGHTS | {"unigram": u} for u in (0.1, 1.0)]
+_SETTINGS = " UNION ALL ".join(f"SELECT {i} AS setting, q, word, round({score_sql(w)}, 6) AS score FROM cand" for i, w in enumerate(_GRID))
+
+
+@query(f"""WITH {CAND}, s AS ({_SETTINGS}), o AS (SELECT setting, q, word FROM (SELECT *, row_number() OVER (PARTITION BY setting, q ORDER BY score DESC, word) AS r FROM s) WHERE r = 1)
+  SELECT setting, count(*) FILTER (word = gold)::BIGINT AS hits, count(*)::BIGINT AS n FROM o JOIN qs ON o.q = qs.q GROUP BY setting""")
+def weight_grid(spark, d):
+    """Hits of the first choice under several weights: what one step of coordinate ascent asks for."""
+    return E.weight_hits(_candidates(spark, d).join(queries(spark, d).select("q", "gold"), "q"), _GRID)
+
+
+@query()
+def sentence_transliteration(spark, d):
+    """Every turn of conversations, typed without h, transliterated with the words chosen before as context; errors against what was meant."""
+    meant = sentences(spark, d)
+    typed = meant.select("sent", "pos", "word", F.expr(STYLE_EXPRESSIONS["no_h"].replace("{w}", "word").replace("{1}", "$1")).alias("roman"))
+    qs = with_keys(typed.select("roman").distinct(), "roman").withColumn("q", F.col("roman"))
+    c = R.candidates(qs, keyed_words(spark, d), romans(spark, d), completions(spark, d), key_indexes=key_indexes(spark, d))
+    p = pairs(spark, d)
+    out = R.transliterated_sentences(typed.withColumn("core", F.col("roman")), c, TUNED_WEIGHTS, L.followers(p), L.pair_totals(p))
+    gold = typed.groupBy("sent").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("gold"))
+    return out.join(gold, "sent").select("sent", F.array_join("words", " ").alias("output"), M.word_errors("words", "gold").alias("errors"), F.size("gold").alias("n_words"))
 
 
 @query()

@@ -157,9 +157,15 @@ CAND = f"""{WORDS}, {ROMANS}, {QUERY_SQL}, kq AS (SELECT roman AS word FROM qs),
   cand AS (SELECT q, m.word, rom_exact, CASE WHEN rom_exact > 0 THEN 0 ELSE rp END AS rom_prefix, CASE WHEN rom_exact > 0 THEN 0 ELSE coalesce(gap, 0) END::BIGINT AS gap, key_fine, key_coarse, key_fine_prefix, key_coarse_prefix,
     ln((coalesce(score, 0) + 0.5) / t) AS uni FROM m LEFT JOIN words ON m.word = words.word, total)"""
 _W = scores.TUNED_WEIGHTS
-SCORE_SQL = f"""({_W['unigram']} * uni + CASE WHEN rom_exact > 0 THEN {_W['rom_exact']} + {_W['rom_exact_log']} * ln(1.0 + rom_exact) ELSE 0 END
-  + CASE WHEN rom_prefix > 0 AND rom_exact = 0 THEN {_W['rom_prefix']} * ln(1.0 + rom_prefix) ELSE 0 END + CASE WHEN key_fine THEN {_W['key_fine']} WHEN key_coarse THEN {_W['key_coarse']} WHEN key_fine_prefix OR key_coarse_prefix THEN {_W['key_prefix']} ELSE 0 END
-  - 15 * {_W['xlit_logp']} + CASE WHEN gap > 0 AND rom_exact = 0 THEN {_W['gap']} * gap ELSE 0 END)"""
+
+
+def score_sql(w):
+    return f"""({w['unigram']} * uni + CASE WHEN rom_exact > 0 THEN {w['rom_exact']} + {w['rom_exact_log']} * ln(1.0 + rom_exact) ELSE 0 END
+  + CASE WHEN rom_prefix > 0 AND rom_exact = 0 THEN {w['rom_prefix']} * ln(1.0 + rom_prefix) ELSE 0 END + CASE WHEN key_fine THEN {w['key_fine']} WHEN key_coarse THEN {w['key_coarse']} WHEN key_fine_prefix OR key_coarse_prefix THEN {w['key_prefix']} ELSE 0 END
+  - 15 * {w['xlit_logp']} + CASE WHEN gap > 0 AND rom_exact = 0 THEN {w['gap']} * gap ELSE 0 END)"""
+
+
+SCORE_SQL = score_sql(_W)
 
 
 def _candidates(spark, d):

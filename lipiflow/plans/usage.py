@@ -151,6 +151,26 @@ def bangla_text_forms(spark, d):
     return spelled(spark, d).select("word", X.canonical("t").alias("canonical"), X.match_key("t").alias("match_key"))
 
 
+@query(f"""WITH {SPELLED} SELECT word, replace(replace(replace(canonical, 'ড{X.NUKTA}', chr(2524)), 'ঢ{X.NUKTA}', chr(2525)), 'য{X.NUKTA}', chr(2527)) AS output FROM f""")
+def output_forms(spark, d):
+    return spelled(spark, d).select("word", X.to_output("t").alias("output"))
+
+
+@query("""SELECT o_orderkey, translate(t, '0123456789', '০১২৩৪৫৬৭৮৯') AS bangla, t AS western, translate(replace(t, '.', '।'), '0123456789', '০১২৩৪৫৬৭৮৯') AS typed FROM (SELECT o_orderkey, o_orderdate::DATE || '.' || o_custkey AS t FROM orders)""")
+def digit_forms(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.to_date("o_orderdate").cast("string"), F.lit("."), F.col("o_custkey").cast("string")).alias("t"))
+    return o.select("o_orderkey", X.to_bangla_digits("t").alias("bangla"), X.to_western_digits(X.to_bangla_digits("t")).alias("western"), X.outside_composition("t").alias("typed"))
+
+
+@query("""SELECT p_partkey, left(regexp_replace(p_name || '/' || p_type, '[^A-Za-z0-9._-]', '', 'g'), 24) AS app, left(regexp_replace(p_name || '/' || p_type, '[^a-z0-9_]', '', 'g'), 32) AS counter, rpad(p_name, greatest(24, length(p_name))::INT, ' ') || '|' AS padded,
+  p_name IN ('blue') OR contains(p_name, 'red') OR contains(p_name, 'lin') AS blocked FROM part""")
+def cleaned_names(spark, d):
+    both = F.concat("p_name", F.lit("/"), "p_type")
+    return table(spark, d, "part").select(
+        "p_partkey", X.clean_app(both).alias("app"), X.clean_counter(both).alias("counter"), F.concat(X.pad("p_name", 24), F.lit("|")).alias("padded"), X.is_blocked("p_name", ["blue"], ["red", "lin"]).alias("blocked")
+    )
+
+
 UNITS = BANGLA_UNITS | NUKTA_UNITS | {X.VIRAMA + "য": "y", X.VIRAMA + "ব": "?b"}
 
 

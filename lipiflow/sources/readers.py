@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import HEADER_PATTERNS, is_latin_only, has_bengali, is_safe_component
@@ -73,13 +75,22 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.where(F.col("line").rlike(r"^\s*\{.*\}\s*$") & F.col("r").isNotNull()).select("r.*")
 
 
-def chunks(spark: SparkSession, root: str, stream: str) -> DataFrame:
-    """line, install, stream, seq, chunk of <root>/<install>/<stream>-<seq>.jsonl; unsafe names are left out."""
+def rule_bundle(spark: SparkSession, path: str) -> dict:
+    """A rule bundle, one JSON object, for operators.rules; it is small and travels with the tasks."""
+    return json.loads(spark.read.text(path, wholetext=True).head()[0])
+
+
+def chunks(spark: SparkSession, root: str, stream: str, ordered: bool = False) -> DataFrame:
+    """line, install, stream, seq, chunk of <root>/<install>/<stream>-<seq>.jsonl; unsafe names are left out.
+
+    ordered: by install and then the file's name, as a scan of the folders would meet them.
+    """
     df = spark.read.text(f"{root}/*/{stream}-*.jsonl").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_path"))
     pattern = r"([^/]+)/((metrics|events)-(\d+)\.jsonl)$"
     part = lambda i: F.regexp_extract("_path", pattern, i)
     out = df.select("line", part(1).alias("install"), part(3).alias("stream"), part(4).cast("bigint").alias("seq"), part(2).alias("chunk"))
-    return out.where((F.trim("line") != "") & is_safe_component("install"))
+    out = out.where((F.trim("line") != "") & is_safe_component("install"))
+    return out.orderBy("install", "chunk") if ordered else out
 
 
 def metrics(spark: SparkSession, root: str) -> DataFrame:

@@ -6,7 +6,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-MIN_TUNE_ITEMS = 2000  # fixed value
+# Fixed values.
+MIN_TUNE_ITEMS, BODY_BYTES = 2000, 1 << 20
 
 
 def sorted_table(df: DataFrame, path: str, *keys: str, partitions: int | None = None) -> None:
@@ -29,6 +30,13 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def acceptable(batch: DataFrame, body: str = "body") -> DataFrame:
+    """The deliveries whose body is at most BODY_BYTES long and has at least one line, each a JSON object; blank lines do not count."""
+    lines = F.filter(F.split(F.col(body), "\n", -1), lambda x: F.trim(x) != "")
+    one = lambda x: F.coalesce(F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT"), F.lit(False))
+    return batch.where((F.octet_length(body) <= BODY_BYTES) & (F.size(lines) > 0) & F.forall(lines, one))
+
+
 def put_chunks(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
     """Appends the chunks (install, stream, seq, line) not stored yet and returns them: a second delivery stores nothing."""
     keys = ["install", "stream", "seq"]

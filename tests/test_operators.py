@@ -93,7 +93,7 @@ def test_ordinals_samples_and_ascent(spark):
     got = {r.v: r._ordinal for r in E.ordinals(df, "v").collect()}
     assert got == {v: i for i, v in enumerate(sorted(got))}
     assert E.stride_sample(df, 10, "id").count() == 10
-    best, at = E.coordinate_ascent(lambda w: -((w["a"] - 2) ** 2) - (w["b"] + 1) ** 2, {"a": 0.0, "b": 0.0}, {"a": [0.0, 1.0, 2.0], "b": [-1.0, 0.0]})
+    best, at = E.coordinate_ascent(lambda ws: [-((w["a"] - 2) ** 2) - (w["b"] + 1) ** 2 for w in ws], {"a": 0.0, "b": 0.0}, {"a": [0.0, 1.0, 2.0], "b": [-1.0, 0.0]})
     assert best == {"a": 2.0, "b": -1.0} and at == 0
 
 
@@ -183,3 +183,58 @@ def test_received_chunks_are_stored_once(spark, tmp_path):
 def test_stress_variants(spark):
     got = dict(sets(stress.variants(spark.createDataFrame([("bhalochhi",)], "word string")), "style", "roman"))
     assert got == {"as_is": "bhalochhi", "c_for_ch": "bhaloci", "s_for_sh": "bhalochhi", "v_for_bh": "valochhi", "no_h": "balochi"}
+
+
+def test_sentences_are_transliterated_with_what_was_chosen_before(spark):
+    import itertools
+    import math
+
+    from lipiflow.functions.scores import BACKOFF, TUNED_WEIGHTS as W
+    from lipiflow.operators import retrieve as R
+
+    lexicon = {"ab": [("a1", -3.0), ("a2", -3.1), ("a3", -9.0)], "bc": [("b1", -2.0), ("b2", -2.0)], "cd": [("c1", -5.0), ("b1", -5.5)]}
+    pairs = {("a1", "b2"): 30, ("a1", "a2"): 5, ("b2", "c1"): 1, ("b2", "b1"): 60, ("b1", "a3"): 90, ("c1", "a2"): 8, ("a2", "a1"): 3, ("a3", "b1"): 1}
+    totals = {}
+    for (p, _), n in pairs.items():
+        totals[p] = totals.get(p, 0) + n + 1
+    texts = [list(t) for n in (1, 2, 3, 4) for t in itertools.product(["ab", "bc", "cd", "zz", "12"], repeat=n)]
+
+    def plain(core, prev):
+        def score(c):
+            context = 0.0 if prev not in totals else math.log(pairs[prev, c[0]] / totals[prev]) - c[1] if (prev, c[0]) in pairs else BACKOFF
+            return round(W["unigram"] * c[1] - 15 * W["xlit_logp"], 6) + round(W["bigram"] * context, 6)
+
+        return min(((-round(score(c), 6), c[0]) for c in lexicon[core]), default=(0, core))[1] if core in lexicon else core
+
+    expected = {}
+    for i, t in enumerate(texts):
+        out, prev = [], None
+        for core in t:
+            out.append(core if core == "12" else plain(core, prev))
+            prev = prev if core == "12" else out[-1]
+        expected[i] = out
+    tokens = spark.createDataFrame([(i, p, c, None if c == "12" else c) for i, t in enumerate(texts) for p, c in enumerate(t)], "sent int, pos int, core string, roman string")
+    candidates = spark.createDataFrame([(r, w, u) for r, ws in lexicon.items() for w, u in ws], "q string, word string, uni double")
+    pair_rows = spark.createDataFrame([(*k, n) for k, n in pairs.items()], "prev string, word string, count int")
+    got = R.transliterated_sentences(tokens, candidates, W, pair_rows, spark.createDataFrame(list(totals.items()), "prev string, total int"))
+    assert {r.sent: r.words for r in got.collect()} == expected
+    assert any(out != [plain(c, None) if c != "12" else c for c in t] for out, t in zip(expected.values(), texts))
+
+
+def test_deliveries_of_json_objects_alone_are_accepted(spark):
+    from lipiflow.sources.writers import BODY_BYTES, acceptable
+
+    bodies = ['{"a": 1}\n{"b": [2]}\n', "\n\n", "", None, '{"a": 1}\n[1]', '{"a": 1', '{"a": 1}\nnull', '{"a": "' + "x" * BODY_BYTES + '"}', '\n {"a": {}} ']
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, body string")
+    assert sorted(r.id for r in acceptable(df).collect()) == [0, 8]
+
+
+def test_bundles_and_chunks_are_read_from_files(spark, tmp_path):
+    from lipiflow.sources import readers
+
+    (tmp_path / "bundle.json").write_text('{"patterns": [\n{"find": "k", "replace": "ক"}]}', encoding="utf-8")
+    assert readers.rule_bundle(spark, str(tmp_path / "bundle.json")) == {"patterns": [{"find": "k", "replace": "ক"}]}
+    for install, seq in (("b", 2), ("a", 10), ("a", 9)):
+        (tmp_path / "store" / install).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "store" / install / f"events-{seq}.jsonl").write_text('{"x": 1}\n')
+    assert [(r.install, r.seq) for r in readers.chunks(spark, str(tmp_path / "store"), "events", ordered=True).collect()] == [("a", 10), ("a", 9), ("b", 2)]
