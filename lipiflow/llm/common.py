@@ -55,11 +55,11 @@ def surviving(docs, rows):
     A row is found by its id and its text's hash. Rows that repeat both are one document, of which one row stays.
     """
     names = [f"_{i}" for i in range(len(docs.columns))]  # whatever the columns are called
-    doc_id = names[docs.columns.index("doc_id")]
-    own = docs.select("*", F.xxhash64("text")).toDF(*names, "_text_hash").dropDuplicates([doc_id, "_text_hash"])
-    kept = rows.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash"))
-    return own.join(kept, same, "left_semi").select(*names).toDF(*docs.columns)
+    key = ["_id", "_no_id", "_text_hash"]  # never null, so that the join keeps the partitions of dropDuplicates
+    parts = lambda text_hash: (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), text_hash)
+    own = docs.select("*", *parts(F.xxhash64("text"))).toDF(*names, *key).dropDuplicates(key)
+    kept = rows.where("kept").select(*parts(F.col("text_hash"))).toDF(*key).distinct()
+    return own.join(kept, key, "left_semi").select(*names).toDF(*docs.columns)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
