@@ -49,6 +49,11 @@ def stored(df, name: str, partition_by: str | None = None):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks_of(df) -> int:
+    """Tasks to deal rows of df to: the session's shuffle partitions, or as many as df has input splits if that is more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions(), 1)
+
+
 def surviving(docs, rows):
     """The rows of docs that `rows` (doc_id, text_hash, kept) keeps, with all their columns.
 

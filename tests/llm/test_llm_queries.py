@@ -9,7 +9,8 @@ from lipiflow.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "embeddings", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     got, want = QUERIES[name](spark, sf_dir).toPandas(), con.execute(ORACLE_SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
@@ -20,7 +21,7 @@ def test_there_is_a_query_for_each_operator():
     import __spark_entry__ as entry
 
     found = entry.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in found) == 1 for i in range(1, 11)) and "pipeline" in found
+    assert all(sum(n.startswith(f"op{i}_") for n in found) == 1 for i in range(1, 14)) and "pipeline" in found
 
 
 def test_odd_rows_pass_every_stage(spark, sf_dir):
