@@ -26,6 +26,11 @@ _NONE = np.iinfo(np.int64).max
 _ROW = "kind int, doc_id long, part string, mask int, head long, fingerprint long, text string, least long"
 
 
+def fingerprint(text):
+    """What range partitions and sorting begin with; texts that share one are told apart by comparing them."""
+    return F.xxhash64(text)
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """doc_id, part, text, fingerprint, and mask: bits 1, 2, 4 and 8 for failing A, B, C and D."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
@@ -39,7 +44,7 @@ def masked(docs: DataFrame) -> DataFrame:
     )
     fails = [F.col("n") < 200, F.col("d") * 100 < F.col("n") * 50, (F.col("points") - F.col("rest")).cast("long") * 100 > F.col("points").cast("long") * 3, F.col("text").rlike(r"[#$%&*|]")]
     mask = sum(F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails))
-    return sized.select("doc_id", "part", "text", F.xxhash64("text").alias("fingerprint"), mask.cast("int").alias("mask"))
+    return sized.select("doc_id", "part", "text", fingerprint("text").alias("fingerprint"), mask.cast("int").alias("mask"))
 
 
 class _Runs:
