@@ -1,8 +1,8 @@
 """Near-duplicate classes by Order MinHash.
 
-A text's k-mers are its runs of five words (of three in texts of fewer than 256 words), labelled by occurrence.
-Each of 64 sketches (32) takes the two labelled k-mers that hash lowest and keeps them in text order, so that a
-collision is likely only for texts with a small edit distance. Pairs of fewer than 20 words are found without
+A text's k-mers are its runs of three words, labelled by occurrence: at a similarity of 0.8, edits may leave no longer
+run. Each of 64 sketches takes the two labelled k-mers that hash lowest and keeps them in text order, so that a
+collision is likely only for texts with a small edit distance. Pairs of fewer than 24 words are found without
 chance instead, by triples of the words that come first in one order of all words (prefix filter). Texts that share
 a sketch are candidates. Each first meets the bucket's first text: one pair a text, which joins most copies. Word
 counts rule out most unlike pairs, a banded alignment of the words verifies the others; verified pairs are joined
@@ -21,16 +21,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _C1, Words, mix, passes, signed, stored, window_hashes
+from .common import _C1, Words, mix, passes, signed, stored, tasks_of, window_hashes
 
 SIMILARITY = 0.8
-#: Words of a k-mer and sketches of texts from LONG words on, and of shorter ones, few of whose longer runs survive edits.
-KMER, SKETCHES = 5, 64
-LONG, SHORTER_KMER, FEWER_SKETCHES = 256, 3, 32
+#: Words of a k-mer and sketches of a text, alike at every length.
+KMER, SKETCHES = 3, 64
 #: Pairs whose longer text has fewer words than this are found by triples.
-SHORT = 20
-#: Texts of a bucket that one block holds against as many others, and counters of a text's words.
-BLOCK, BINS = 512, 256
+SHORT = 24
+#: Texts of a bucket that one block holds against as many others, words that they have in all, and counters of a text's words.
+BLOCK, BLOCK_WORDS, BINS = 2048, 4_000_000, 256
 
 
 def occurrences(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -102,19 +101,13 @@ def short_triples(h: np.ndarray, first: np.ndarray, similarity: float = SIMILARI
 def text_sketches(w: Words, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets and values of the sketches of each document, and halves of those of k-mers in a table, each sketch in its column.
 
-    There are three kinds: triples of short texts, sketches of short k-mers and of long ones. A text has those of two
-    kinds where texts similar to it may be on either side of the border between the kinds.
+    A text has triples if it is short, sketches of k-mers if texts similar to it may not be, and both at the border.
     """
     sizes, h = np.diff(w.first), w.hashes()
-    reaches = lambda n: sizes >= n - int((1 - similarity) * n + 1e-9)
-    found = [short_triples(h, w.first, similarity)]
-    table, column = np.zeros((len(sizes), FEWER_SKETCHES + SKETCHES), np.uint32), 0
-    for which, k, sketches in ((reaches(SHORT) & (sizes < LONG), SHORTER_KMER, FEWER_SKETCHES), (reaches(LONG), KMER, SKETCHES)):
-        at, values = omh_sketches(h, w.first, which, k, sketches)
-        found.append((np.repeat(at, sketches), values.ravel()))
-        table[at, column : column + sketches] = values.astype(np.uint32)
-        column += sketches
-    docs, keys = (np.concatenate(x) for x in zip(*found))
+    at, values = omh_sketches(h, w.first, sizes >= SHORT - int((1 - similarity) * SHORT + 1e-9), KMER, SKETCHES)
+    table = np.zeros((len(sizes), SKETCHES), np.uint32)
+    table[at] = values.astype(np.uint32)
+    docs, keys = (np.concatenate(x) for x in zip(short_triples(h, w.first, similarity), (np.repeat(at, SKETCHES), values.ravel())))
     order = np.argsort(docs, kind="stable")
     return np.append(0, np.cumsum(np.bincount(docs, minlength=len(sizes)))).astype(np.int32), keys[order], table
 
@@ -290,17 +283,17 @@ def remaining_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, tex
     """Pairs a < b that share a bucket, are in different classes, and reach the similarity: all such pairs are verified.
 
     members has node, words, key and size; nodes has node, shape and places. A bucket is parted by levels of length, each
-    level meeting itself and the next one, and these by dealing texts to blocks of about BLOCK: each two blocks meet
-    in a group of their own, so that no task holds more of a bucket, however large it is. Word counts tell which texts
+    level meeting itself and the next one, and these by dealing texts to blocks of about BLOCK texts, or BLOCK_WORDS words if
+    that is less: each two blocks meet in a group of their own, so that no task holds more of a bucket, however large it is. Word counts tell which texts
     of a group have to be held against which; only the texts of these go there, once each, and are aligned.
     """
-    n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = tasks_of(members)
     level = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / float(np.log(max(LEVEL, 1.008 / similarity)))).cast("int")
     known = members.where("size > 2").join(labels, "node", "left").select("node", "words", "key", level.alias("level"), F.coalesce("label", "node").alias("label"))
     parts = stored(known.withColumn("lower", F.explode(F.array(F.col("level") - 1, F.col("level")))), "omh-known")
     # stored, so that the join exchanges both sides anew and a bucket with very many texts can be split
-    counts = parts.groupBy("key", "lower").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.col("level") - F.col("lower")).alias("own"))
-    split = stored(counts.where("low <> high AND own = 0").select("key", "lower", F.ceil(F.col("texts") / BLOCK).cast("int").alias("blocks")), "omh-open")
+    counts = parts.groupBy("key", "lower").agg(F.count(F.lit(1)).alias("texts"), F.sum("words").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.col("level") - F.col("lower")).alias("own"))
+    split = stored(counts.where("low <> high AND own = 0").select("key", "lower", F.ceil(F.greatest(F.col("texts") / BLOCK, F.col("total") / BLOCK_WORDS)).cast("int").alias("blocks")), "omh-open")
     open_ = stored(parts.join(split, ["key", "lower"]), "omh-unlike")
     dealt = open_.join(nodes.select("node", "shape", "places"), "node").withColumn("own", F.expr("cast(pmod(xxhash64(node, 8), blocks) AS int)"))
     met = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -402,7 +395,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, hash, f1, f2 of each row; f1, f2, class_id, class_row, n_links of each text), both stored.
+    """(row, doc_id, hash, f1, f2 of each row; f1, f2, class_id, class_row of each text), both stored.
 
     A row's number is given when it is read here. class_row is the row of the class with the least (doc_id, row).
     """
@@ -413,12 +406,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
             for part in passes(batch):
                 w = Words(part.column("text"))
                 (offsets, found, table), sizes = text_sketches(w, similarity), np.diff(w.first)
-                h = w.hashes(seed=1)
-                at = np.arange(w.n) - np.repeat(w.first[:-1], sizes)
-                spread = mix(h + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                total = np.concatenate([[np.uint64(0)], np.cumsum(spread, dtype=np.uint64)])
-                again = np.concatenate([[np.uint64(0)], np.cumsum(mix(spread ^ np.uint64(0xABCDEF)), dtype=np.uint64)])
-                f1, f2 = (t[w.first[1:]] - t[w.first[:-1]] for t in (total, again))
+                at = (np.arange(w.n) - np.repeat(w.first[:-1], sizes)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                totals = [np.concatenate([[np.uint64(0)], np.cumsum(mix(w.hashes(seed) + at), dtype=np.uint64)]) for seed in (1, 7)]
+                f1, f2 = (t[w.first[1:]] - t[w.first[:-1]] for t in totals)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(found)))
                 shape = pa.array([x.tobytes() for x in word_shapes(w)], pa.binary())
                 columns = [pa.array(row + np.arange(part.num_rows)), part.column("doc_id"), part.column("hash"), pa.array(signed(f1)), pa.array(signed(f2)), pa.array(sizes.astype(np.int64)), lists, shape, pa.array([x.tobytes() for x in table], pa.binary())]
@@ -434,11 +424,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     pairs = stored(plausible(first_pairs(members), nodes, similarity), "omh-pairs")
     links = stored(verified_links(pairs, texts, similarity), "omh-links")
     links = links.union(stored(remaining_links(members, components(links), nodes, texts, similarity), "omh-links"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    labelled = nodes.select("f1", "f2", "node", "doc_id").join(components(links), "node", "left").join(degree, "node", "left")
-    labelled = stored(labelled.select("f1", "f2", "node", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "omh-labels")
+    labelled = nodes.select("f1", "f2", "node", "doc_id").join(components(links), "node", "left")
+    labelled = stored(labelled.select("f1", "f2", "node", "doc_id", F.coalesce("label", "node").alias("label")), "omh-labels")
     heads = stored(labelled.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("head")), "omh-heads")
-    named = labelled.join(heads, "label").select("f1", "f2", F.col("head.doc_id").alias("class_id"), F.col("head.node").alias("class_row"), "n_links")
+    named = labelled.join(heads, "label").select("f1", "f2", F.col("head.doc_id").alias("class_id"), F.col("head.node").alias("class_row"))
     return base.select("row", "doc_id", "hash", "f1", "f2"), stored(named, "omh-classes")
 
 
@@ -446,14 +435,12 @@ _SKETCHED = "row long, doc_id long, hash long, f1 long, f2 long, words long, ske
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, n_links, kept: one row for each row of docs.
+    """doc_id, class_id, kept: one row for each row of docs.
 
     Texts with the same words in the same order are one node, linked to another if the edit similarity of their
     words is at least `similarity` and they were candidates; classes are connected components. class_id is the
-    least doc_id of the class, and one row of that id and class is kept; n_links counts the verified links of the
-    row's text, which are not all its near copies: texts that others have joined to a class already are not held
-    against each other. Null and empty texts are equal to each other. Rows with a null doc_id are kept and in no class
-    (class_id is null, n_links 0); rows that repeat a doc_id with another text are documents of their own. Other columns
+    least doc_id of the class, and one row of that id and class is kept. Null and empty texts are equal to each other.
+    Rows with a null doc_id are kept and in no class (class_id is null); rows that repeat a doc_id with another text are documents of their own. Other columns
     are ignored; an empty table gives no rows.
     """
     return near_rows(docs, similarity).drop("text_hash")
@@ -467,6 +454,5 @@ def near_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         "doc_id",
         F.col("hash").alias("text_hash"),
         F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"),
-        F.when(F.col("doc_id").isNotNull(), F.col("n_links")).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
         (F.col("doc_id").isNull() | (F.col("row") == F.col("class_row"))).alias("kept"),
     )
