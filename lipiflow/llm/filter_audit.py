@@ -31,12 +31,17 @@ def fingerprint(text):
     return F.xxhash64(text)
 
 
-def masked(docs: DataFrame) -> DataFrame:
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """doc_id, part, text and the text's fingerprint; a null text is empty, a null lang is part ''."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("fingerprint", fingerprint("text"))
+
+
+def masked(rows: DataFrame) -> DataFrame:
     """doc_id, part, text, fingerprint, and mask: bits 1, 2, 4 and 8 for failing A, B, C and D."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
     words = F.array_remove(F.split(F.translate("text", SEPARATORS, SPACES), " "), "")
-    sized = text.withColumn("w", words).select(
-        "doc_id", "part", "text",
+    sized = rows.withColumn("w", words).select(
+        "doc_id", "part", "text", "fingerprint",
         F.size("w").alias("n"),
         F.size(F.array_distinct("w")).alias("d"),
         F.length("text").alias("points"),
@@ -44,7 +49,7 @@ def masked(docs: DataFrame) -> DataFrame:
     )
     fails = [F.col("n") < 200, F.col("d") * 100 < F.col("n") * 50, (F.col("points") - F.col("rest")).cast("long") * 100 > F.col("points").cast("long") * 3, F.col("text").rlike(r"[#$%&*|]")]
     mask = sum(F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails))
-    return sized.select("doc_id", "part", "text", fingerprint("text").alias("fingerprint"), mask.cast("int").alias("mask"))
+    return sized.select("doc_id", "part", "text", "fingerprint", mask.cast("int").alias("mask"))
 
 
 class _Runs:
@@ -108,10 +113,10 @@ def _compare(batches):
 
 def failures(docs: DataFrame) -> DataFrame:
     """doc_id, part, mask of each row of docs: bit k of the mask says that filter k of FILTERS fails."""
-    rows = masked(docs)
     # bounds are drawn over fingerprints and ids, so that no texts go to the driver; equal texts need not share a partition
-    dealt = rows.repartitionByRange(tasks_of(docs), "fingerprint", "doc_id").sortWithinPartitions("fingerprint", "text", "doc_id")
-    compared = stored(dealt.mapInArrow(_compare, _ROW), "audit-rows", partition_by="kind")
+    dealt = fingerprinted(docs).repartitionByRange(tasks_of(docs), "fingerprint", "doc_id").sortWithinPartitions("fingerprint", "text", "doc_id")
+    # the masks come after the exchange: before it they would be made once more, for the bounds
+    compared = stored(masked(dealt).mapInArrow(_compare, _ROW), "audit-rows", partition_by="kind")
     edges = compared.where("kind = 1").select("head", "fingerprint", "text", "least")
     earliest = edges.groupBy("fingerprint", "text").agg(F.min("least").alias("earliest"))
     late = edges.where("head IS NOT NULL").join(earliest, ["fingerprint", "text"]).where("earliest < least").select("head", F.lit(16).alias("repeats"))
