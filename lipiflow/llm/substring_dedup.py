@@ -118,8 +118,11 @@ def levels(h: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> Iterator[Sym
         yield s
 
 
-def segments(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS):
-    """(window starts, anchor keys, span fingerprints, document) of the segments of documents that begin at `first`."""
+def segments(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS, second: np.ndarray | None = None):
+    """(window starts, anchor keys, span fingerprints, document) of the segments of documents that begin at `first`.
+
+    h are the words' hashes, from which names are made; spans are told apart by `second`, hashes under another seed.
+    """
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     n = len(h)
     starts = np.flatnonzero(doc[: max(n - window + 1, 0)] == doc[window - 1 :]) if n >= window else np.zeros(0, np.int64)
@@ -160,7 +163,7 @@ def segments(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int
     at = np.flatnonzero(new)
     many = np.diff(np.append(at, len(starts)))
     begin = starts[at]
-    other = Ranges(mix(h ^ _C3))
+    other = Ranges(mix(h ^ _C3) if second is None else second)
     span = mix(other.of(begin, begin + many - 1 + window) + (anchor[at] - begin).astype(np.uint64) * _C2)
     return begin, key[at], span, many, doc[begin]
 
@@ -178,7 +181,7 @@ def _parse(window: int, rounds: int):
         for batch in batches:
             for part in passes(batch):
                 w = Words(part.column("text"))
-                got = segments(w.hashes(), w.first, window, rounds)
+                got = segments(w.hashes(), w.first, window, rounds, w.hashes(seed=11))
                 rows = part.num_rows
                 if len(got[0]):
                     begin, key, span, many, doc = got
@@ -199,8 +202,7 @@ def _window_rows(window: int):
         for batch in batches:
             for part in passes(batch):
                 w = Words(part.column("text"))
-                h = w.hashes()
-                one, two = window_hashes(h, window), window_hashes(mix(h ^ _C2), window)
+                one, two = window_hashes(w.hashes(), window), window_hashes(w.hashes(seed=11), window)
                 asked = part.column("asked")
                 offsets = np.array(asked.offsets)
                 start, count = (asked.flatten().field(i).to_numpy() for i in range(2))
