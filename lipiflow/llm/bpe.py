@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,8 +20,10 @@ from pyspark.sql import DataFrame
 
 #: How these vocabularies split a text before merging (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a task remembers; the older half goes when as many new ones have come.
-REMEMBERED = 300_000
+#: Pieces that a task remembers; the older half goes when as many new ones have come. Longer pieces are worked out each time.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+#: Bytes of a piece from which its symbols lie in arrays, and the bits of a place in it.
+LONG_PIECE, PLACE = 4096, (1 << 40) - 1
 
 
 def byte_alphabet() -> list[str]:
@@ -44,6 +47,8 @@ class Remembered(dict):
         return value
 
     def put(self, key, value) -> None:
+        if len(key) > REMEMBERED_CHARS:
+            return
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -84,34 +89,36 @@ class ByteBpe:
         n = len(ids)
         if n < 2:
             return tuple(ids)
-        queue = []
-        for i in range(n - 1):
-            if (found := merges.get(ids[i] << 20 | ids[i + 1])) is not None:
-                queue.append((found[0], i, found[1]))
+        # a merge waits as one integer, rank and place; numbers lie in arrays where the piece is long
+        many = (lambda x: array("q", x)) if n > LONG_PIECE else list
+        ids = many(ids)
+        queue = [found[0] << 40 | i for i in range(n - 1) if (found := merges.get(ids[i] << 20 | ids[i + 1])) is not None]
         if not queue:
             return tuple(ids)
         heapq.heapify(queue)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        after, before = many(range(1, n + 1)), many(range(-1, n - 1))
         pop, push = heapq.heappop, heapq.heappush
         while queue:
-            rank, i, merged = pop(queue)
+            first = pop(queue)
+            i = first & PLACE
             left = ids[i]
             j = after[i]
             if left < 0 or j >= n:
                 continue
             found = merges.get(left << 20 | ids[j])
-            if found is None or found[0] != rank:
+            if found is None or found[0] != first >> 40:
                 continue  # stale: one of the symbols is another by now
+            merged = found[1]
             ids[i], ids[j] = merged, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 if (found := merges.get(merged << 20 | ids[k])) is not None:
-                    push(queue, (found[0], i, found[1]))
+                    push(queue, found[0] << 40 | i)
             h = before[i]
             if h >= 0 and (found := merges.get(ids[h] << 20 | merged)) is not None:
-                push(queue, (found[0], h, found[1]))
-        return tuple([x for x in ids if x >= 0])
+                push(queue, found[0] << 40 | h)
+        return tuple(x for x in ids if x >= 0)
 
     def encode(self, text: str) -> list[int]:
         if self.split_special is None or not any(s in text for s in self.special):

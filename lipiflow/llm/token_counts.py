@@ -20,13 +20,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import Remembered
+from .bpe import REMEMBERED_CHARS, Remembered
 
 SPACE = "▁"
 #: Below the lowest score, for an unknown character (fixed value).
 UNKNOWN_PENALTY = 10.0
-#: Characters of a word that are remembered; longer words are scored each time.
-REMEMBERED_CHARS = 64
 
 
 def unigram_pieces(model_path: str) -> list[tuple[str, float]]:
@@ -49,6 +47,7 @@ class CountingUnigram:
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(len(p) for p, _ in pieces)
         self.single = {p: s for p, s in pieces if len(p) == 1}
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.counts = Remembered(self.count_word)
@@ -58,24 +57,28 @@ class CountingUnigram:
 
     def best(self, word: str) -> tuple[float, int]:
         """Best score of the word and the tokens of the segmentation that has it."""
-        n = len(word)
-        single, unknown = self.single, self.unknown
-        # the automaton yields matches by end; among those of one end the longest, of the earliest start, first
-        ending: list[list] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            ending[end].append(match)
-        scores, tokens = [0.0] + [-math.inf] * n, [0] * (n + 1)
-        for end in range(1, n + 1):
+        single, unknown, room = self.single, self.unknown, self.longest + 1
+        # the automaton yields matches by end, of which only the scores of as many ends as a piece is long are kept
+        matches = self.automaton.iter(word)
+        last, match = next(matches, (-1, None))
+        scores, tokens = [0.0] * room, [0] * room
+        for end, letter in enumerate(word, 1):
+            ending = []
+            while last == end - 1:
+                ending.append(match)
+                last, match = next(matches, (-1, None))
             best, count = -math.inf, 0
-            for length, score in sorted(ending[end - 1], reverse=True):
-                start = end - length
+            # among those of one end the longest, of the earliest start, first
+            for length, score in sorted(ending, reverse=True):
+                start = (end - length) % room
                 if (candidate := scores[start] + score) > best:
                     best, count = candidate, tokens[start] + 1
-            if word[end - 1] not in single and (candidate := scores[end - 1] + unknown) > best:
+            before = (end - 1) % room
+            if letter not in single and (candidate := scores[before] + unknown) > best:
                 # fallback: as many tokens as the character has bytes, fused with an unknown before it or not
-                best, count = candidate, tokens[end - 1] + len(word[end - 1].encode("utf-8", "surrogatepass"))
-            scores[end], tokens[end] = best, count
-        return scores[n], tokens[n]
+                best, count = candidate, tokens[before] + len(letter.encode("utf-8", "surrogatepass"))
+            scores[end % room], tokens[end % room] = best, count
+        return scores[len(word) % room], tokens[len(word) % room]
 
     def count(self, text: str) -> int:
         if not text:
