@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.metrics import cer
 from ..functions.scores import score_features
+from ..sources.store import stored, tasks_of
 
 
 def grouped_wordset(rows: DataFrame) -> DataFrame:
@@ -86,13 +87,27 @@ def macro_average(evaluated: DataFrame, metrics: tuple[str, ...] = ("top1", "top
 def percentiles(rows: DataFrame, group: str, value: str, wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """group and a column for each wanted percentile: the value at the index that it makes of the group's number of values.
 
-    Equal values are counted before they are exchanged; a running sum over the distinct ones finds the index. Nulls are left out.
+    Equal values are counted before they are exchanged; running sums over range partitions of the distinct ones find the index,
+    so that a group with very many values is spread over tasks. Nulls are left out.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    own = Window.partitionBy(group)
-    run = counts.withColumn("_upto", F.sum("_n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(own))
-    at = lambda index: F.max(F.when((F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index), F.col(value)))
-    return run.groupBy(group).agg(*(at(index(F.col("_all"))).alias(name) for name, index in wanted.items()))
+    run = running_sums(counts, [group, value], "_n")
+    sizes = run.groupBy(group).agg(F.min("_sum").alias("_before"), F.sum("_n").alias("_all"))  # a row a group
+    placed = run.join(sizes.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    at = lambda index: F.max(F.when((F.col("_sum") + F.col("_n") - F.col("_before") > index) & (F.col("_sum") - F.col("_before") <= index), F.col(value)))
+    return placed.groupBy(group).agg(*(at(index(F.col("_all"))).alias(name) for name, index in wanted.items()))
+
+
+def running_sums(rows: DataFrame, order: list[str], value: str) -> DataFrame:
+    """rows with _sum, the values of all rows before, by `order` (equal rows in any order): sums of range partitions give each its offset.
+
+    The rows are stored in their order first, so that partitions stay what they are; a sum for each partition is all that is broadcast.
+    """
+    dealt = rows.repartitionByRange(tasks_of(rows), *order).sortWithinPartitions(*order)
+    kept = stored(dealt.withColumn("_p", F.spark_partition_id()), "running")
+    before = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = kept.groupBy("_p").agg(F.sum(value).alias(value)).withColumn("_offset", before(Window.orderBy("_p"))).select("_p", "_offset")
+    return kept.join(F.broadcast(sums), "_p").withColumn("_sum", F.col("_offset") + before(Window.partitionBy("_p").orderBy(*order))).drop("_p", "_offset")
 
 
 def stride_sample(rows: DataFrame, n: int, order: str) -> DataFrame:
@@ -105,12 +120,7 @@ def stride_sample(rows: DataFrame, n: int, order: str) -> DataFrame:
 
 def ordinals(rows: DataFrame, order: str) -> DataFrame:
     """_ordinal: 0, 1, .. by `order`, without a single-task sort: counts of range partitions give each its offset."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    local = sorted_.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
-    sizes = sorted_.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(starts), "_p").withColumn("_ordinal", F.col("_start") + F.col("_i")).drop("_p", "_i", "_n", "_start")
+    return running_sums(rows.withColumn("_one", F.lit(1)), [order], "_one").withColumnRenamed("_sum", "_ordinal").drop("_one")
 
 
 def weight_hits(candidates: DataFrame, weights: list[dict[str, float]]) -> DataFrame:

@@ -74,11 +74,12 @@ def context(sentence: str = "sent", words: int = CONTEXT_WORDS, word: str = "wor
     return F.collect_list(word).over(Window.partitionBy(sentence).orderBy("pos").rowsBetween(-words, -1))
 
 
-def merged(base: Column, predicted: Column, start: int, n: int, k: int) -> Column:
+def merged(base: Column, predicted: Column, start: int | Column, n: int | Column, k: int) -> Column:
     """base with up to n predicted words put in after its first `start`, without repeats, k in all. Arrays of match keys."""
-    head = F.slice(base, 1, start) if start else F.array().cast("array<string>")
-    extra = F.slice(F.filter(predicted, lambda w: ~F.array_contains(head, w)), 1, n)
-    rest = F.filter(F.slice(base, start + 1, 1_000_000), lambda w: ~F.array_contains(extra, w))
+    start, n = (x if isinstance(x, Column) else F.lit(x) for x in (start, n))
+    head = F.slice(base, F.lit(1), start)
+    extra = F.slice(F.filter(predicted, lambda w: ~F.array_contains(head, w)), F.lit(1), n)
+    rest = F.filter(F.slice(base, start + 1, F.size(base)), lambda w: ~F.array_contains(extra, w))
     return F.slice(F.concat(head, extra, rest), 1, k)
 
 

@@ -24,12 +24,12 @@ def query(sql: str | None = None):
     return keep
 
 
-ITEMS = f"""{TOK}, it AS (SELECT {sql_style('no_h', 'word')} AS roman, word AS gold, quality + 1 AS weight, source, doc_id * 1000000 + pos AS ord FROM tok JOIN labels USING (doc_id))"""
+ITEMS = f"""{TOK}, it AS (SELECT {sql_style('no_h', 'word')} AS roman, word AS gold, quality + 1 AS weight, source, struct_pack(d := doc_id, p := pos) AS ord FROM tok JOIN labels USING (doc_id))"""
 
 
 def _items(spark, d):
     t = tokens(spark, d).join(table(spark, d, "labels"), "doc_id")
-    return t.select(F.expr(STYLE_EXPRESSIONS["no_h"].replace("{w}", "word").replace("{1}", "$1")).alias("roman"), F.col("word").alias("gold"), (F.col("quality") + 1).alias("weight"), "source", (F.col("doc_id") * 1000000 + F.col("pos")).alias("ord"))
+    return t.select(F.expr(STYLE_EXPRESSIONS["no_h"].replace("{w}", "word").replace("{1}", "$1")).alias("roman"), F.col("word").alias("gold"), (F.col("quality") + 1).alias("weight"), "source", F.struct("doc_id", "pos").alias("ord"))
 
 
 @query(f"""WITH {ITEMS}, g AS (SELECT roman, gold, sum(weight) AS w, min(ord) AS first, arg_min(source, ord) AS source FROM it GROUP BY roman, gold)

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import scores
 from ..functions.text import ascii_tokens, is_latin_only, normalize_roman
 from ..operators import lexicon as L, retrieve as R
+from ..sources.store import built_once
 from .standins import QUERY_SQL, ROMANS, SENT, STYLE_EXPRESSIONS, TOK, WORDS, completions, key_indexes, keyed_words, queries, register, romans, sentences, sql_key, sql_style, table, tokens, words
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -48,14 +49,14 @@ def surface_counts(spark, d):
     return L.surface_counts(tokens(spark, d)).select("word", "surface", "n")
 
 
-@query(f"""WITH {TOK}, c AS (SELECT word, surface, count(*) AS n, min(doc_id * 1000000 + pos) AS first FROM tok GROUP BY word, surface)
+@query(f"""WITH {TOK}, c AS (SELECT word, surface, count(*) AS n, min(struct_pack(d := doc_id, p := pos)) AS first FROM tok GROUP BY word, surface)
   SELECT word, surface AS best FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, first) AS r FROM c) WHERE r = 1""")
 def best_surface(spark, d):
     return L.best_surface(L.surface_counts(tokens(spark, d)))
 
 
 @query(f"""WITH {TOK}, p AS (SELECT word, surface, CASE WHEN lang = 'en' THEN 3 WHEN lang = 'fr' THEN 2 ELSE 1 END AS place, doc_id, pos FROM tok),
-  c AS (SELECT word, surface, place, count(*) AS n, min(doc_id * 1000000 + pos) AS first FROM p GROUP BY ALL)
+  c AS (SELECT word, surface, place, count(*) AS n, min(struct_pack(d := doc_id, p := pos)) AS first FROM p GROUP BY ALL)
   SELECT word, surface AS display FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY place, n DESC, first) AS r FROM c) WHERE r = 1""")
 def display_words(spark, d):
     return L.display_words(tokens(spark, d), register())
@@ -117,9 +118,11 @@ def prefix_top24(spark, d):
 def prefix_lookup(spark, d):
     w = table(spark, d, "benchmark").select(F.explode(ascii_tokens("text")).alias("w")).where(F.length("w") >= 4)
     q = w.select(F.lower(F.substring("w", 1, 4)).alias("prefix")).distinct()
+    # words are cut to the best of each prefix before any query meets them
     order = Window.partitionBy("prefix").orderBy(F.desc("score"), "word")
-    found = R.prefix_join(q, words(spark, d).select("word", "score"))
-    return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 30").select("prefix", "word", "score", "rank")
+    top = words(spark, d).where(F.length("word") >= 4).select(F.substring("word", 1, 4).alias("prefix"), "word", "score")
+    top = top.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 30")
+    return q.join(top, "prefix").select("prefix", "word", "score", "rank")
 
 
 @query(f"""WITH {WORDS}, {QUERY_SQL}, {sql_key('coarse', 'words')}, kq AS (SELECT roman AS word FROM qs), {sql_key('coarse', 'kq', out='keyedq')},
@@ -169,7 +172,8 @@ SCORE_SQL = score_sql(_W)
 
 
 def _candidates(spark, d):
-    return R.candidates(queries(spark, d), keyed_words(spark, d), romans(spark, d), completions(spark, d), key_indexes=key_indexes(spark, d))
+    make = lambda: R.candidates(queries(spark, d), keyed_words(spark, d), romans(spark, d), completions(spark, d), key_indexes=key_indexes(spark, d))
+    return built_once(spark, d, "candidates", make)
 
 
 @query(f"WITH {CAND} SELECT q, word, rom_exact, rom_prefix, gap, key_fine, key_coarse, key_fine_prefix, key_coarse_prefix, round(uni, 6) AS uni FROM cand")
@@ -198,7 +202,7 @@ def model_prescore(spark, d):
 
 PAIRS = f"""{SENT}, known AS (SELECT word FROM sent GROUP BY word HAVING count(*) >= 2),
   seq AS (SELECT sent, role, pos, sent.word, known.word AS kept, CASE WHEN pos = 0 THEN '<s>' ELSE lag(known.word) OVER (PARTITION BY sent ORDER BY pos) END AS prev FROM sent LEFT JOIN known ON sent.word = known.word),
-  pairs AS (SELECT prev, word, count(*) AS cnt, min(sent * 1000000 + pos) AS first FROM seq WHERE prev IS NOT NULL AND kept IS NOT NULL GROUP BY prev, word),
+  pairs AS (SELECT prev, word, count(*) AS cnt, min(struct_pack(s := sent, p := pos)) AS first FROM seq WHERE prev IS NOT NULL AND kept IS NOT NULL GROUP BY prev, word),
   totals AS (SELECT prev, sum(cnt)::BIGINT AS total FROM pairs GROUP BY prev),
   fol AS (SELECT prev, word, cnt, rank FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY cnt DESC, first) AS rank FROM pairs) WHERE rank <= 60 AND cnt >= 2)"""
 

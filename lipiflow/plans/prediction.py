@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lexicon as L, nextword as N
 from .lexicon import PAIRS, pairs
-from .standins import SENT, sentences, sql_key
+from .standins import SENT, TURNS, sentences, sql_key
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -62,12 +62,12 @@ def nextword_thresholds(spark, d):
     return N.thresholds(tested, *_followers(spark, d))
 
 
-@query(f"""WITH {PAIRS} SELECT sent, pos, count(*) OVER (PARTITION BY sent // 1000, prev, word ORDER BY sent, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS before,
-  count(*) OVER (PARTITION BY sent // 1000, prev ORDER BY sent, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS prev_before FROM seq WHERE prev IS NOT NULL AND kept IS NOT NULL""")
+@query(f"""WITH {PAIRS} SELECT sent, pos, count(*) OVER (PARTITION BY sent // {TURNS}, prev, word ORDER BY sent, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS before,
+  count(*) OVER (PARTITION BY sent // {TURNS}, prev ORDER BY sent, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS prev_before FROM seq WHERE prev IS NOT NULL AND kept IS NOT NULL""")
 def prequential_next(spark, d):
     s = sentences(spark, d)
     paired = L.with_previous(s, s.groupBy("word").count().where("count >= 2")).where("prev IS NOT NULL AND kept IS NOT NULL")
-    return N.prequential(paired.withColumn("conv", F.floor(F.col("sent") / 1000))).select("sent", F.col("pos").cast("bigint").alias("pos"), "before", "prev_before")
+    return N.prequential(paired.withColumn("conv", F.expr(f"sent div {TURNS}"))).select("sent", F.col("pos").cast("bigint").alias("pos"), "before", "prev_before")
 
 
 @query(f"""WITH {PAIRS}, own AS (SELECT prev, word, count(*) AS n FROM seq WHERE prev IS NOT NULL AND kept IS NOT NULL AND role = 'user' GROUP BY prev, word),
@@ -87,19 +87,6 @@ def context_windows(spark, d):
     return sentences(spark, d).select("sent", F.col("pos").cast("bigint").alias("pos"), F.array_join(N.context(), " ").alias("context"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'a|b|c|typed', 'a|x|b'), (2, 'a|b|c|x|typed', 'a|p|q|b'), (3, 'typed|a|b|c|d', 'a|p|b'), (4, 'a|b|c|x|typed', 'p|q|a')) t(id, shown, with_predicted)""")
-def list_arrangement(spark, d):
-    rows = [(1, ["a", "b", "c", "d", "e"], None, "typed", 4, ["x"], 1, 1, 3), (2, ["a", "b", "c", "d", "e"], "x", "typed", 5, ["a", "p", "q"], 1, 2, 4), (3, ["typed", "a", "b", "c", "d"], "a", "typed", 5, ["p"], 1, 1, 3), (4, ["a", "b", "c", "x", "e"], "x", "typed", 5, ["p", "q"], 0, 2, 3)]
-    df = spark.createDataFrame([(i, b, g, t, p) for i, b, g, t, _, p, *_ in rows], "id int, base array<string>, guess string, typed string, predicted array<string>")
-    out = None
-    for i, *_, k, _, start, n, most in rows:
-        one = df.where(F.col("id") == i)
-        base = F.when(F.col("id") == 3, F.array(F.lit("a"), F.lit("b"))).otherwise(F.col("base"))
-        row = one.select("id", F.array_join(N.arranged(F.col("base"), F.col("guess"), F.col("typed"), k), "|").alias("shown"), F.array_join(N.merged(base, F.col("predicted"), start, n, most), "|").alias("with_predicted"))
-        out = row if out is None else out.union(row)
-    return out
-
-
 @query(f"""WITH {PAIRS}, {RANKED}, te AS (SELECT prev, word FROM seq WHERE prev IS NOT NULL AND kept IS NOT NULL), ty AS (SELECT prev, word, i AS letters, left(word, i) AS roman FROM te, (SELECT unnest([1, 2, 3]) AS i) WHERE i < length(word)),
   tr AS (SELECT DISTINCT roman AS word FROM ty), {sql_key('coarse', 'fol', out='kw')}, {sql_key('coarse', 'tr', out='kt')}, dt AS (SELECT DISTINCT prev, roman FROM ty),
   fit AS (SELECT dt.prev, roman, rf.word, rf.cnt FROM dt JOIN kt ON dt.roman = kt.word JOIN rf ON rf.prev = dt.prev JOIN kw ON kw.word = rf.word WHERE kt.key <> '' AND starts_with(kw.key, kt.key)),

@@ -54,9 +54,12 @@ def key_indexes(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataF
     return {level: tuple(built_once(spark, d, f"key-{level}-{n}", lambda f=f, level=level: f(keyed_words(spark, d), level)) for n, f in made.items()) for level in ("fine", "coarse")}
 
 
+TURNS = 1 << 24
+
+
 def sentences(spark: SparkSession, d: str) -> DataFrame:
-    """sent, pos, word of conversations."""
-    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent"), "role", F.posexplode(ascii_tokens("text")).alias("pos", "surface"))
+    """sent, pos, word of conversations; conversations have fewer than TURNS turns."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * TURNS + F.col("turn")).alias("sent"), "role", F.posexplode(ascii_tokens("text")).alias("pos", "surface"))
     return turns.select("sent", "role", "pos", F.lower("surface").alias("word"))
 
 
@@ -96,8 +99,8 @@ TOK = """tok AS (SELECT doc_id, lang, source, i - 1 AS pos, w[i] AS surface, low
   FROM (SELECT doc_id, lang, source, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents)))"""
 WORDS = f"""{TOK}, words AS (SELECT *, wiki + 3 * subs + 20 * chat AS score FROM (SELECT word, count(*) FILTER (lang = 'en') AS wiki, count(*) FILTER (lang = 'fr') AS subs,
   count(*) FILTER (lang NOT IN ('en', 'fr')) AS chat FROM tok GROUP BY word)), total AS (SELECT (coalesce(sum(score), 0) + 1)::BIGINT AS t FROM words)"""
-SENT = """sent AS (SELECT sent, role, i - 1 AS pos, lower(w[i]) AS word FROM (SELECT sent, role, w, unnest(range(1, len(w) + 1)) AS i
-  FROM (SELECT conv_id * 1000 + turn AS sent, role, regexp_extract_all(text, '[A-Za-z]+') AS w FROM conversations)))"""
+SENT = f"""sent AS (SELECT sent, role, i - 1 AS pos, lower(w[i]) AS word FROM (SELECT sent, role, w, unnest(range(1, len(w) + 1)) AS i
+  FROM (SELECT conv_id * {TURNS} + turn AS sent, role, regexp_extract_all(text, '[A-Za-z]+') AS w FROM conversations)))"""
 ROMANS = f"""att AS (SELECT unnest(list_distinct([word, {', '.join(sql_style(s, 'word') for s in STYLE_EXPRESSIONS)}])) AS roman, word, n, src FROM
   (SELECT word, source, count(*) AS n, 1 << (substr(source, 4, 3)::INT % 3) AS src FROM tok GROUP BY word, source)),
   romans AS (SELECT roman, word, least(sum(n), 2147483647)::BIGINT AS cnt, bit_or(src) AS src FROM att GROUP BY roman, word)"""
