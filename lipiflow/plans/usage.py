@@ -174,8 +174,8 @@ def cleaned_names(spark, d):
 UNITS = BANGLA_UNITS | NUKTA_UNITS | {X.VIRAMA + "য": "y", X.VIRAMA + "ব": "?b"}
 
 
-@query(f"""WITH {SPELLED}, p AS (SELECT word, list_transform(regexp_extract_all(match_key, '[{BANGLA_CONSONANTS}]{X.NUKTA}|{X.VIRAMA}য|{X.VIRAMA}ব|.'), lambda p: coalesce({sql_map(UNITS)}[p], CASE WHEN length(p) = 2 AND p[2] = '{X.NUKTA}' THEN {sql_map(BANGLA_UNITS)}[p[1]] END)) AS l FROM f),
-  q AS (SELECT word, list_filter(list_transform(list_filter(l, lambda u: u IS NOT NULL), lambda u, i: CASE WHEN u <> '?b' THEN u WHEN i = 1 THEN 'b' END), lambda u: u IS NOT NULL) AS l FROM p),
+@query(f"""WITH {SPELLED}, p AS MATERIALIZED (SELECT word, list_transform(regexp_extract_all(match_key, '[{BANGLA_CONSONANTS}]{X.NUKTA}|{X.VIRAMA}য|{X.VIRAMA}ব|.'), lambda p: coalesce({sql_map(UNITS)}[p], CASE WHEN length(p) = 2 AND p[2] = '{X.NUKTA}' THEN {sql_map(BANGLA_UNITS)}[p[1]] END)) AS l FROM f),
+  q AS MATERIALIZED (SELECT word, list_filter(list_transform(list_filter(l, lambda u: u IS NOT NULL), lambda u, i: CASE WHEN u <> '?b' THEN u WHEN i = 1 THEN 'b' END), lambda u: u IS NOT NULL) AS l FROM p),
   a_1 AS (SELECT * FROM q), {sql_finish("coarse", "a")}, b_1 AS (SELECT * FROM q), {sql_finish("fine", "b")} SELECT word, a.key AS coarse, b.key AS fine FROM a JOIN b USING (word)""")
 def bangla_keys(spark, d):
     return spelled(spark, d).select("word", key_from_bangla("t", "coarse").alias("coarse"), key_from_bangla("t", "fine").alias("fine"))

@@ -37,17 +37,6 @@ def acceptable(batch: DataFrame, body: str = "body") -> DataFrame:
     return batch.where((F.octet_length(body) <= BODY_BYTES) & (F.size(lines) > 0) & F.forall(lines, one))
 
 
-def put_chunks(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
-    """Appends the chunks (install, stream, seq, line) not stored yet and returns them: a second delivery stores nothing."""
-    keys = ["install", "stream", "seq"]
-    fresh = batch
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        fresh = batch.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
-    fresh.write.mode("append").parquet(path)
-    return fresh
-
-
 def export_lines(rows: DataFrame, path: str) -> None:
     """One JSON object a line with _install and _chunk, a file for each install."""
     rows.select(F.to_json(F.struct("*")).alias("value"), "install").write.partitionBy("install").mode("overwrite").text(path)

@@ -1,22 +1,16 @@
-"""Structured Streaming: counters, decayed state, idempotent receipt, request dispatch."""
+"""Structured Streaming: counters and request dispatch."""
 
 from __future__ import annotations
 
-import math
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.scores import HALF_LIFE_DAYS
 from ..operators.telemetry import hour_bucket
 from ..sources.store import shared_dir
-from ..sources.writers import put_chunks
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
@@ -40,7 +34,7 @@ def hourly(parts: DataFrame) -> DataFrame:
 def stream_counters(commits: DataFrame) -> DataFrame:
     """Hourly counters of a finished stream: partial sums appended batch by batch and summed on reading."""
     spark = commits.sparkSession
-    out = _shared(spark)
+    out = shared_folder(spark)
 
     def add(batch: DataFrame, batch_id: int) -> None:
         # a batch that is run again overwrites its own part
@@ -50,45 +44,6 @@ def stream_counters(commits: DataFrame) -> DataFrame:
     return hourly(spark.read.parquet(f"{out}/parts"))
 
 
-def decayed_state(commits: DataFrame) -> DataFrame:
-    """A stream of (install, roman, count, last) after each micro-batch, from commits (install, roman, t): keyed state with decay."""
-    rate = math.log(2) / (HALF_LIFE_DAYS * 86400)
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, last = state.get if state.exists else (0.0, None)
-        for b in batches:
-            for t in b["t"]:
-                if last is None or t >= last:
-                    count = 1.0 + (count * math.exp(-rate * (t - last)) if last is not None else 0.0)
-                    last = float(t)
-                else:  # a late commit has decayed already
-                    count += math.exp(-rate * (last - t))
-        state.update((count, last))
-        yield pd.DataFrame({"install": [key[0]], "roman": [key[1]], "count": [count], "last": [last]})
-
-    return commits.groupBy("install", "roman").applyInPandasWithState(update, "install long, roman string, count double, last double", "count double, last double", "update", GroupStateTimeout.NoTimeout)
-
-
-def stream_decayed(commits: DataFrame) -> DataFrame:
-    """The latest state of each key of a finished stream."""
-    spark = commits.sparkSession
-    out = _shared(spark)
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("n", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/states/batch={batch_id}")
-
-    decayed_state(commits).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()
-    states = spark.read.parquet(f"{out}/states")
-    return states.groupBy("install", "roman").agg(F.max_by("count", "n").alias("count"), F.max("last").alias("last"))
-
-
-def receive(stream: DataFrame, store: str, checkpoint: str) -> None:
-    """Stores the chunks of a stream; those delivered before are dropped."""
-    spark = stream.sparkSession
-    once = lambda batch: batch.dropDuplicates(["install", "stream", "seq"])
-    stream.writeStream.foreachBatch(lambda b, _: put_chunks(spark, once(b), store) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
 def latest_requests(requests: DataFrame) -> DataFrame:
     """The newest request of each session; older ones are superseded."""
     return requests.groupBy("session").agg(F.max_by(F.struct("*"), "ts").alias("_r")).select("_r.*")

