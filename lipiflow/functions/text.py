@@ -6,6 +6,7 @@ Lengths and positions are in code points throughout.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 import pyspark.sql.types as T
@@ -114,15 +115,38 @@ def is_safe_component(c) -> Column:
 HEADER_PATTERNS = {"install": "^[0-9a-f]{8,32}$", "stream": "^(metrics|events)$", "seq": "^[0-9]{1,9}$"}
 
 
+#: Roots from which on they are looked for in one pass over a text instead of one after another.
+MANY_ROOTS = 32
+
+
 def is_blocked(c, exact: list[str], roots: list[str]) -> Column:
-    """In the list of exact words, or with one of the roots inside."""
+    """In the list of exact words, or with one of the roots inside; null of a null text."""
     x = col(c)
-    out = x.isin(*exact) if exact else F.lit(False)
+    out = x.isin(*exact) if exact else F.when(x.isNotNull(), F.lit(False))
+    if len(roots) >= MANY_ROOTS:
+        return out | holds_any(roots)(x)
     for r in roots:
         out = out | x.contains(r)
     return out
 
 
+def holds_any(roots: list[str]):
+    """A function of a text column: whether one of the roots is inside, by one automaton of all of them that a task builds once."""
+
+    @F.pandas_udf("boolean")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for r in roots:
+            automaton.add_word(r, True)
+        automaton.make_automaton()
+        for b in batches:
+            yield pd.Series([None if t is None else "" in roots or next(automaton.iter(t), None) is not None for t in b], dtype="boolean")
+
+    return found
+
+
 # Fixed values, in order: Bengali spellings of the names of the Latin letters; the first that fits is taken.
 LETTER_NAMES = [
     "ডব্লিউ", "এইচ", "কিউ", "এক্স", "ওয়াই", "জেড", "এফ", "এম", "এন", "এল", "এস", "আর", "বি", "সি",

@@ -17,14 +17,21 @@ def dot(a, b) -> F.Column:
 
 
 def log_softmax(scored: DataFrame, group: list[str], score: str = "score") -> DataFrame:
-    """logp within each group, by the largest score and the sum of exponentials."""
-    w = Window.partitionBy(*group)
-    shifted = scored.withColumn("_z", F.col(score) - F.max(score).over(w))
-    return shifted.withColumn("logp", F.col("_z") - F.log(F.sum(F.exp("_z")).over(w))).drop("_z")
+    """logp within each group, by the largest score and the sum of exponentials.
+
+    Both are made by aggregates that combine before they are exchanged; a join brings them back, which AQE can split for a group
+    with very many rows. Groups with a null name have none.
+    """
+    most = scored.groupBy(*group).agg(F.max(score).alias("_most"))
+    shifted = scored.join(most, group).withColumn("_z", F.col(score) - F.col("_most")).drop("_most")
+    total = shifted.groupBy(*group).agg(F.log(F.sum(F.exp("_z"))).alias("_log"))
+    return shifted.join(total, group).withColumn("logp", F.col("_z") - F.col("_log")).drop("_z", "_log")
 
 
 #: Vectors of a block of queries and of a block of items: a pair of blocks is one matrix product in a task.
 QUERY_BLOCK, ITEM_BLOCK = 1024, 8192
+#: Scores are rounded: items so much below the last place may still be its equals.
+ROUNDING = 1e-6
 
 
 def _blocks(rows: DataFrame, name: str, vector: str, size: int) -> DataFrame:
@@ -59,6 +66,83 @@ def dense_top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Bytes of a block of vectors in eight bits.
+SHORT_BLOCK = 1 << 19
+_SHORT = "dim int, ids array<{t}>, values binary, scale array<double>, norm array<double>, short_norm array<double>"
+
+
+def short_blocks(rows: DataFrame, name: str, vector: str, block_bytes: int = SHORT_BLOCK) -> DataFrame:
+    """dim, ids, values, scale, norm, short_norm: a row for each block of vectors of one length, each component in eight bits.
+
+    A component is its vector's scale times a whole number from -127 to 127, off by half a scale at most; norm and
+    short_norm are the sums of the absolute values of the vector as it was and as it is in eight bits. Blocks are
+    cut where the vectors are, by bytes: nothing is exchanged.
+    """
+    kind = rows.schema[name].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _SHORT.split(", ")]
+        for b in batches:
+            size = b.column(1).value_lengths().to_numpy()
+            for dim in np.unique(size):
+                some = b.filter(pa.array(size == dim))
+                step = max(block_bytes // max(int(dim), 1), 1)
+                for at in range(0, some.num_rows, step):
+                    part = some.slice(at, step)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, dim)
+                    scale = np.abs(x).max(axis=1, initial=0) / 127
+                    q = np.rint(np.divide(x, scale[:, None], where=scale[:, None] > 0, out=np.zeros_like(x))).astype(np.int8)
+                    short = np.abs(q.astype(float)).sum(axis=1) * scale
+                    lists = [pa.array([v], pa.list_(pa.float64())) for v in (scale, np.abs(x).sum(axis=1), short)]
+                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(0)]))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), ids, pa.array([q.tobytes()], pa.binary()), *lists], names=names)
+
+    good = rows.where(F.col(name).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    return good.select(name, F.transform(vector, lambda x: x.cast("double")).alias(vector)).mapInArrow(run, _SHORT.format(t=kind))
+
+
+def _bounds(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all dot products of two blocks, from their short forms."""
+    near = (left["values"] @ right["values"].T) * np.outer(left["scale"], right["scale"])
+    # a product is off by what the one vector's rounding makes of the other and the other way round
+    off = np.outer(left["scale"] / 2, right["norm"]) + np.outer(left["short_norm"], right["scale"] / 2)
+    off = off * (1 + 1e-9) + 1e-12
+    return near - off, near + off
+
+
+def short_top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """As dense_top_k, with what is exchanged in eight bits: bounds leave few products to be worked out exactly.
+
+    Blocks of queries meet blocks of items; of a query, only items whose upper bound reaches its kth lower bound
+    leave a task, and after all blocks only those that reach the kth lower bound of all. The exact products of these decide,
+    rounded to six places, of equals the least item. Rows with a null id, vector or component are left out;
+    vectors of different lengths do not meet.
+    """
+    left, right = short_blocks(queries, "q", "qv"), short_blocks(items, "item", "v")
+    apart = [c for c in right.columns if c != "dim"]
+    pairs = left.join(right.select("dim", *(F.col(c).alias(f"i_{c}") for c in apart)), "dim")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                dim = b.column("dim")[r].as_py()
+                side = lambda p: {c: b.column(p + c)[r].values.to_numpy() for c in ("scale", "norm", "short_norm")} | {"values": np.frombuffer(b.column(f"{p}values")[r].as_py(), np.int8).reshape(-1, dim).astype(float)}  # noqa: B023, E731
+                low, high = _bounds(side(""), side("i_"))
+                n = min(k, low.shape[1])
+                least = np.partition(low, -n, axis=1)[:, -n]
+                a, c = np.nonzero(high >= (least - ROUNDING)[:, None])
+                yield pa.RecordBatch.from_arrays([b.column("ids")[r].values.take(pa.array(a)), b.column("i_ids")[r].values.take(pa.array(c)), pa.array(low[a, c]), pa.array(high[a, c])], names=["q", "item", "low", "high"])
+
+    types = [f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((queries, "q"), (items, "item"))]
+    found = pairs.mapInArrow(run, ", ".join([*types, "low double, high double"]))
+    kth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low")))
+    bar = found.withColumn("_r", kth).withColumn("_bar", F.min(F.when(F.col("_r") <= k, F.col("low"))).over(Window.partitionBy("q")))
+    likely = bar.where(F.col("high") >= F.col("_bar") - ROUNDING).select("q", "item")
+    exact = likely.join(queries.select("q", "qv"), "q").join(items.select("item", "v"), "item").select("q", "item", F.round(dot("qv", "v"), 6).alias("score"))
+    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "item")))
+    return ranked.where(F.col("rank") <= k)
+
+
 def score_with(candidates: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Series]], columns: list[str]) -> DataFrame:
     """Adds xlit_logp by a model that every task loads once: load() returns a function of a batch."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import metrics as M
 from ..functions.scores import TUNED_WEIGHTS
@@ -215,12 +215,39 @@ def dense_top_k(spark, d):
     e = table(spark, d, "embeddings")
     qs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
     found = S.dense_top_k(qs, e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), 11).where("q <> item")
-    from pyspark.sql import Window
+    order = Window.partitionBy("q").orderBy("rank")
+    return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 10").select("q", "item", F.round("score", 4).alias("score"), "rank")
+
 
+@query(ORACLE_SQL["dense_top_k"])
+def short_top_k(spark, d):
+    """dense_top_k with vectors in eight bits and exact products of what bounds cannot rule out."""
+    e = table(spark, d, "embeddings")
+    qs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    found = S.short_top_k(qs, e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), 11).where("q <> item")
     order = Window.partitionBy("q").orderBy("rank")
     return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 10").select("q", "item", F.round("score", 4).alias("score"), "rank")
 
 
+@query(f"WITH {VALUES}, a AS (SELECT event_type, round(avg(value), 6) AS mean FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT v.event_type, mean, " + ", ".join(f"round(v[greatest(1, least(n, round_even({p} / 100.0 * n + 0.5, 0)::BIGINT))], 6) AS p{p}" for p in (50, 95, 99)) + " FROM v JOIN a ON v.event_type = a.event_type")
+def latency_summary(spark, d):
+    e = table(spark, d, "events")
+    mean = e.where("value IS NOT NULL").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return mean.join(_percentiles(spark, d, M.index_eval, (50, 95, 99)), "event_type")
+
+
+@query()
+def tuned_weights(spark, d):
+    """Weights by coordinate ascent to its end: a job for each grid, over the stored candidates; the score is the share of right first choices."""
+    c = _candidates(spark, d).join(queries(spark, d).select("q", "gold"), "q")
+
+    def shares(settings):
+        return [r.hits / max(r.n, 1) for r in E.weight_hits(c, settings).orderBy("setting").collect()]
+
+    best, share = E.coordinate_ascent(shares, TUNED_WEIGHTS, {"unigram": [0.25, 0.5, 1.0], "rom_exact": [0.5, 1.0, 2.0, 3.0], "gap": [-0.5, -0.3, -0.1]}, rounds=2)
+    return spark.createDataFrame([(n, float(w), round(share, 6)) for n, w in sorted(best.items())], "name string, weight double, share double")
+
+
 @query(f"""WITH e AS ({EMB}), s AS (SELECT label, vec_id, list_sum(v) AS score FROM e), m AS (SELECT *, max(score) OVER (PARTITION BY label) AS m FROM s)
   SELECT label, vec_id, round(score - m - ln(sum(exp(score - m)) OVER (PARTITION BY label)), 5) AS logp FROM m""")
 def softmax_scores(spark, d):

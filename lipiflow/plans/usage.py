@@ -194,10 +194,34 @@ BUNDLE = {
 
 @query()
 def rule_transliteration(spark, d):
-    """Every distinct Latin word of conversations under a small bundle; tests hold the engine against hand-made cases."""
-    from .standins import sentences
+    """Every distinct Latin word of documents under a small bundle; tests hold the engine against a plain scan of the list."""
+    from .standins import words
 
-    return rules.transliterated(sentences(spark, d).select("word").distinct(), "word", BUNDLE)
+    return rules.transliterated(words(spark, d).select("word"), "word", BUNDLE)
+
+
+#: Entries of a list that travels with the tasks, at most.
+BLOCKED_MOST = 100_000
+ROOTS_SQL = "SELECT DISTINCT left(word, 4) AS root FROM b WHERE length(word) >= 4"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents), b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM benchmark),
+  r AS ({ROOTS_SQL}) SELECT word, word IN (SELECT word FROM b WHERE length(word) < 4) OR EXISTS (SELECT 1 FROM r WHERE contains(word, root)) AS blocked FROM w""")
+def blocked_words(spark, d):
+    """Every distinct word of documents against a list made of the benchmark's words: short ones exact, the beginnings of others as roots."""
+    found = lambda name: table(spark, d, name).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).select(F.lower("word").alias("word")).distinct()
+    listed = found("benchmark").select(F.substring("word", 1, 4).alias("word")).distinct().limit(BLOCKED_MOST).collect()
+    exact, roots = [r.word for r in listed if len(r.word) < 4], [r.word for r in listed if len(r.word) == 4]
+    return found("documents").select("word", X.is_blocked("word", exact, roots).alias("blocked"))
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_concat([1], list_transform(string_split(array_to_string(w[-3:], ' '), ''), lambda c: CASE WHEN ascii(c) BETWEEN 97 AND 122 THEN ascii(c) - 87 ELSE 3 END), [4], list_transform(string_split(role, ''), lambda c: CASE WHEN ascii(c) BETWEEN 97 AND 122 THEN ascii(c) - 87 ELSE 3 END), [2]), ' ') AS ids
+  FROM (SELECT conv_id, turn, role, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) AS w FROM conversations) WHERE len(w) > 0""")
+def source_in_context(spark, d):
+    """Each turn's last words as the words before, its role as what is typed."""
+    vocabulary = {"__mode__": 1, "__sep__": 4} | {chr(c): c - 87 for c in range(97, 123)}
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lower).alias("w")).where(F.size("w") > 0)
+    return t.select("conv_id", "turn", F.array_join(rules.encode_source_in_context(F.col("role"), F.col("w"), "__mode__", "__sep__", vocabulary, 3, 2), " ").alias("ids"))
 
 
 @query("SELECT text, array_to_string(list_concat([7], list_transform(string_split(text, ''), lambda c: CASE WHEN ascii(c) BETWEEN 97 AND 122 THEN ascii(c) - 87 ELSE 3 END), [2]), ' ') AS ids FROM (SELECT DISTINCT lower(p_type) AS text FROM part) WHERE text <> ''")

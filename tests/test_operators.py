@@ -127,7 +127,111 @@ def test_rules_engine():
     assert r.transliterate("kazx") == "KA$zx"
     assert r.transliterate("kaz") == "KAz"  # at the very end an exact suffix is not seen
     assert r.transliterate("KKa") == "OUT^A"
-    assert r.transliterate("éa") == "éA"
+    assert r.transliterate("éa") == "é^A"  # neither vowel nor consonant
+
+
+def scan(bundle, text):
+    """The bundle applied by looking at every pattern of the list at every letter."""
+    vowels, consonants = set(bundle["vowel"]), set(bundle["consonant"])
+    kind = lambda i: "punctuation" if not 0 <= i < len(text) else "vowel" if text[i] in vowels else "consonant" if text[i] in consonants else "punctuation"
+
+    def holds(m, a, b):
+        wanted = m["scope"].lstrip("!")
+        if wanted == "exact":
+            start, end = (a - len(m["value"]), a) if m["type"] == "prefix" else (b, b + len(m["value"]))
+            found = start >= 0 and end < len(text) and text[start:end] == m["value"]
+        else:
+            found = kind(a - 1 if m["type"] == "prefix" else b) == wanted
+        return found != m["scope"].startswith("!")
+
+    out, i = "", 0
+    while i < len(text):
+        plain = next((p for p in bundle["patterns"] if "rules" not in p and text.startswith(p["find"], i)), None)
+        ruled = next((p for p in bundle["patterns"] if "rules" in p and text.startswith(p["find"], i)), None)
+        p = plain if plain and plain.get("replace") is not None else ruled
+        if ord(text[i]) >= 128 or not p:
+            out, i = out + text[i], i + 1
+            continue
+        end = i + len(p["find"])
+        rule = next((r for r in p.get("rules", []) if all(holds(m, i, end) for m in r["matches"])), None)
+        out, i = out + ((rule or {}).get("replace") or p.get("replace") or ""), end
+    return out
+
+
+def test_rules_are_a_scan_of_the_list():
+    rng = random.Random(12)
+    word = lambda most: "".join(rng.choices("abck", k=rng.randint(1, most)))
+    for _ in range(30):
+        patterns = []
+        for i in range(40):
+            p = {"find": word(4)} | ({"replace": f"<{i}>"} if rng.random() < 0.8 else {})
+            if rng.random() < 0.5:
+                match = lambda: {"type": rng.choice(["prefix", "suffix"]), "scope": rng.choice(["", "!"]) + rng.choice(["vowel", "consonant", "punctuation", "exact"]), "value": word(2)}
+                p["rules"] = [{"replace": f"[{i}{j}]", "matches": [match() for _ in range(rng.randint(0, 2))]} for j in range(rng.randint(0, 2))]
+            patterns.append(p)
+        bundle = {"patterns": patterns, "vowel": "a", "consonant": "bc"}
+        r = rules.Rules(bundle)
+        for _ in range(40):
+            text = "".join(rng.choices("abckéx -", k=rng.randint(0, 14)))
+            assert r.transliterate(text) == scan(bundle, text)
+
+
+def test_exceptions_are_applied_one_after_another():
+    r = rules.Rules({"patterns": [{"find": "a", "replace": "A"}], "exceptions": [["X", "aa"], ["Y", "aXb"], ["Z", "b"]]})
+    assert r.transliterate("aaa b") == "XA Z" and r.transliterate("AAB") == "XZ" and r.transliterate("a") == "A"
+
+
+def test_short_vectors_give_the_exact_best(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = [[float(x) for x in v] for v in rng.standard_normal((300, 24))] + [[0.0] * 24, [1e-3] * 24] + [[float(x) for x in rng.standard_normal(24)]] * 5
+    items = spark.createDataFrame([*enumerate(vectors), (900, None), (901, [1.0, None]), (902, [1.0, 2.0])], "item long, v array<double>").repartition(4)
+    asked = spark.createDataFrame([(i, vectors[i]) for i in range(0, 307, 20)] + [(99, None)], "q long, qv array<double>")
+    got = {(r.q, r["rank"]): (r.item, r.score) for r in scorer.short_top_k(asked, items, 7).collect()}
+    assert got == {(r.q, r["rank"]): (r.item, r.score) for r in scorer.dense_top_k(asked, items.where("item < 900"), 7).collect()} and len(got) == 7 * 16
+    assert scorer.short_top_k(asked.limit(0), items, 3).collect() == []
+
+
+def test_log_softmax(spark):
+    rows = [("a", 1.0), ("a", 3.0), ("b", -5.0), ("b", -5.0), ("b", 700.0)]
+    got = scorer.log_softmax(spark.createDataFrame(rows, "g string, score double"), ["g"])
+    for g in "ab":
+        s = [x for k, x in rows if k == g]
+        total = max(s) + math.log(sum(math.exp(x - max(s)) for x in s))
+        assert sorted(r.logp for r in got.where(F.col("g") == g).collect()) == pytest.approx(sorted(x - total for x in s))
+
+
+def test_word_errors_of_many_words(spark):
+    from lipiflow.functions import metrics as M
+
+    rng = random.Random(7)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    pairs = [([rng.choice("abcd") for _ in range(rng.randint(0, 90))], [rng.choice("abcd") for _ in range(rng.randint(0, 90))]) for _ in range(60)]
+    many = [f"w{i}" for i in range(40_000)]  # more than one character can name
+    df = spark.createDataFrame([*pairs, (many, many[:100] + many[101:] + ["new"]), (None, ["a"])], "h array<string>, r array<string>")
+    got = [r.e for r in df.select(M.word_errors("h", "r").alias("e")).collect()]
+    assert got == [plain(h, r) for h, r in pairs] + [2, None]
+    one = spark.createDataFrame([(["ক", "a", "খ"],)], "w array<string>").select(M.bengali_words("w").alias("w")).first()
+    assert one.w == ["ক", "খ"]
+
+
+def test_many_roots(spark):
+    from lipiflow.functions.text import is_blocked
+
+    rng = random.Random(8)
+    roots = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 6))) for _ in range(10_000)]
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(0, 9))) for _ in range(400)] + [None, "exact"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", is_blocked("w", ["exact"], roots).alias("b")).collect()
+    assert [r.b for r in got] == [None if w is None else w == "exact" or any(x in w for x in roots) for w in words]
 
 
 def test_scorer_plug_in(spark):
