@@ -64,3 +64,21 @@ def best_within(asked: DataFrame, pairs: DataFrame, totals: DataFrame, words: Da
     own = F.when(F.col("known"), general * F.col("p") + (1 - general) * F.col("told")).otherwise(F.col("p"))
     ranked = best.withColumn("own", F.round(own, 12)).withColumn("rank", F.row_number().over(Window.partitionBy("prev", "typed").orderBy(F.desc("own"), "word")))
     return ranked.where(F.col("rank") <= k).select("prev", "typed", "word", (F.col("own") / F.col("mass")).alias("share"), "rank")
+
+
+def predictor_tally(tested: DataFrame, guesses: DataFrame, bar: float = 0.5) -> DataFrame:
+    """letters, spelled, asked, first_right, either_right, shown, shown_right: guesses held against what was written.
+
+    tested: prev, typed, letters, word, spelled, n (how often); guesses: prev, typed, word, share, rank, of which the two best
+    count. A guess is shown when its share is at least the bar. spelled 'yes' counts correctly spelt words only, 'all' every word.
+    """
+    two = guesses.where("rank <= 2").groupBy("prev", "typed").agg(
+        F.max(F.when(F.col("rank") == 1, F.col("word"))).alias("one"), F.max(F.when(F.col("rank") == 2, F.col("word"))).alias("two"), F.max(F.when(F.col("rank") == 1, F.round("share", 9))).alias("share")
+    )
+    rows = tested.join(two, ["prev", "typed"], "left").withColumn("spelled", F.explode(F.when(F.col("spelled"), F.array(F.lit("all"), F.lit("yes"))).otherwise(F.array(F.lit("all")))))
+    right = lambda c: F.coalesce(F.col(c) == F.col("word"), F.lit(False))
+    shown = F.coalesce(F.col("share") >= bar, F.lit(False))
+    total = lambda when, name: F.sum(F.when(when, F.col("n")).otherwise(0)).cast("bigint").alias(name)
+    return rows.groupBy("letters", "spelled").agg(
+        F.sum("n").cast("bigint").alias("asked"), total(right("one"), "first_right"), total(right("one") | right("two"), "either_right"), total(shown, "shown"), total(shown & right("one"), "shown_right")
+    )

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.keys import key_from_roman
+from ..functions.text import ascii_tokens
 from ..operators import beam as B, lexicon as L, liststudy as S, nextword as N, retrieve as R, within as W
 from ..sources.store import built_once
 from .lexicon import CAND, PAIRS, SCORE_SQL, _W, _candidates, pairs
 from .prediction import RANKED
-from .standins import QUERY_SQL, WORDS, completions, key_indexes, keyed_words, queries, romans, sentences, sql_key, with_keys
+from .standins import QUERY_SQL, WORDS, completions, key_indexes, keyed_words, queries, romans, sentences, sql_key, table, with_keys
 
 QUERIES, ORACLE_SQL = {}, {}
 LETTERS = 4
@@ -99,16 +100,25 @@ def merge_rule_keystrokes(spark, d):
     return S.keystrokes(_placed(spark, d))
 
 
-@query(f"""WITH {WORDS}, {PAIRS}, {sql_key('coarse', 'words', out='kc')}, tq AS (SELECT DISTINCT left(word, 2) AS word FROM seq WHERE prev IS NOT NULL AND kept IS NOT NULL), {sql_key('coarse', 'tq', out='kt')},
-  ow AS (SELECT words.word, key, score / (SELECT sum(score) FROM words WHERE {ONE_LETTER}) AS p FROM words JOIN kc ON kc.word = words.word WHERE length(words.word) > 1),
-  ask AS (SELECT DISTINCT prev, key AS typed FROM seq JOIN kt ON kt.word = left(seq.word, 2) WHERE prev IS NOT NULL AND kept IS NOT NULL UNION SELECT DISTINCT prev, '' FROM pairs),
-  gm AS (SELECT typed, sum(p) AS general FROM (SELECT DISTINCT typed FROM ask) JOIN ow ON starts_with(key, typed) GROUP BY typed),
-  tp AS (SELECT typed, word, p FROM (SELECT typed, word, p, row_number() OVER (PARTITION BY typed ORDER BY p DESC, word) AS r FROM (SELECT DISTINCT typed FROM ask) JOIN ow ON starts_with(key, typed)) WHERE r <= 3),
+def within_sql(asked: str, k: int) -> str:
+    """CTEs from asked (prev, typed) to bw (prev, typed, word, share, rank)."""
+    g = f"{W.GENERAL}::DOUBLE"
+    return f"""ow AS (SELECT words.word, key, score / (SELECT sum(score) FROM words WHERE {ONE_LETTER}) AS p FROM words JOIN kc ON kc.word = words.word WHERE length(words.word) > 1),
+  ask AS ({asked}), gm AS (SELECT typed, sum(p) AS general FROM (SELECT DISTINCT typed FROM ask) JOIN ow ON starts_with(key, typed) GROUP BY typed),
+  tp AS (SELECT typed, word, p FROM (SELECT typed, word, p, row_number() OVER (PARTITION BY typed ORDER BY p DESC, word) AS r FROM (SELECT DISTINCT typed FROM ask) JOIN ow ON starts_with(key, typed)) WHERE r <= {k}),
   my AS (SELECT ask.prev, typed, ow.word, p, cnt / total AS told FROM ask JOIN pairs ON pairs.prev = ask.prev JOIN totals ON totals.prev = ask.prev JOIN ow ON ow.word = pairs.word AND starts_with(key, typed)),
   tm AS (SELECT prev, typed, sum(told) AS t FROM my GROUP BY prev, typed),
   b AS (SELECT prev, typed, word, max(p) AS p, max(told) AS told FROM (SELECT * FROM my UNION ALL SELECT prev, typed, word, p, 0 FROM ask JOIN tp USING (typed)) GROUP BY prev, typed, word),
-  o AS (SELECT b.prev, b.typed, word, round({W.GENERAL}::DOUBLE * p + (1 - {W.GENERAL}::DOUBLE) * told, 12) AS own, {W.GENERAL}::DOUBLE * general + (1 - {W.GENERAL}::DOUBLE) * coalesce(t, 0) AS mass FROM b JOIN gm USING (typed) LEFT JOIN tm ON tm.prev = b.prev AND tm.typed = b.typed)
-  SELECT prev, typed, word, round(own / mass, 6) AS share, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prev, typed ORDER BY own DESC, word) AS rank FROM o) WHERE rank <= 3""")
+  o AS (SELECT b.prev, b.typed, word, round({g} * p + (1 - {g}) * told, 12) AS own, {g} * general + (1 - {g}) * coalesce(t, 0) AS mass FROM b JOIN gm USING (typed) LEFT JOIN tm ON tm.prev = b.prev AND tm.typed = b.typed),
+  bw AS (SELECT prev, typed, word, own / mass AS share, rank FROM (SELECT *, row_number() OVER (PARTITION BY prev, typed ORDER BY own DESC, word) AS rank FROM o) WHERE rank <= {k})"""
+
+
+SEEN = "FROM seq WHERE prev IS NOT NULL AND kept IS NOT NULL"
+ASKED = "SELECT DISTINCT prev, key AS typed FROM seq JOIN kt ON kt.word = left(seq.word, 2) WHERE prev IS NOT NULL AND kept IS NOT NULL UNION SELECT DISTINCT prev, '' FROM pairs"
+
+
+@query(f"""WITH {WORDS}, {PAIRS}, {sql_key('coarse', 'words', out='kc')}, tq AS (SELECT DISTINCT left(word, 2) AS word {SEEN}), {sql_key('coarse', 'tq', out='kt')}, {within_sql(ASKED, 3)}
+  SELECT prev, typed, word, round(share, 6) AS share, rank::BIGINT AS rank FROM bw""")
 def best_within(spark, d):
     seen, p = _seen(spark, d), pairs(spark, d)
     starts = seen.select(F.substring("word", 1, 2).alias("roman")).distinct().withColumn("typed", key_from_roman("roman", "coarse"))
@@ -118,6 +128,29 @@ def best_within(spark, d):
     return W.best_within(asked, p, L.pair_totals(p), offered, 3).select("prev", "typed", "word", F.round("share", 6).alias("share"), F.col("rank").cast("bigint").alias("rank"))
 
 
+TALLY = f"""te AS (SELECT prev, word, i AS letters, left(word, i) AS start, count(*) AS n FROM seq, (SELECT unnest(range(0, 4)) AS i) WHERE prev IS NOT NULL AND kept IS NOT NULL AND i < length(word) GROUP BY prev, word, i),
+  tq AS (SELECT DISTINCT start AS word FROM te WHERE start <> ''), {sql_key('coarse', 'tq', out='kt')}, ty AS (SELECT te.prev, te.word, letters, n, coalesce(key, '') AS typed FROM te LEFT JOIN kt ON kt.word = te.start)"""
+
+
+@query(f"""WITH {WORDS}, {PAIRS}, {sql_key('coarse', 'words', out='kc')}, {TALLY}, {within_sql('SELECT DISTINCT prev, typed FROM ty', 2)},
+  sp AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM benchmark),
+  x AS (SELECT ty.*, sp.word IS NOT NULL AS spelt, coalesce(one.word = ty.word, false) AS first_one, coalesce(two.word = ty.word, false) AS second_one, coalesce(round(one.share, 9) >= 0.5, false) AS seen
+    FROM ty LEFT JOIN sp ON sp.word = ty.word LEFT JOIN (SELECT * FROM bw WHERE rank = 1) one ON one.prev = ty.prev AND one.typed = ty.typed LEFT JOIN (SELECT * FROM bw WHERE rank = 2) two ON two.prev = ty.prev AND two.typed = ty.typed),
+  y AS (SELECT *, 'all' AS spelled FROM x UNION ALL SELECT *, 'yes' FROM x WHERE spelt)
+  SELECT letters::BIGINT AS letters, spelled, sum(n)::BIGINT AS asked, coalesce(sum(n) FILTER (first_one), 0)::BIGINT AS first_right, coalesce(sum(n) FILTER (first_one OR second_one), 0)::BIGINT AS either_right,
+  coalesce(sum(n) FILTER (seen), 0)::BIGINT AS shown, coalesce(sum(n) FILTER (seen AND first_one), 0)::BIGINT AS shown_right FROM y GROUP BY letters, spelled""")
+def predictor_tally(spark, d):
+    p = pairs(spark, d)
+    words = _seen(spark, d).groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n"))
+    rows = words.select("prev", "word", "n", F.explode(F.sequence(F.lit(0), F.least(F.lit(3), F.length("word") - 1))).alias("letters")).withColumn("start", F.substring(F.col("word"), F.lit(1), F.col("letters")))
+    keys = rows.select("start").distinct().withColumn("typed", key_from_roman("start", "coarse"))
+    spelled = table(spark, d, "benchmark").select(F.explode(ascii_tokens("text")).alias("w")).select(F.lower("w").alias("word"), F.lit(True).alias("spelled")).distinct()
+    tested = rows.join(keys, "start").join(spelled, "word", "left").withColumn("spelled", F.coalesce("spelled", F.lit(False)))
+    offered = W.offered_words(keyed_words(spark, d).select("word", F.col("coarse").alias("key"), "score"), F.expr(ONE_LETTER))
+    guesses = W.best_within(tested.select("prev", "typed"), p, L.pair_totals(p), offered, 2)
+    return W.predictor_tally(tested, guesses).withColumn("letters", F.col("letters").cast("bigint"))
+
+
 @query()
 def beam_decoded(spark, d):
     """Every query's spelling decoded by a model of letters that is counted from all of them: a search, which SQL has not."""

@@ -14,6 +14,15 @@ METRICS_CORE = ("words", "top1_taken", "retyped", "next_shown", "next_taken", "p
 TUNE_CACHE = "set string, roman string, golds array<string>, weight double, cands array<struct<word string, uni double, rom_exact int, rom_prefix int, key_fine boolean, key_coarse boolean, key_fine_prefix boolean, key_coarse_prefix boolean, gap int, xlit_rank int, xlit_logp double, avro boolean, in_lexicon boolean, bigram double, spelled boolean>>"
 
 
+def features(spark: SparkSession, path: str) -> DataFrame:
+    """The tuner's cache: q, set, roman, golds, weight and a candidate's word and features, a row for each candidate.
+
+    q is a hash of what makes an item. An item without candidates has no rows here; its absence counts against no weights.
+    """
+    rows = spark.read.schema(TUNE_CACHE).json(path).withColumn("q", F.xxhash64("set", "roman", F.array_join("golds", "|")))
+    return rows.select("q", "set", "roman", "golds", "weight", F.inline("cands"))
+
+
 def lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """line of a plain or gzip text file; a gzip file is one task's until it is dealt out."""
     df = spark.read.text(path).withColumnRenamed("value", "line")

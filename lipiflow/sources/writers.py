@@ -37,9 +37,24 @@ def acceptable(batch: DataFrame, body: str = "body") -> DataFrame:
     return batch.where((F.octet_length(body) <= BODY_BYTES) & (F.size(lines) > 0) & F.forall(lines, one))
 
 
+def spaced_json(df: DataFrame):
+    """A row as a JSON object with a space after each colon and comma between its columns, as the clients write their lines; nulls are left out."""
+    value = lambda c: F.regexp_replace(F.to_json(F.array(F.col(f"`{c}`"))), r"^\[|\]$", "")
+    one = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ": "), value(c)))
+    return F.concat(F.lit("{"), F.concat_ws(", ", *map(one, df.columns)), F.lit("}"))
+
+
 def export_lines(rows: DataFrame, path: str) -> None:
     """One JSON object a line with _install and _chunk, a file for each install."""
-    rows.select(F.to_json(F.struct("*")).alias("value"), "install").write.partitionBy("install").mode("overwrite").text(path)
+    rows.select(spaced_json(rows).alias("value"), "install").write.partitionBy("install").mode("overwrite").text(path)
+
+
+def save_features(candidates: DataFrame, items: DataFrame, path: str) -> None:
+    """The tuner's cache: a JSON line for each item (q, set, roman, golds, weight) with its candidates' features (q, word, ..) in order of the word."""
+    features = [c for c in candidates.columns if c != "q"]
+    entry = F.struct("word", *(c for c in features if c != "word"))
+    lists = candidates.groupBy("q").agg(F.sort_array(F.collect_list(entry)).alias("cands"))
+    items.join(lists, "q", "left").select("set", "roman", "golds", "weight", F.coalesce("cands", F.array()).alias("cands")).write.mode("overwrite").json(path)
 
 
 def purge(spark: SparkSession, path: str) -> bool:

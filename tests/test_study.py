@@ -179,3 +179,31 @@ def test_tables_are_built_again_when_a_table_changes(spark, tmp_path):
     spark.createDataFrame([("gamma",)], "w string").write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
     assert words() == ["gamma"]
     assert os.path.isdir(shared_dir(spark))
+
+
+def test_the_feature_cache_is_written_and_read_back(spark, tmp_path):
+    from lipiflow.sources import readers, writers
+
+    fields = "q long, word string, uni double, rom_exact int, rom_prefix int, key_fine boolean, key_coarse boolean, key_fine_prefix boolean, key_coarse_prefix boolean, gap int, xlit_rank int, xlit_logp double, avro boolean, in_lexicon boolean, bigram double, spelled boolean"
+    rows = [(1, w, -3.5, 2, 0, True, False, False, None, 1, None, None, False, True, 0.25, False) for w in ("b", "a")]
+    candidates = spark.createDataFrame(rows, fields)
+    items = spark.createDataFrame([(1, "s", "ka", ["a", "x"], 2.0), (2, "s", "none", ["y"], 1.0)], "q long, set string, roman string, golds array<string>, weight double")
+    writers.save_features(candidates, items, str(tmp_path / "cache"))
+    got = readers.features(spark, str(tmp_path / "cache"))
+    assert sorted(tuple(r) for r in got.drop("q", "golds").collect()) == sorted(("s", "ka", 2.0, *r[1:]) for r in rows)
+    assert spark.read.json(str(tmp_path / "cache")).count() == 2 and got.select("q").distinct().count() == 1
+    scored = E.weight_hits(got.withColumn("gold", F.get("golds", F.lit(0))), [{"unigram": 1.0, **dict.fromkeys(W_NAMES, 0.0)}]).first()
+    assert (scored.hits, scored.n) == (1, 1)
+
+
+W_NAMES = [n for n in __import__("lipiflow.functions.scores", fromlist=["TUNED_WEIGHTS"]).TUNED_WEIGHTS if n != "unigram"]
+
+
+def test_lines_are_spaced_json(spark):
+    import json
+
+    from lipiflow.sources.writers import spaced_json
+
+    df = spark.createDataFrame([("a\"b", 1, 1.5, True, ["x", "y"]), (None, None, None, None, None)], "s string, n int, d double, `o.k` boolean, l array<string>")
+    one, two = (r[0] for r in df.select(spaced_json(df)).collect())
+    assert one == '{"s": "a\\"b", "n": 1, "d": 1.5, "o.k": true, "l": ["x","y"]}' and two == "{}" and json.loads(one)["l"] == ["x", "y"]
