@@ -192,7 +192,14 @@ BUNDLE = {
 }
 
 
-@query()
+# the bundle written out: what the exception leaves is taken apart into kh and single letters, a and i by the letter before
+_AFTER = "(i = 1 OR NOT contains('bcdfghjklmnpqrstvwxyz', right(regexp_extract_all(s, 'kh|.')[i - 1], 1)))"
+RULES_SQL = f"""SELECT word, array_to_string(list_transform(string_split(word, 'tini'), lambda s: array_to_string(list_transform(regexp_extract_all(s, 'kh|.'), lambda p, i:
+  CASE p WHEN 'kh' THEN 'খ' WHEN 'k' THEN 'ক' WHEN 'm' THEN 'ম' WHEN 'r' THEN 'র' WHEN 't' THEN 'ত' WHEN 'n' THEN 'ন' WHEN 'a' THEN CASE WHEN {_AFTER} THEN 'আ' ELSE 'া' END WHEN 'i' THEN CASE WHEN {_AFTER} THEN 'ই' ELSE 'ি' END ELSE p END), '')), 'তিনি') AS bangla
+  FROM (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents)"""
+
+
+@query(RULES_SQL)
 def rule_transliteration(spark, d):
     """Every distinct Latin word of documents under a small bundle; tests hold the engine against a plain scan of the list."""
     from .standins import words

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, lexicon, prediction, streams, study, usage
+from .plans import evaluation, files, lexicon, prediction, streams, study, usage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _plan in (lexicon, prediction, study, evaluation, usage, streams):
+for _plan in (lexicon, prediction, study, evaluation, usage, files, streams):
     QUERIES |= _plan.QUERIES
     ORACLE_SQL |= _plan.ORACLE_SQL
