@@ -110,6 +110,12 @@ def running_sums(rows: DataFrame, order: list[str], value: str) -> DataFrame:
     return kept.join(F.broadcast(sums), "_p").withColumn("_sum", F.col("_offset") + before(Window.partitionBy("_p").orderBy(*order))).drop("_p", "_offset")
 
 
+def report_order(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The n first rows by `order` with their place, from 1: a report. Tasks send their n first rows only."""
+    top = rows.orderBy(*order).limit(n)
+    return top.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("place"), "*")
+
+
 def stride_sample(rows: DataFrame, n: int, order: str) -> DataFrame:
     """Every ceil(N / n)-th row by `order`, n at most. A sampling operator; ordinals come from a range-partitioned sort."""
     total = rows.count()

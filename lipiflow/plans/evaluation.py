@@ -6,9 +6,10 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import metrics as M
 from ..functions.scores import TUNED_WEIGHTS
-from ..functions.text import ascii_tokens
+from ..functions.text import BENGALI, ascii_tokens
 from ..operators import evaluate as E, lexicon as L, retrieve as R, scorer as S
 from .lexicon import CAND, SCORE_SQL, _candidates, pairs, score_sql
+from .usage import LETTERS, SIGNS
 from .standins import QUERY_SQL, ROMANS, STYLE_EXPRESSIONS, TOK, WORDS, completions, key_indexes, keyed_words, queries, romans, sentences, sql_key, sql_style, table, tokens, with_keys, words
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -76,15 +77,35 @@ def cer_ascii(spark, d):
     return pairs.select("h", "r", F.round(M.cer("h", "r"), 6).alias("cer"))
 
 
-@query()
-def wer_corpus(spark, d):
-    """Errors and words of each turn against the next of its conversation, and the corpus rate over all; tested against brute force."""
-    t = table(spark, d, "conversations").select("conv_id", "turn", ascii_tokens("text").alias("w"))
+def wer_sql(word: str, keep: str) -> str:
+    """Corpus word error rate of turns against the next ones; a row of the distance table at a time, as lists of numbers of words."""
+    return f"""WITH t AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: {word}), lambda w: {keep}) AS w FROM conversations),
+  p AS (SELECT a.w AS h, b.w AS r FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1), n AS (SELECT list_distinct(list_concat(h, r)) AS k, h, r FROM p),
+  m AS (SELECT list_transform(h, lambda x: [list_position(k, x)::BIGINT]) AS h, list_transform(r, lambda x: list_position(k, x)::BIGINT) AS r FROM n),
+  e AS (SELECT len(r) AS words, list_reduce(h, lambda row, x: list_reduce(list_transform(range(1, len(r) + 1), lambda j: [j]), lambda acc, j: list_append(acc, least(row[j[1] + 1] + 1, acc[j[1]] + 1, row[j[1]] + (x[1] <> r[j[1]])::BIGINT)), [row[1] + 1]), range(0, len(r) + 1))[-1] AS errors FROM m)
+  SELECT sum(errors)::BIGINT AS errors, sum(words)::BIGINT AS words, round(100.0 * sum(errors) / sum(words), 6) AS wer FROM e"""
+
+
+def _wer(spark, d, words):
+    t = table(spark, d, "conversations").select("conv_id", "turn", words.alias("w"))
     pairs = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("ref")), ["conv_id", "turn"])
-    each = pairs.select(M.word_errors("w", "ref").alias("errors"), F.size("ref").alias("words"))
+    each = pairs.select(M.word_errors("w", "ref").alias("errors"), F.size("ref").cast("bigint").alias("words"))
     return each.agg(F.sum("errors").alias("errors"), F.sum("words").alias("words"), F.round(100.0 * F.sum("errors") / F.sum("words"), 6).alias("wer"))
 
 
+@query(wer_sql("w", "true"))
+def wer_corpus(spark, d):
+    """Errors and words of each turn against the next of its conversation, and the corpus rate over all."""
+    return _wer(spark, d, ascii_tokens("text"))
+
+
+@query(wer_sql(f"CASE WHEN length(w) % 2 = 0 THEN translate(lower(w), '{LETTERS}', '{SIGNS}') ELSE w END", f"regexp_matches(w, '[{BENGALI}]')"))
+def wer_bengali(spark, d):
+    """The Bengali view of the rate: words of even length are in Bengali signs, the others are not counted."""
+    mixed = F.transform(ascii_tokens("text"), lambda w: F.when(F.length(w) % 2 == 0, F.translate(F.lower(w), LETTERS, SIGNS)).otherwise(w))
+    return _wer(spark, d, M.bengali_words(mixed))
+
+
 def _percentiles(spark, d, index, ps):
     name = lambda p: f"p{round(p * 100 if p <= 1 else p)}"
     found = E.percentiles(table(spark, d, "events"), "event_type", "value", {name(p): lambda n, p=p: index(n, p) for p in ps})

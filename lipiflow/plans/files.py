@@ -12,7 +12,8 @@ from ..operators import evaluate as E, nextword as N, retrieve as R
 from ..sources import readers, writers
 from ..sources.store import shared_dir
 from ..streaming import telemetry as T
-from . import usage
+from ..streaming.receipt import chunks, receive
+from . import evaluation, usage
 from .lexicon import CAND, SCORE_SQL, _candidates
 from .standins import ROMANS, TOK, WORDS, queries, romans, table, words
 from .usage import LETTERS, SIGNS, SPELLED, spelled
@@ -194,3 +195,50 @@ def acronyms(spark, d):
 def bangla_token_counts(spark, d):
     t = table(spark, d, "conversations").select(F.explode(X.bangla_tokens(F.translate(F.lower("text"), LETTERS, SIGNS))).alias("token"))
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p_partkey, '{"p_partkey": ' || p_partkey || ', "p_name": "' || p_name || '", "p_size": ' || p_size || '}' AS line FROM part""")
+def spaced_lines(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    return p.select("p_partkey", writers.spaced_json(p).alias("line"))
+
+
+@query(f"WITH {CAND} SELECT q AS roman, word, rom_exact::BIGINT AS rom_exact, rom_prefix::BIGINT AS rom_prefix, gap::BIGINT AS gap, key_fine, key_coarse_prefix, round(uni, 6) AS uni FROM cand WHERE q IN (SELECT q FROM qs)")
+def feature_cache(spark, d):
+    """All candidates written as the tuner's cache, an item a line, and read back as a row for each candidate."""
+    path = _file(spark)
+    c = _candidates(spark, d)
+    names = {"word": "word", "uni": "uni", **{x: x for x in ("rom_exact", "rom_prefix", "key_fine", "key_coarse", "key_fine_prefix", "key_coarse_prefix", "gap", "in_lexicon")}}
+    items = queries(spark, d).select("q", F.lit("all").alias("set"), F.col("q").alias("roman"), F.array("gold").alias("golds"), F.col("weight").cast("double").alias("weight"))
+    writers.save_features(c.select("q", *names), items, path)
+    read = readers.features(spark, path)
+    whole = [F.col(x).cast("bigint").alias(x) for x in ("rom_exact", "rom_prefix", "gap")]
+    return read.select("roman", "word", *whole, "key_fine", "key_coarse_prefix", F.round("uni", 6).alias("uni"))
+
+
+DELIVERED = """dl AS (SELECT printf('%08x', conv_id) AS install, turn AS seq, role, length(text) AS n FROM conversations)"""
+
+
+@query(f"""WITH {DELIVERED}, ok AS (SELECT * FROM dl WHERE seq % 7 <> 3) SELECT install, 'events' AS stream, seq::BIGINT AS seq, '{{"role": "' || role || '"}}' AS line FROM ok
+  UNION ALL SELECT install, 'events', seq::BIGINT, '{{"n": ' || n || '}}' FROM ok""")
+def received_chunks(spark, d):
+    """Turns as deliveries of two lines, each delivered twice, every seventh malformed: what a stream of them leaves in the store."""
+    c = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parque[t]")
+    lines = F.concat(F.lit('{"role": "'), "role", F.lit('"}\n\n{"n": '), F.length("text").cast("string"), F.lit("}\n"))
+    body = F.when(F.col("turn") % 7 == 3, F.lit("[1]")).otherwise(lines)
+    one = c.select(F.lpad(F.lower(F.hex("conv_id")), 8, "0").alias("install"), F.lit("events").alias("stream"), F.col("turn").cast("string").alias("seq"), body.alias("body"))
+    where = T.shared_folder(spark)
+    receive(one.union(one), f"{where}/store", f"{where}/offsets")
+    return chunks(spark, f"{where}/store")
+
+
+@query(f"WITH s AS ({usage.ORACLE_SQL['shared_misses']}) SELECT row_number() OVER (ORDER BY installs DESC, roman, chose)::BIGINT AS place, * FROM s ORDER BY place LIMIT 50")
+def shared_miss_report(spark, d):
+    """The fifty misses that most installs share, in their order."""
+    return E.report_order(usage.QUERIES["shared_misses"](spark, d), [F.desc("installs"), F.asc("roman"), F.asc("chose")], 50)
+
+
+@query(f"WITH s AS ({evaluation.ORACLE_SQL['stress_by_source']}) SELECT row_number() OVER (ORDER BY top1, {{by}})::BIGINT AS place, * FROM s ORDER BY place LIMIT 50".replace("{by}", "style, source"))
+def worst_first(spark, d):
+    """Habits and sources by their share of right first choices, the worst first."""
+    return E.report_order(evaluation.QUERIES["stress_by_source"](spark, d), [F.asc("top1"), F.asc("style"), F.asc("source")], 50)

@@ -65,7 +65,7 @@ def receive(stream: DataFrame, store: str, checkpoint: str) -> None:
 
 def chunks(spark: SparkSession, store: str) -> DataFrame:
     """install, stream, seq, line of everything stored."""
-    return spark.read.schema("install string, stream string, seq long, line string").parquet(f"{store}/chunks")
+    return spark.read.schema("install string, stream string, seq long, line string").parquet(f"{store}/chunks").select(*KEY, "line")
 
 
 def forget_install(spark: SparkSession, store: str, install: str) -> None:
