@@ -31,11 +31,16 @@ def documents(spark, sf_dir: str):
 
 
 def shared_dir(spark) -> str:
-    """The folder that all executors share; set to a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one only where the session names none and runs on this machine alone."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="lipiflow-")
+        where = found.get() if found.isDefined() else None
+        if not where:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="lipiflow-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
