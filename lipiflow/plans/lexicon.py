@@ -207,9 +207,18 @@ PAIRS = f"""{SENT}, known AS (SELECT word FROM sent GROUP BY word HAVING count(*
   fol AS (SELECT prev, word, cnt, rank FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY cnt DESC, first) AS rank FROM pairs) WHERE rank <= 60 AND cnt >= 2)"""
 
 
+def seen(spark, d):
+    """sent, role, pos, word, kept, prev of the words of conversations that follow a known word or begin a turn, and are known."""
+
+    def make():
+        s = sentences(spark, d)
+        return L.with_previous(s, s.groupBy("word").count().where("count >= 2")).where("prev IS NOT NULL AND kept IS NOT NULL")
+
+    return built_once(spark, d, "seen", make)
+
+
 def pairs(spark, d):
-    s = sentences(spark, d)
-    return L.pair_counts(L.with_previous(s, s.groupBy("word").count().where("count >= 2")))
+    return built_once(spark, d, "pairs", lambda: L.pair_counts(seen(spark, d)))
 
 
 _SEL = f"{sql_style('no_h', 'word')}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lexicon as L, nextword as N
-from .lexicon import PAIRS, pairs
+from .lexicon import PAIRS, pairs, seen
 from .standins import SENT, TURNS, sentences, sql_key
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -40,8 +40,7 @@ def next_words_gated(spark, d):
   fit AS (SELECT ty.prev, roman, rf.word, rf.cnt FROM ty JOIN kt ON ty.roman = kt.word JOIN rf ON rf.prev = ty.prev JOIN kw ON kw.word = rf.word WHERE kt.key <> '' AND starts_with(kw.key, kt.key))
   SELECT prev, roman, word, round(share, 6) AS share, place::BIGINT AS place FROM (SELECT *, cnt / sum(cnt) OVER (PARTITION BY prev, roman) AS share, row_number() OVER (PARTITION BY prev, roman ORDER BY cnt DESC, word) AS place FROM fit) WHERE place <= 2""")
 def next_completions(spark, d):
-    s = sentences(spark, d)
-    seq = L.with_previous(s, s.groupBy("word").count().where("count >= 2")).where("prev IS NOT NULL AND kept IS NOT NULL")
+    seq = seen(spark, d)
     typed = seq.select("prev", F.substring("word", 1, 2).alias("roman")).distinct()
     f, _ = _followers(spark, d)
     return N.next_completions(typed, f).select("prev", "roman", "word", F.round("share", 6).alias("share"), F.col("place").cast("bigint").alias("place"))
@@ -57,16 +56,14 @@ def nextword_audit(spark, d):
 @query(f"""WITH {PAIRS}, {RANKED}, top AS (SELECT prev, list(word) AS words, max(cnt) AS m FROM rf WHERE r <= 3 GROUP BY prev), x AS (SELECT seq.word, words, m / total AS share FROM seq LEFT JOIN top ON seq.prev = top.prev LEFT JOIN totals ON totals.prev = top.prev WHERE seq.prev IS NOT NULL AND kept IS NOT NULL)
   SELECT threshold, count(*)::BIGINT AS positions, count(*) FILTER (share >= threshold)::BIGINT AS shown, count(*) FILTER (share >= threshold AND list_contains(words, word))::BIGINT AS "right" FROM x, (SELECT unnest([0.0, 0.05, 0.1, 0.2, 0.3, 0.5])::DOUBLE AS threshold) GROUP BY threshold""")
 def nextword_thresholds(spark, d):
-    s = sentences(spark, d)
-    tested = L.with_previous(s, s.groupBy("word").count().where("count >= 2")).where("prev IS NOT NULL AND kept IS NOT NULL").select("prev", "word")
+    tested = seen(spark, d).select("prev", "word")
     return N.thresholds(tested, *_followers(spark, d))
 
 
 @query(f"""WITH {PAIRS} SELECT sent, pos, count(*) OVER (PARTITION BY sent // {TURNS}, prev, word ORDER BY sent, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS before,
   count(*) OVER (PARTITION BY sent // {TURNS}, prev ORDER BY sent, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS prev_before FROM seq WHERE prev IS NOT NULL AND kept IS NOT NULL""")
 def prequential_next(spark, d):
-    s = sentences(spark, d)
-    paired = L.with_previous(s, s.groupBy("word").count().where("count >= 2")).where("prev IS NOT NULL AND kept IS NOT NULL")
+    paired = seen(spark, d)
     return N.prequential(paired.withColumn("conv", F.expr(f"sent div {TURNS}"))).select("sent", F.col("pos").cast("bigint").alias("pos"), "before", "prev_before")
 
 
@@ -74,8 +71,7 @@ def prequential_next(spark, d):
   b AS (SELECT prev, word, cnt / total AS s FROM fol JOIN totals USING (prev) UNION ALL SELECT prev, word, 0.5 * n / sum(n) OVER (PARTITION BY prev) FROM own), g AS (SELECT prev, word, round(sum(s), 9) AS score FROM b GROUP BY prev, word)
   SELECT prev, word, round(score, 6) AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY score DESC, word) AS rank FROM g) WHERE rank <= 3""")
 def personal_blend(spark, d):
-    s = sentences(spark, d)
-    seq = L.with_previous(s, s.groupBy("word").count().where("count >= 2")).where("prev IS NOT NULL AND kept IS NOT NULL")
+    seq = seen(spark, d)
     own = seq.where("role = 'user'").groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n"))
     f, t = _followers(spark, d)
     shares = f.join(t, "prev").withColumn("share", F.col("count") / F.col("total"))
@@ -94,7 +90,6 @@ def context_windows(spark, d):
   x AS (SELECT letters, bar, coalesce(round(share, 9) >= bar, false) AS shown, coalesce(round(share, 9) >= bar AND guess = ty.word, false) AS ok, length(ty.word) - letters AS l FROM ty LEFT JOIN g ON g.prev = ty.prev AND g.roman = ty.roman, (SELECT unnest([0.2, 0.5])::DOUBLE AS bar))
   SELECT letters::BIGINT AS letters, bar, count(*)::BIGINT AS positions, count(*) FILTER (shown)::BIGINT AS shown, count(*) FILTER (ok)::BIGINT AS "right", coalesce(sum(l) FILTER (ok), 0)::BIGINT AS saved FROM x GROUP BY letters, bar""")
 def first_letter_study(spark, d):
-    s = sentences(spark, d)
-    tested = L.with_previous(s, s.groupBy("word").count().where("count >= 2")).where("prev IS NOT NULL AND kept IS NOT NULL").select("prev", "word")
+    tested = seen(spark, d).select("prev", "word")
     f, _ = _followers(spark, d)
     return N.letter_study(tested, f, 3, (0.2, 0.5)).select(F.col("letters").cast("bigint").alias("letters"), "bar", "positions", "shown", "right", "saved")

@@ -9,7 +9,7 @@ from ..functions.keys import key_from_roman
 from ..functions.text import ascii_tokens
 from ..operators import beam as B, lexicon as L, liststudy as S, nextword as N, retrieve as R, within as W
 from ..sources.store import built_once
-from .lexicon import CAND, PAIRS, SCORE_SQL, _W, _candidates, pairs
+from .lexicon import CAND, PAIRS, SCORE_SQL, _W, _candidates, pairs, seen as seen_words
 from .prediction import RANKED
 from .standins import QUERY_SQL, WORDS, completions, key_indexes, keyed_words, queries, romans, sentences, sql_key, table, with_keys
 
@@ -54,16 +54,11 @@ def _lists(ranked, by, place="rank"):
     return ranked.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct(place, "word"))), lambda x: x["word"]).alias("list"))
 
 
-def _seen(spark, d):
-    s = sentences(spark, d)
-    return L.with_previous(s, s.groupBy("word").count().where("count >= 2")).where("prev IS NOT NULL AND kept IS NOT NULL")
-
-
 def _placed(spark, d):
     """Where each word of the conversations is, under each rule, in the list of its first letters: made once for both queries."""
 
     def make():
-        tested = _seen(spark, d).groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("roman", F.col("word"))
+        tested = seen_words(spark, d).groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("roman", F.col("word"))
         letters = tested.where("length(roman) >= 2").select("prev", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LETTERS), F.length("roman"))), lambda i: F.substring(F.col("roman"), F.lit(1), i))).alias("roman")).distinct()
         asked = with_keys(letters.select("roman").distinct().withColumn("q", F.col("roman")), "roman")
         found = R.candidates(asked, keyed_words(spark, d), romans(spark, d), completions(spark, d), key_indexes=key_indexes(spark, d))
@@ -120,7 +115,7 @@ ASKED = "SELECT DISTINCT prev, key AS typed FROM seq JOIN kt ON kt.word = left(s
 @query(f"""WITH {WORDS}, {PAIRS}, {sql_key('coarse', 'words', out='kc')}, tq AS (SELECT DISTINCT left(word, 2) AS word {SEEN}), {sql_key('coarse', 'tq', out='kt')}, {within_sql(ASKED, 3)}
   SELECT prev, typed, word, round(share, 6) AS share, rank::BIGINT AS rank FROM bw""")
 def best_within(spark, d):
-    seen, p = _seen(spark, d), pairs(spark, d)
+    seen, p = seen_words(spark, d), pairs(spark, d)
     starts = seen.select(F.substring("word", 1, 2).alias("roman")).distinct().withColumn("typed", key_from_roman("roman", "coarse"))
     asked = seen.select("prev", F.substring("word", 1, 2).alias("roman")).distinct().join(starts, "roman").select("prev", "typed")
     asked = asked.union(p.select("prev", F.lit("").alias("typed"))).distinct()
@@ -141,7 +136,7 @@ TALLY = f"""te AS (SELECT prev, word, i AS letters, left(word, i) AS start, coun
   coalesce(sum(n) FILTER (seen), 0)::BIGINT AS shown, coalesce(sum(n) FILTER (seen AND first_one), 0)::BIGINT AS shown_right FROM y GROUP BY letters, spelled""")
 def predictor_tally(spark, d):
     p = pairs(spark, d)
-    words = _seen(spark, d).groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = seen_words(spark, d).groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n"))
     rows = words.select("prev", "word", "n", F.explode(F.sequence(F.lit(0), F.least(F.lit(3), F.length("word") - 1))).alias("letters")).withColumn("start", F.substring(F.col("word"), F.lit(1), F.col("letters")))
     keys = rows.select("start").distinct().withColumn("typed", key_from_roman("start", "coarse"))
     spelled = table(spark, d, "benchmark").select(F.explode(ascii_tokens("text")).alias("w")).select(F.lower("w").alias("word"), F.lit(True).alias("spelled")).distinct()
