@@ -228,7 +228,7 @@ class Hmm:
     def log10(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Exact log10 probability of each text, by the scaled forward recursion."""
         sizes = np.diff(offsets)
-        out = np.zeros(len(sizes))
+        out, ones = np.zeros(len(sizes)), np.ones(len(self.start))
         order = np.argsort(-sizes, kind="stable")
         for a in range(0, len(order), 512):
             which = order[a : a + 512]
@@ -240,7 +240,7 @@ class Hmm:
                     alive -= 1
                 alpha = alpha[:alive] if not t else alpha[:alive] @ self.moves
                 alpha = alpha * self.emits[symbols[base[:alive] + t]]
-                scale = alpha.sum(1)
+                scale = alpha @ ones  # faster than a sum over so few columns
                 alpha /= scale[:, None]
                 logs[:alive] += np.log10(scale)
             out[which] = logs
@@ -262,13 +262,17 @@ class Hmm:
         steps = int(n[0])
         alive = np.searchsorted(-n, -np.arange(steps), "left")  # with more than t symbols
 
+        ones = np.ones((states, 1))
+
         def forward(alpha, t):
             k = alive[t]
             s = symbols[begin[:k] + t]
-            e = self.emits[s]
-            alpha = (alpha[:k] @ self.moves if t else np.tile(self.start, (k, 1))) * e
-            c = alpha.sum(1, keepdims=True)
-            return alpha / c, s, e, c
+            e = self.emits.take(s, axis=0)
+            alpha = alpha[:k] @ self.moves if t else np.tile(self.start, (k, 1))
+            alpha *= e
+            c = alpha @ ones  # faster than a sum over so few columns
+            alpha /= c
+            return alpha, s, e, c
 
         kept, alpha = [], None
         for t in range(steps):
@@ -287,17 +291,22 @@ class Hmm:
             gammas = []
             for t in range(first + len(made) - 1, first - 1, -1):
                 alpha, s, e, c = made[t - first]
-                beta = np.ones((alive[t], states))
-                if onward is not None:  # of the texts that go on after t
-                    beta[: len(onward)] = onward @ self.moves.T
+                if onward is not None and len(onward) == alive[t]:
+                    beta = onward @ self.moves.T
+                else:
+                    beta = np.ones((alive[t], states))
+                    if onward is not None:  # of the texts that go on after t
+                        beta[: len(onward)] = onward @ self.moves.T
                 gammas.append(alpha * beta)
-                onward = e * beta / c
+                beta *= e
+                beta /= c
+                onward = beta
                 if t:
                     previous = made[t - first - 1][0] if t > first else before
                     moves += previous[: alive[t]].T @ onward
-            s, g = np.concatenate([m[1] for m in reversed(made)]), np.concatenate(gammas)
+            s, g = np.concatenate([m[1] for m in reversed(made)]), np.ascontiguousarray(np.concatenate(gammas).T)
             for j in range(states):
-                emits[:, j] += np.bincount(s, g[:, j], len(emits))
+                emits[:, j] += np.bincount(s, g[j], len(emits))
             if not block:
                 starts += gammas[-1].sum(0)
         return starts, moves * self.moves, emits, total
