@@ -333,3 +333,21 @@ def test_bundles_and_chunks_are_read_from_files(spark, tmp_path):
         (tmp_path / "store" / install).mkdir(parents=True, exist_ok=True)
         (tmp_path / "store" / install / f"events-{seq}.jsonl").write_text('{"x": 1}\n')
     assert [(r.install, r.seq) for r in readers.chunks(spark, str(tmp_path / "store"), "events", ordered=True).collect()] == [("a", 10), ("a", 9), ("b", 2)]
+
+
+def test_sentences_make_their_candidates_once(spark):
+    """Candidates are many for each spelling: they are scored once, and what a pair cannot change is not told to spellings."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for part in rows:
+            made.add(len(part))
+            yield part
+
+    one = [(r, w, u, 0, 0, 0, k) for r, w, u, k in (("a", "x", -1.0, True), ("a", "y", -2.0, True), ("b", "v", -1.0, True), ("b", "w", -3.0, True))]
+    schema = "q string, word string, uni double, rom_exact long, rom_prefix long, gap long, key_fine boolean"
+    c = spark.createDataFrame(one, schema).mapInPandas(count, schema)
+    tokens = spark.createDataFrame([(1, 0, "a", "a"), (1, 1, "b", "b"), (2, 0, "b", "b")], "sent long, pos int, core string, roman string")
+    pairs = spark.createDataFrame([("x", "w", 9), ("x", "q", 1)], "prev string, word string, count long")
+    got = R.transliterated_sentences(tokens, c, TUNED_WEIGHTS, pairs, spark.createDataFrame([("x", 10)], "prev string, total long"))
+    assert {r.sent: r.words for r in got.collect()} == {1: ["x", "w"], 2: ["v"]} and made.value == len(one)
