@@ -4,17 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .nextword import merged
-
 # Where predicted words are put in and how many at most; the first rule puts in none. Length of the list.
 RULES = ((0, 0), (1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2))
 SHOWN, PREDICTED = 5, 2
 
 
-def places(base: Column, predicted: Column, wanted: Column, rules: tuple[tuple[int, int], ...] = RULES, k: int = SHOWN) -> Column:
-    """Array with an entry for each rule: the place of the wanted word, from 1, in the list that the rule makes, or 0."""
+def places(size: Column, own: Column, at: list[Column], is_it: list[Column], rules: tuple[tuple[int, int], ...] = RULES, k: int = SHOWN) -> Column:
+    """Array with an entry for each rule: the place of the wanted word, from 1, in the list that the rule makes, or 0.
+
+    No list is made: the place follows from the ordinary list's size, the wanted word's place in it, and for each predicted word, in
+    their order, its place in it (NULL: no such word) and whether it is the wanted one. Neither list holds a word twice.
+    """
     table = F.array(*(F.struct(F.lit(start).alias("start"), F.lit(n).alias("n")) for start, n in rules))
-    return F.transform(table, lambda r: F.array_position(merged(base, predicted, r["start"], r["n"], k), wanted))
+
+    def place(r: Column) -> Column:
+        used, moved, among = F.lit(0), F.lit(0), []
+        for p, same in zip(at, is_it):
+            # a predicted word is put in if it is there, not in the head, and not after n others
+            goes = p.isNotNull() & ((p == 0) | (p > r["start"])) & (used < r["n"])
+            among.append(F.when(goes & same, F.least(size, r["start"]) + used + 1))
+            moved = moved + (goes & (p > 0) & (p < own)).cast("int")
+            used = used + goes.cast("int")
+        return F.when((own > 0) & (own <= r["start"]), own).otherwise(F.coalesce(*among, F.when(own > 0, own + used - moved), F.lit(0)))
+
+    return F.transform(F.transform(table, place), lambda p: F.when(p <= k, p).otherwise(0).cast("bigint"))
 
 
 def typed_places(tested: DataFrame, base: DataFrame, predicted: DataFrame, max_letters: int, rules: tuple[tuple[int, int], ...] = RULES, k: int = SHOWN) -> DataFrame:
@@ -30,10 +43,15 @@ def typed_places(tested: DataFrame, base: DataFrame, predicted: DataFrame, max_l
     rows = rows.join(base.select("typed", F.col("list").alias("_base")), "typed", "left").join(predicted.select("prev", "typed", F.col("list").alias("_more")), ["prev", "typed"], "left")
     none = F.array().cast("array<string>")
     listed, more = F.coalesce("_base", none), F.slice(F.coalesce("_more", none), 1, PREDICTED)
-    return rows.select(
+    at, same = [f"_at{i}" for i in range(PREDICTED)], [f"_same{i}" for i in range(PREDICTED)]
+    rows = rows.select(
         "prev", "roman", "word", "n", "letters", "length", (F.size(more) > 0).alias("offered"), F.array_contains(more, F.col("word")).alias("among"),
-        F.array_position(listed, F.col("word")).alias("own"), places(listed, more, F.col("word"), rules, k).alias("at"),
+        F.array_position(listed, F.col("word")).alias("own"), F.size(listed).alias("_size"),
+        *(F.array_position(listed, F.get(more, F.lit(i))).alias(c) for i, c in enumerate(at)),
+        *(F.coalesce(F.get(more, F.lit(i)) == F.col("word"), F.lit(False)).alias(c) for i, c in enumerate(same)),
     )
+    told = places(F.col("_size"), F.col("own"), [F.col(c) for c in at], [F.col(c) for c in same], rules, k)
+    return rows.withColumn("at", told).drop("_size", *at, *same)
 
 
 def by_letters(placed: DataFrame, rules: tuple[tuple[int, int], ...] = RULES, k: int = SHOWN) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import key_from_roman
+from ..sources.store import stored
 
 # Fixed values.
 FOLLOWERS_READ, MIN_SHARE, CONTEXT_WORDS = 300, 0.2, 3
@@ -30,12 +31,17 @@ def next_words(followers: DataFrame, totals: DataFrame, k: int = 3, min_share: f
 
 
 def next_completions(typed: DataFrame, followers: DataFrame, k: int = 2) -> DataFrame:
-    """prev, roman, word, share: followers whose phonetic key begins with the typed letters' key, shares of those that fit."""
-    keyed = ranked_followers(followers).withColumn("_key", key_from_roman("word"))
-    fitting = typed.withColumn("_typed", key_from_roman("roman")).where("_typed <> ''").join(keyed, "prev").where(F.col("_key").startswith(F.col("_typed")))
-    group = Window.partitionBy("prev", "roman")
-    rows = fitting.withColumn("share", F.col("count") / F.sum("count").over(group)).withColumn("place", F.row_number().over(group.orderBy(F.desc("count"), "word")))
-    return rows.where(F.col("place") <= k).select("prev", "roman", "word", "share", "place")
+    """prev, roman, word, share: followers whose phonetic key begins with the typed letters' key, shares of those that fit.
+
+    Keys are made once for each distinct word. Followers are cut to the best k of each beginning of a key before any typed
+    letters meet them, so that a word with very many letters typed after it is looked up, not held against all that follow.
+    """
+    with_key = lambda rows, c, out: rows.join(stored(rows.select(c).distinct().withColumn(out, key_from_roman(c)), "next-keys"), c)
+    ends = with_key(ranked_followers(followers).select("prev", "word", "count"), "word", "_key").where("_key <> ''")
+    ends = ends.select("prev", "word", "count", F.explode(F.transform(F.sequence(F.lit(1), F.length("_key")), lambda i: F.substring(F.col("_key"), F.lit(1), i))).alias("_typed"))
+    group = Window.partitionBy("prev", "_typed")
+    rows = ends.withColumn("share", F.col("count") / F.sum("count").over(group)).withColumn("place", F.row_number().over(group.orderBy(F.desc("count"), "word")))
+    return with_key(typed.where("roman IS NOT NULL"), "roman", "_typed").join(rows.where(F.col("place") <= k), ["prev", "_typed"]).select("prev", "roman", "word", "share", "place")
 
 
 def audit(followers: DataFrame, totals: DataFrame, min_share: float) -> DataFrame:

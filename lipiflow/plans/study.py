@@ -8,7 +8,7 @@ from ..functions import scores
 from ..functions.keys import key_from_roman
 from ..functions.text import ascii_tokens
 from ..operators import beam as B, lexicon as L, liststudy as S, nextword as N, retrieve as R, within as W
-from ..sources.store import built_once
+from ..sources.store import built_once, stored
 from .lexicon import CAND, PAIRS, SCORE_SQL, _W, _candidates, pairs, seen as seen_words
 from .prediction import RANKED
 from .standins import QUERY_SQL, WORDS, completions, key_indexes, keyed_words, queries, romans, sentences, sql_key, table, with_keys
@@ -60,7 +60,8 @@ def _placed(spark, d):
     def make():
         tested = seen_words(spark, d).groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("roman", F.col("word"))
         letters = tested.where("length(roman) >= 2").select("prev", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LETTERS), F.length("roman"))), lambda i: F.substring(F.col("roman"), F.lit(1), i))).alias("roman")).distinct()
-        asked = with_keys(letters.select("roman").distinct().withColumn("q", F.col("roman")), "roman")
+        letters = stored(letters, "typed-letters")
+        asked = stored(with_keys(letters.select("roman").distinct().withColumn("q", F.col("roman")), "roman"), "typed-asked")
         found = R.candidates(asked, keyed_words(spark, d), romans(spark, d), completions(spark, d), key_indexes=key_indexes(spark, d))
         base = _lists(R.fast_ranked(found, scores.TUNED_WEIGHTS, S.SHOWN), "q").withColumnRenamed("q", "typed")
         predicted = N.next_completions(letters, L.followers(pairs(spark, d)), S.PREDICTED).withColumnRenamed("roman", "typed")

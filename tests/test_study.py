@@ -207,3 +207,24 @@ def test_lines_are_spaced_json(spark):
     df = spark.createDataFrame([("a\"b", 1, 1.5, True, ["x", "y"]), (None, None, None, None, None)], "s string, n int, d double, `o.k` boolean, l array<string>")
     one, two = (r[0] for r in df.select(spaced_json(df)).collect())
     assert one == '{"s": "a\\"b", "n": 1, "d": 1.5, "o.k": true, "l": ["x","y"]}' and two == "{}" and json.loads(one)["l"] == ["x", "y"]
+
+
+def test_typed_letters_are_looked_up_not_held_against_all_followers(spark):
+    """Rows that typed letters meet are those of the answer, though all words follow one word; places need no lists."""
+    from lipiflow.operators import nextword as N
+
+    words = [f"{a}a{b}a" for a in "kgtdpb" for b in "nmrls"]
+    followers = spark.createDataFrame([("<s>", w, i + 1) for i, w in enumerate(words)], "prev string, word string, count long")
+    typed = spark.createDataFrame([("<s>", w[:i]) for w in words for i in (1, 2, 3)], "prev string, roman string").distinct()
+    found = N.next_completions(typed, followers, 2)
+    conditions = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith" not in conditions
+    from lipiflow.functions.keys import key_from_roman
+
+    keys = {r.w: r.k for r in spark.createDataFrame([(x,) for x in {*words, *(w[:i] for w in words for i in (1, 2, 3))}], "w string").select("w", key_from_roman("w").alias("k")).collect()}
+    want = set()
+    for t in {w[:i] for w in words for i in (1, 2, 3)}:
+        fit = sorted((-(i + 1), w) for i, w in enumerate(words) if keys[w].startswith(keys[t]))
+        total = sum(-n for n, _ in fit)
+        want |= {("<s>", t, w, round(-n / total, 9), p) for p, (n, w) in enumerate(fit[:2], 1)}
+    assert {(r.prev, r.roman, r.word, round(r.share, 9), r.place) for r in found.collect()} == want
