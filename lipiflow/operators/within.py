@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.store import stored
 from .evaluate import running_sums
 from .lexicon import prefix_top
 
@@ -43,7 +44,7 @@ def best_within(asked: DataFrame, pairs: DataFrame, totals: DataFrame, words: Da
     that over the sum of the whole range. words: word, key, p as offered_words gives them; pairs: prev, word, count; totals: prev,
     total, over all pairs, of words that are never offered too. Any word fits an empty key. Equal shares go to the lesser word.
     """
-    asked = asked.select("prev", "typed").distinct()
+    asked = stored(asked.select("prev", "typed").distinct(), "asked-within")  # made once: it is met four times
     keys = asked.select("typed").distinct()
     seen = pairs.join(words, "word").join(totals, "prev").select("prev", "word", "key", "p", (F.col("count") / F.col("total")).alias("told"))
     heads = seen.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(HEAD)), lambda i: F.substring(F.col("key"), F.lit(1), i)))).alias("head"))
