@@ -26,7 +26,7 @@ def grouped_wordset(rows: DataFrame) -> DataFrame:
 def gold_ranks(items: DataFrame, ranked: DataFrame) -> DataFrame:
     """items (q, gold, weight ..) with rank, the least rank of the gold among ranked (q, word, rank), or NULL."""
     hits = ranked.select("q", F.col("word").alias("gold"), F.col("rank")).groupBy("q", "gold").agg(F.min("rank").alias("rank"))
-    return items.join(hits, ["q", "gold"], "left")
+    return items.join(hits.hint("merge"), ["q", "gold"], "left")
 
 
 def word_eval(ranks: DataFrame, ks: tuple[int, ...] = (1, 3, 5), weight: str = "weight", by: tuple[str, ...] = ()) -> DataFrame:
