@@ -351,3 +351,15 @@ def test_sentences_make_their_candidates_once(spark):
     pairs = spark.createDataFrame([("x", "w", 9), ("x", "q", 1)], "prev string, word string, count long")
     got = R.transliterated_sentences(tokens, c, TUNED_WEIGHTS, pairs, spark.createDataFrame([("x", 10)], "prev string, total long"))
     assert {r.sent: r.words for r in got.collect()} == {1: ["x", "w"], 2: ["v"]} and made.value == len(one)
+
+
+def test_totals_meet_queries_not_candidates(spark):
+    """Two words before may serve all queries: candidates are never dealt by the word before alone, nor sent through the driver."""
+    c = spark.createDataFrame([("q", "w", -2.0)], "q string, word string, uni double")
+    pairs, totals = spark.createDataFrame([("p", "w", 3)], "prev string, word string, count long"), spark.createDataFrame([("p", 4)], "prev string, total long")
+    found = R.with_context(c, spark.createDataFrame([("q", "p")], "q string, prev string"), pairs, totals)
+    assert abs(found.first()["context"] - (math.log(0.75) + 2.0)) < 1e-9
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x]
+    assert len(joins) == 3 and "(q#" in joins[1]
+    words = spark.createDataFrame([("w", 1)], "word string, score long")
+    assert "rightHint=(strategy=merge)" in R.with_prior(c.drop("uni"), words)._jdf.queryExecution().optimizedPlan().toString()
