@@ -261,7 +261,8 @@ def latency_summary(spark, d):
 @query()
 def tuned_weights(spark, d):
     """Weights by coordinate ascent to its end: a job for each grid, over the stored candidates; the score is the share of right first choices."""
-    c = _candidates(spark, d).join(queries(spark, d).select("q", "gold"), "q")
+    # stored with a query's candidates together: a grid's job then exchanges a row for each query and setting only
+    c = stored(_candidates(spark, d).hint("merge").join(queries(spark, d).select("q", "gold"), "q"), "tuned")
 
     def shares(settings):
         return [r.hits / max(r.n, 1) for r in E.weight_hits(c, settings).orderBy("setting").collect()]
