@@ -41,7 +41,7 @@ def stream_flushed_counters(spark, d):
     with K.on_disk(spark):
         S.run_available(K.flushed(commits.withColumn("ts", F.col("ts").cast("timestamp")).union(last)), out)
     parts = spark.read.parquet(out)
-    return S.hourly(parts).join(parts.groupBy("install", "h").agg(F.max("words").alias("most")), ["install", "h"]).select("install", "h", "words", "top1_taken", "retyped", (F.col("most") <= K.FLUSH_EVERY).alias("in_parts"))
+    return parts.groupBy("install", "h").agg(*(F.sum(c).alias(c) for c in ("words", "top1_taken", "retyped")), (F.max("words") <= K.FLUSH_EVERY).alias("in_parts"))
 
 
 QUERIES |= {"stream_hourly_counters": stream_hourly_counters, "stream_decayed_state": stream_decayed_state, "stream_flushed_counters": stream_flushed_counters}

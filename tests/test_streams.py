@@ -151,3 +151,13 @@ def test_counters_leave_after_twenty_words(spark, tmp_path):
     for i, h, _, top, again, _ in log:
         want[i, h] = [a + b for a, b in zip(want.get((i, h), [0, 0, 0]), [1, top, again])]
     assert sums == want
+
+
+def test_words_without_an_hour_are_counted(spark, tmp_path):
+    schema = "install long, h string, ts double, top1_taken boolean, retyped boolean, flush boolean"
+    rows = [(i, h, float(t), True, False, None) for i in range(300) for t, h in enumerate(["h1", None, None])] + [(i, None, None, None, None, True) for i in range(300)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    with keyed.on_disk(spark):
+        q = keyed.flushed(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "offsets"))
+        q.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.h is None) == [(i, None, 2, 2, 0) for i in range(300)]
