@@ -161,3 +161,10 @@ def test_words_without_an_hour_are_counted(spark, tmp_path):
         q = keyed.flushed(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "offsets"))
         q.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.h is None) == [(i, None, 2, 2, 0) for i in range(300)]
+
+
+def test_words_without_letters_are_learned(spark, tmp_path):
+    commits = "install long, roman string, word string, t double, forget boolean"
+    spark.createDataFrame([(1, None, "x", 5.0, False), (1, "a", None, 5.0, False), (1, "a", None, 5.0, False)], commits).coalesce(1).write.parquet(str(tmp_path / "commits"))
+    keyed.learn(spark.readStream.schema(commits).parquet(str(tmp_path / "commits")), str(tmp_path / "state"))
+    assert {(r.roman, r.word, r["count"]) for r in keyed.learned(spark, str(tmp_path / "state")).collect()} == {(None, "x", 1.0), ("a", None, 2.0)}
