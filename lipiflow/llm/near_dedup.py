@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import _C1, Words, mix, passes, signed, stored, tasks_of, window_hashes
 
@@ -225,6 +225,8 @@ def word_shapes(w: Words) -> np.ndarray:
 
 #: Lengths of texts that are similar enough differ by one level at most: a little wider than 1 / SIMILARITY.
 LEVEL = 1.26
+#: Steps of length within a level: lengths that are similar enough differ by so many steps at most.
+STEPS = 8
 
 
 def _unlike(c: dict[str, np.ndarray], shape: np.ndarray, table: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -236,12 +238,14 @@ def _unlike(c: dict[str, np.ndarray], shape: np.ndarray, table: np.ndarray, simi
     late = c["own"] != c["i"]
     left, right = (np.flatnonzero(~late), np.flatnonzero(late)) if across else (np.arange(len(late)),) * 2
     node, label, words, low = c["node"], c["label"], c["words"], c["level"] == c["lower"]
+    longest = words / similarity + 1e-3  # of texts that this length allows, a little more than exact
     here = np.uint32(int(c["key"][0]) & 0xFFFFFFFF)
     found_p, found_q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = max(65536 // max(len(right), 1), 1)
     for at in range(0, len(left), step):
         x = left[at : at + step]
         may = (label[x][:, None] != label[right][None]) & (low[x][:, None] | low[right][None])
+        may &= (words[x][:, None] <= longest[right][None]) & (words[right][None] <= longest[x][:, None])
         if not across:
             may &= node[x][:, None] < node[right][None]
         i, j = np.nonzero(may)
@@ -283,18 +287,27 @@ def remaining_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, tex
     """Pairs a < b that share a bucket, are in different classes, and reach the similarity: all such pairs are verified.
 
     members has node, words, key and size; nodes has node, shape and places. A bucket is parted by levels of length, each
-    level meeting itself and the next one, and these by dealing texts to blocks of about BLOCK texts, or BLOCK_WORDS words if
-    that is less: each two blocks meet in a group of their own, so that no task holds more of a bucket, however large it is. Word counts tell which texts
-    of a group have to be held against which; only the texts of these go there, once each, and are aligned.
+    level meeting itself and the next one; a text stays out if no text of another class is near enough to it in length. The rest
+    is dealt to blocks of about BLOCK texts, or BLOCK_WORDS words if that is less: each two blocks meet in a group of their own,
+    so that no task holds more of a bucket, however large it is. Word counts tell which texts of a group have to be held against
+    which; only the texts of these go there, once each, and are aligned.
     """
     n = tasks_of(members)
-    level = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / float(np.log(max(LEVEL, 1.008 / similarity)))).cast("int")
-    known = members.where("size > 2").join(labels, "node", "left").select("node", "words", "key", level.alias("level"), F.coalesce("label", "node").alias("label"))
+    exact = F.log(F.greatest("words", F.lit(1)).cast("double")) / float(np.log(max(LEVEL, 1.008 / similarity)))
+    length = (F.floor(exact).cast("int").alias("level"), F.floor(exact * STEPS).cast("int").alias("step"))
+    known = members.where("size > 2").join(labels, "node", "left").select("node", "words", "key", *length, F.coalesce("label", "node").alias("label"))
     parts = stored(known.withColumn("lower", F.explode(F.array(F.col("level") - 1, F.col("level")))), "omh-known")
     # stored, so that the join exchanges both sides anew and a bucket with very many texts can be split
-    counts = parts.groupBy("key", "lower").agg(F.count(F.lit(1)).alias("texts"), F.sum("words").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.col("level") - F.col("lower")).alias("own"))
-    split = stored(counts.where("low <> high AND own = 0").select("key", "lower", F.ceil(F.greatest(F.col("texts") / BLOCK, F.col("total") / BLOCK_WORDS)).cast("int").alias("blocks")), "omh-open")
-    open_ = stored(parts.join(split, ["key", "lower"]), "omh-unlike")
+    counts = parts.groupBy("key", "lower", "step").agg(F.count(F.lit(1)).alias("texts"), F.sum("words").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.col("level") - F.col("lower")).alias("own"))
+    # two levels have 2 * STEPS + 1 steps at most, so a window is as short; a text is met if one of another class is near enough in length
+    all_ = Window.partitionBy("key", "lower")
+    near = all_.orderBy("step").rangeBetween(-STEPS, STEPS)
+    blocks = F.ceil(F.greatest(F.sum("texts").over(all_) / BLOCK, F.sum("total").over(all_) / BLOCK_WORDS)).cast("int").alias("blocks")
+    # of the upper level, texts meet those of the lower one only
+    around = lambda f, c: F.when(F.col("own") == 0, f(c).over(near)).otherwise(f(F.when(F.col("own") == 0, F.col(c))).over(near)).alias(c)
+    split = stored(counts.select("key", "lower", "step", blocks, around(F.min, "low"), around(F.max, "high")).where("low IS NOT NULL"), "omh-open")
+    with_other = (F.col("label") != F.col("low")) | (F.col("label") != F.col("high"))
+    open_ = stored(parts.join(split, ["key", "lower", "step"]).where(with_other).drop("step", "low", "high"), "omh-unlike")
     dealt = open_.join(nodes.select("node", "shape", "places"), "node").withColumn("own", F.expr("cast(pmod(xxhash64(node, 8), blocks) AS int)"))
     met = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     met = met.select("key", "lower", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "level", "node", "label", "words", "shape", "places")
@@ -375,10 +388,10 @@ def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of each node's component, for the nodes of links (a, b).
 
     Alternating stars: neighbours are tied to the least one around, until no edge changes. A step is two grouped
-    minima and joins over the edges; edges never leave the executors, only a count and a checksum do.
+    minima and joins over the edges; edges never leave the executors. They are done when all are stars: no node has two
+    edges to lesser ones, or one to a lesser node and one to a greater.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # minima are stored, so that the join exchanges both sides anew and a node with very many edges can be split
@@ -388,10 +401,9 @@ def components(links: DataFrame) -> DataFrame:
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(small, "edges")
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if now == seen:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
-        seen = now
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:

@@ -615,6 +615,23 @@ def test_remaining_links_are_brute_force(spark, monkeypatch, block):
     assert near and got == sorted(near)
 
 
+def test_texts_without_another_class_of_their_length_are_not_met(spark, monkeypatch):
+    from lipiflow.llm import near_dedup as nd
+
+    met, as_before = {}, nd.stored
+    monkeypatch.setattr(nd, "stored", lambda df, name, *more: met.setdefault(name, as_before(df, name, *more)))
+    long, short = ["a"] * 100, ["a"] * 66  # of one level of length and the next, but too far apart
+    texts = [" ".join(long + ["b"] * (i % 3)) for i in range(30)] + [" ".join(short), " ".join(short[1:] + ["c"])]
+    w = nd.Words(pa.array(texts))
+    shapes, places, sizes = nd.word_shapes(w), nd.text_sketches(w)[2], np.diff(w.first)
+    nodes = spark.createDataFrame([(i, shapes[i].tobytes(), bytes(places[i] * 0)) for i in range(32)], "node long, shape binary, places binary")
+    members = spark.createDataFrame([(i, int(sizes[i]), 7, 32) for i in range(32)], "node long, words long, key long, size long")
+    labels = spark.createDataFrame([(i, 0) for i in range(30)], "node long, label long")
+    links = nd.remaining_links(members, labels, nodes, spark.createDataFrame(list(enumerate(texts)), "node long, text string"))
+    assert [(r.a, r.b) for r in links.collect()] == [(30, 31)]
+    assert {r.node for r in met["omh-unlike"].select("node").collect()} == {30, 31}
+
+
 def test_components_of_chains_and_stars(spark):
     from lipiflow.llm.near_dedup import components
 
