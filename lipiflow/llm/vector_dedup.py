@@ -27,7 +27,7 @@ from .near_dedup import components
 SIMILARITY, RECALL = 0.95, 0.995
 PROJECTIONS, MISSES = 24, 2
 #: Vectors of a cell that one block holds against as many others; steps of a projected unit.
-BLOCK, STEPS = 4096, 1024
+BLOCK, STEPS, FAR = 4096, 1024, 16383
 #: Pairs that are looked at, and verified, in one numpy pass.
 LOOK, VERIFY = 1 << 20, 1 << 15
 
@@ -85,8 +85,8 @@ def sketches(classes: DataFrame, half: float) -> DataFrame:
                 for dim in np.unique(dims):
                     some = part.filter(pa.array(dims == dim))
                     x = some.column("embedding").flatten().to_numpy().reshape(-1, dim).astype(kind, copy=False)
-                    # a place beyond 16 bits moves to the last one, which brings none further apart
-                    place = np.clip(np.rint(unit(x.astype(float)) @ directions(int(dim)) * STEPS), -32768, 32767).astype(np.int16)
+                    # a place beyond FAR moves there, which brings none further apart; differences fit in 16 bits
+                    place = np.clip(np.rint(unit(x.astype(float)) @ directions(int(dim)) * STEPS), -FAR, FAR).astype(np.int16)
                     cells = place[:, ::lead].astype(np.int32) // width
                     lists = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), cells.shape[1]).cast(pa.list_(pa.int32()))
                     columns = [some.column("node"), some.column("size"), some.column("dim"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in place], pa.binary()), lists]
@@ -131,6 +131,15 @@ class Forest:
                 self.root = self.root[self.root]
 
 
+def near(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Whether places are at most width apart: one unsigned comparison, in 16 bits if the places are."""
+    if a.dtype != np.int16 or width > FAR:
+        return np.abs(a.astype(np.int32) - b) <= width
+    d = a - b  # at most 2 * FAR, so it does not wrap; moved by width it may, to what is more than 2 * width
+    d += np.int16(width)
+    return d.view(np.uint16) <= np.uint16(2 * width)
+
+
 def colliding(left: np.ndarray, right: np.ndarray, group: int, width: int, ordered: bool):
     """Pairs (places in left, places in right) of a block pair that pass the count and are left to this group, in pieces.
 
@@ -142,19 +151,16 @@ def colliding(left: np.ndarray, right: np.ndarray, group: int, width: int, order
     columns = np.ascontiguousarray(right.T)
     for at in range(0, len(left), step):
         part = left[at : at + step]
-        may = np.abs(part[:, own[0], None] - columns[own[0]]) <= width
-        for c in own[1:3]:
-            may &= np.abs(part[:, c, None] - columns[c]) <= width
+        may = near(part[:, own[0], None], columns[own[0]], width)
+        for c in own[1:]:
+            may &= near(part[:, c, None], columns[c], width)
         i, j = np.nonzero(may)
         i += at
         if ordered:
             i, j = i[i < j], j[i < j]
-        for c in own[3:]:
-            good = np.abs(left[i, c] - right[j, c]) <= width
-            i, j = i[good], j[good]
         for cut in range(0, len(i), VERIFY):
             p, q = i[cut : cut + VERIFY], j[cut : cut + VERIFY]
-            hit = np.abs(left[p] - right[q]) <= width
+            hit = near(left[p], right[q], width)
             earlier = hit[:, : group * lead].reshape(len(p), group, lead).all(axis=2).any(axis=1) if group else np.zeros(len(p), bool)
             good = (hit.sum(axis=1) >= PROJECTIONS - MISSES) & ~earlier
             yield p[good], q[good]
@@ -168,8 +174,7 @@ def block_links(pairs: DataFrame, similarity: float, half: float) -> DataFrame:
         dim, group = table.column("dim")[0].as_py(), table.column("grp")[0].as_py()
         vectors = table.column("vector").to_pylist()
         x = unit(np.frombuffer(b"".join(vectors), f"f{len(vectors[0]) // dim}").reshape(-1, dim).astype(float))
-        # differences of places fit in 32 bits
-        place = np.frombuffer(b"".join(table.column("places").to_pylist()), np.int16).reshape(-1, PROJECTIONS).astype(np.int32)
+        place = np.frombuffer(b"".join(table.column("places").to_pylist()), np.int16).reshape(-1, PROJECTIONS)
         node, size = (table.column(c).to_numpy() for c in ("node", "size"))
         late = table.column("late").to_numpy(zero_copy_only=False)
         ordered = table.column("up")[0].as_py() == 0 and table.column("i")[0].as_py() == table.column("j")[0].as_py()

@@ -217,3 +217,13 @@ def test_search_of_nothing(spark):
     assert ranked_search(items.limit(0), docs).collect() == []
     assert ranked_search(items, docs.limit(0)).collect() == []
     assert ranked_search(items, docs.where("doc_id = 2")).collect() == []
+
+
+def test_places_are_compared_in_sixteen_bits():
+    from lipiflow.llm.vector_dedup import FAR, near
+
+    rng = np.random.default_rng(4)
+    ends = np.array([-FAR, -FAR + 1, -1, 0, 1, FAR - 1, FAR])
+    a, b = (np.concatenate([ends, rng.integers(-FAR, FAR + 1, 500)]).astype(np.int16) for _ in range(2))
+    for width in (0, 1, 700, FAR - 1, FAR, FAR + 1, 40_000):
+        assert (near(a[:, None], b, width) == (np.abs(a[:, None].astype(int) - b) <= width)).all()
