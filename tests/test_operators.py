@@ -4,6 +4,7 @@ import json
 import math
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -363,3 +364,52 @@ def test_totals_meet_queries_not_candidates(spark):
     assert len(joins) == 3 and "(q#" in joins[1]
     words = spark.createDataFrame([("w", 1)], "word string, score long")
     assert "rightHint=(strategy=merge)" in R.with_prior(c.drop("uni"), words)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_choices_are_those_of_all_candidates(spark):
+    """Against brute force, with pairs that put the first choice of a spelling far below words that never followed."""
+    rng = random.Random(11)
+    names = [f"w{i:02}" for i in range(12)]
+    uni = {w: rng.choice([-1.0, -2.0, -6.0]) for w in names}
+    candidates = {(r, w): rng.choice([0, 3]) for r in "abcdef" for w in rng.sample(names, rng.randint(1, 8))}
+    told = {(p, w): rng.choice([1, 1, 40]) for p in ("p", "q", "s") for w in rng.sample(names, 7)}
+    total = {"p": 60, "q": 2000, "s": 100_000}
+    c = spark.createDataFrame([(r, w, uni[w], x) for (r, w), x in candidates.items()], "q string, word string, uni double, rom_exact int")
+    firsts, chosen = R.choices(c, TUNED_WEIGHTS, spark.createDataFrame([(p, w, n, total[p]) for (p, w), n in told.items()], "prev string, word string, count long, total long"))
+    scored = {(x.q, x.word): x.score for x in R.ranked(c, TUNED_WEIGHTS, 100).collect()}
+
+    def best(r, p=None):
+        add = lambda w: 0 if p is None else TUNED_WEIGHTS["bigram"] * (math.log(told[p, w] / total[p]) - uni[w] if (p, w) in told else math.log(0.4))
+        return min((-round(s + round(add(w), 6), 6), w) for (q, w), s in scored.items() if q == r)[1]
+
+    first = {r: best(r) for r in "abcdef"}
+    assert {x.roman: x["first"] for x in firsts.collect()} == first
+    want = {(p, r, best(r, p)) for p in total for r in "abcdef"}
+    assert {tuple(x) for x in chosen.collect()} == {x for x in want if x[2] != first[x[1]]} and len({x[2] for x in want}) > 3
+    low = [(p, r) for p, r, w in want if (p, first[r]) in told and math.log(told[p, first[r]] / total[p]) - uni[first[r]] < math.log(0.4) and w != first[r]]
+    assert any((p, best(r, p)) not in told for p, r in low)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """What a job of a stored table exchanged is off the disk when the table is written, and the session's setting as it was."""
+    from lipiflow.sources import store
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    found = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files.getAllFiles()) if f.getName().startswith("shuffle_")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = found(), spark.conf.get(setting)
+    store.stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    end = time.time() + 20  # files are removed in the background
+    while found() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not found() - before and spark.conf.get(setting) == was
+
+
+def test_sentences_in_parts_are_the_same(spark, sf_dir, monkeypatch):
+    """Spellings and turns are worked on so many at a time; results do not depend on how many."""
+    from lipiflow.plans import evaluation
+
+    whole = sets(evaluation.sentence_transliteration(spark, sf_dir))
+    monkeypatch.setattr(evaluation, "SPELLINGS", 1500)
+    monkeypatch.setattr(evaluation, "CHARACTERS", 20_000)
+    assert sets(evaluation.sentence_transliteration(spark, sf_dir)) == whole
