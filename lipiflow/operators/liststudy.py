@@ -30,7 +30,12 @@ def places(size: Column, own: Column, at: list[Column], is_it: list[Column], rul
     return F.transform(F.transform(table, place), lambda p: F.when(p <= k, p).otherwise(0).cast("bigint"))
 
 
-def typed_places(tested: DataFrame, base: DataFrame, predicted: DataFrame, max_letters: int, rules: tuple[tuple[int, int], ...] = RULES, k: int = SHOWN) -> DataFrame:
+def typed_letters(roman: str, max_letters: int | None) -> Column:
+    """1, 2 .. as many letters as are typed: max_letters at most or, if that is None, all but the last, with which there is nothing left to save."""
+    return F.sequence(F.lit(1), F.length(roman) - 1 if max_letters is None else F.least(F.lit(max_letters), F.length(roman)))
+
+
+def typed_places(tested: DataFrame, base: DataFrame, predicted: DataFrame, max_letters: int | None, rules: tuple[tuple[int, int], ...] = RULES, k: int = SHOWN) -> DataFrame:
     """prev, roman, word, n, letters, length, offered, among, own, at: where the word is once so many letters are typed.
 
     tested: prev, roman, word, n (how often the word stands there); romans of one letter are left out. base: typed, list, the
@@ -39,8 +44,9 @@ def typed_places(tested: DataFrame, base: DataFrame, predicted: DataFrame, max_l
     each rule. All rules are applied to a row as it is: nothing is multiplied but the letters.
     """
     rows = tested.where(F.length("roman") >= 2).withColumn("length", F.length("roman"))
-    rows = rows.withColumn("letters", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_letters), "length")))).withColumn("typed", F.substring(F.col("roman"), F.lit(1), F.col("letters")))
-    rows = rows.join(base.select("typed", F.col("list").alias("_base")), "typed", "left").join(predicted.select("prev", "typed", F.col("list").alias("_more")), ["prev", "typed"], "left")
+    rows = rows.withColumn("letters", F.explode(typed_letters("roman", max_letters))).withColumn("typed", F.substring(F.col("roman"), F.lit(1), F.col("letters")))
+    # the ordinary lists, which most rows have, come last: no exchange carries them beside a row
+    rows = rows.join(predicted.select("prev", "typed", F.col("list").alias("_more")), ["prev", "typed"], "left").join(base.select("typed", F.col("list").alias("_base")), "typed", "left")
     none = F.array().cast("array<string>")
     listed, more = F.coalesce("_base", none), F.slice(F.coalesce("_more", none), 1, PREDICTED)
     at, same = [f"_at{i}" for i in range(PREDICTED)], [f"_same{i}" for i in range(PREDICTED)]

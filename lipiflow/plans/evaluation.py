@@ -10,14 +10,13 @@ from ..functions import metrics as M
 from ..functions.scores import TUNED_WEIGHTS
 from ..functions.text import BENGALI, ascii_tokens
 from ..operators import evaluate as E, lexicon as L, retrieve as R, scorer as S
-from ..sources.store import stored
+from ..sources.store import in_parts, stored
 from .lexicon import CAND, SCORE_SQL, _candidates, pairs, score_sql
 from .usage import LETTERS, SIGNS
-from .standins import QUERY_SQL, ROMANS, STYLE_EXPRESSIONS, TOK, WORDS, completions, key_indexes, keyed_words, queries, romans, sent_of, sentences, sql_key, sql_style, table, tokens, with_keys, words
+from .standins import QUERY_SQL, ROMANS, SPELLINGS, STYLE_EXPRESSIONS, TOK, WORDS, completions, key_indexes, keyed_words, queries, romans, sent_of, sentences, sql_key, sql_style, table, tokens, with_keys, words
 
 QUERIES, ORACLE_SQL = {}, {}
-# Spellings whose candidates are worked on at a time, characters of the turns that are.
-SPELLINGS, CHARACTERS = 100_000, 100_000_000
+CHARACTERS = 100_000_000  # fixed value: characters of the turns that are worked on at a time
 
 
 def query(sql: str | None = None):
@@ -218,11 +217,9 @@ def sentence_transliteration(spark, d):
     qs = stored(with_keys(typed.select("roman").distinct(), "roman").withColumn("q", F.col("roman")), "typed-words")
     p = pairs(spark, d)
     told = stored(L.followers(p).select("prev", "word", "count").join(L.pair_totals(p), "prev"), "followed")
-    # so many spellings, and then turns, at a time: what is exchanged for some is off the disk before the next
-    n = max(1, -(-qs.count() // SPELLINGS))
     made = []
-    for i in range(n):
-        c = R.candidates(qs.where(F.pmod(F.xxhash64("roman"), F.lit(n)) == i), keyed_words(spark, d), romans(spark, d), completions(spark, d), key_indexes=key_indexes(spark, d))
+    for part in in_parts(qs, "roman", SPELLINGS):
+        c = R.candidates(part, keyed_words(spark, d), romans(spark, d), completions(spark, d), key_indexes=key_indexes(spark, d))
         made.append(R.choices(c, TUNED_WEIGHTS, told))
     firsts, chosen = (reduce(DataFrame.unionByName, x) for x in zip(*made))
     turns = table(spark, d, "conversations")

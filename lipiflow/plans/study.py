@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scores
 from ..functions.keys import key_from_roman
 from ..functions.text import ascii_tokens
 from ..operators import beam as B, lexicon as L, liststudy as S, nextword as N, retrieve as R, within as W
-from ..sources.store import built_once, stored
+from ..sources.store import built_once, in_parts, stored
 from .lexicon import CAND, PAIRS, SCORE_SQL, _W, _candidates, pairs, seen as seen_words
 from .prediction import RANKED
-from .standins import QUERY_SQL, WORDS, completions, key_indexes, keyed_words, queries, romans, sentences, sql_key, table, with_keys
+from .standins import QUERY_SQL, SPELLINGS, WORDS, completions, key_indexes, keyed_words, queries, romans, sentences, sql_key, table, with_keys
 
 QUERIES, ORACLE_SQL = {}, {}
 LETTERS = 4
@@ -54,25 +56,32 @@ def _lists(ranked, by, place="rank"):
     return ranked.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct(place, "word"))), lambda x: x["word"]).alias("list"))
 
 
-def _placed(spark, d):
-    """Where each word of the conversations is, under each rule, in the list of its first letters: made once for both queries."""
+def _placed(spark, d, most):
+    """Where each word of the conversations is, under each rule, in the list of its letters so far (typed_letters)."""
 
     def make():
         tested = seen_words(spark, d).groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("roman", F.col("word"))
-        letters = tested.where("length(roman) >= 2").select("prev", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LETTERS), F.length("roman"))), lambda i: F.substring(F.col("roman"), F.lit(1), i))).alias("roman")).distinct()
+        letters = tested.where("length(roman) >= 2").select("prev", F.explode(F.transform(S.typed_letters("roman", most), lambda i: F.substring(F.col("roman"), F.lit(1), i))).alias("roman")).distinct()
         letters = stored(letters, "typed-letters")
         asked = stored(with_keys(letters.select("roman").distinct().withColumn("q", F.col("roman")), "roman"), "typed-asked")
-        found = R.candidates(asked, keyed_words(spark, d), romans(spark, d), completions(spark, d), key_indexes=key_indexes(spark, d))
-        base = _lists(R.fast_ranked(found, scores.TUNED_WEIGHTS, S.SHOWN), "q").withColumnRenamed("q", "typed")
+        lists = []
+        for part in in_parts(asked, "roman", SPELLINGS):
+            found = R.candidates(part, keyed_words(spark, d), romans(spark, d), completions(spark, d), key_indexes=key_indexes(spark, d))
+            lists.append(stored(_lists(R.fast_ranked(found, scores.TUNED_WEIGHTS, S.SHOWN), "q").withColumnRenamed("q", "typed"), "typed-lists"))
         predicted = N.next_completions(letters, L.followers(pairs(spark, d)), S.PREDICTED).withColumnRenamed("roman", "typed")
         predicted = predicted.groupBy("prev", "typed").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("list"))
-        return S.typed_places(tested, base, predicted, LETTERS)
+        return S.typed_places(tested, reduce(DataFrame.unionByName, lists), predicted, most)
+
+    return built_once(spark, d, f"typed-places-{most}", make)
+
 
-    return built_once(spark, d, "typed-places", make)
+def typed_sql(rows: str) -> str:
+    return f"""te AS (SELECT prev, word, count(*) AS n FROM seq WHERE prev IS NOT NULL AND kept IS NOT NULL AND length(word) >= 2 GROUP BY prev, word),
+  ty AS (SELECT prev, word, n, i AS letters, length(word) AS len, left(word, i) AS typed FROM {rows})"""
 
 
-TYPED = f"""te AS (SELECT prev, word, count(*) AS n FROM seq WHERE prev IS NOT NULL AND kept IS NOT NULL AND length(word) >= 2 GROUP BY prev, word),
-  ty AS (SELECT prev, word, n, i AS letters, length(word) AS len, left(word, i) AS typed FROM te, (SELECT unnest(range(1, {LETTERS + 1})) AS i) WHERE i <= length(word))"""
+TYPED = typed_sql(f"te, (SELECT unnest(range(1, {LETTERS + 1})) AS i) WHERE i <= length(word)")
+EVERY_LETTER = typed_sql("(SELECT *, unnest(range(1, length(word) + 1)) AS i FROM te)")
 STUDY = f"""{PAIRS}, {RANKED}, {TYPED}, {ARRANGED.replace(QUERY_SQL, 'qs AS (SELECT DISTINCT typed AS q, typed AS roman FROM ty)')}, tr AS (SELECT DISTINCT typed AS word FROM ty),
   {sql_key('coarse', 'fol', out='kw')}, {sql_key('coarse', 'tr', out='kt')}, dt AS (SELECT DISTINCT prev, typed FROM ty),
   fit AS (SELECT dt.prev, typed, rf.word, rf.cnt FROM dt JOIN kt ON dt.typed = kt.word JOIN rf ON rf.prev = dt.prev JOIN kw ON kw.word = rf.word WHERE kt.key <> '' AND starts_with(kw.key, kt.key)),
@@ -87,13 +96,14 @@ STUDY = f"""{PAIRS}, {RANKED}, {TYPED}, {ARRANGED.replace(QUERY_SQL, 'qs AS (SEL
   {', '.join(f'coalesce(sum(n) FILTER (place = {i}), 0)::BIGINT AS at{i}' for i in range(1, 6))}, coalesce(sum(n) FILTER (place = 0), 0)::BIGINT AS absent,
   coalesce(sum(n) FILTER (letters = len AND own > 0 AND (place = 0 OR place > own)), 0)::BIGINT AS displaced FROM a GROUP BY start, put_in, letters""".replace("letters = len AND", 'letters = a."len" AND').replace("len(more)", "array_length(more)"))
 def merge_rules(spark, d):
-    return S.by_letters(_placed(spark, d)).withColumn("letters", F.col("letters").cast("bigint"))
+    return S.by_letters(_placed(spark, d, LETTERS)).withColumn("letters", F.col("letters").cast("bigint"))
 
 
-@query(f"""WITH {STUDY}, e AS (SELECT start, put_in, prev, word, n, a."len" AS l, min(letters) FILTER (place > 0 AND letters < a."len") AS seen, arg_min(place, letters) FILTER (place > 0 AND letters < a."len") AS place FROM a GROUP BY start, put_in, prev, word, n, a."len")
+@query(f"""WITH {STUDY.replace(TYPED, EVERY_LETTER)}, e AS (SELECT start, put_in, prev, word, n, a."len" AS l, min(letters) FILTER (place > 0 AND letters < a."len") AS seen, arg_min(place, letters) FILTER (place > 0 AND letters < a."len") AS place FROM a GROUP BY start, put_in, prev, word, n, a."len")
   SELECT start, put_in, sum(n)::BIGINT AS words, sum(n * (l + 1))::BIGINT AS plain, sum(n * CASE WHEN seen IS NULL THEN l + 1 WHEN place = 1 THEN seen + 1 ELSE least(seen + 2, l + 1) END)::BIGINT AS needed FROM e GROUP BY start, put_in""")
 def merge_rule_keystrokes(spark, d):
-    return S.keystrokes(_placed(spark, d))
+    """Each word is looked for at each of its letters, however many it has."""
+    return S.keystrokes(_placed(spark, d, None))
 
 
 def within_sql(asked: str, k: int) -> str:

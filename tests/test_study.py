@@ -228,3 +228,38 @@ def test_typed_letters_are_looked_up_not_held_against_all_followers(spark):
         total = sum(-n for n, _ in fit)
         want |= {("<s>", t, w, round(-n / total, 9), p) for p, (n, w) in enumerate(fit[:2], 1)}
     assert {(r.prev, r.roman, r.word, round(r.share, 9), r.place) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_keystrokes_count_all_letters(spark, seed):
+    """Without a number of letters, a word may be picked at each of its own but the last, as in brute force over whole words."""
+    tested, base, more = study_rows(random.Random(seed))
+    tested += [("p0", "abababab", "abababab", 7)]
+    base |= {"abababab"[:i]: [] for i in range(1, 9)} | {"ababab": ["b", "abababab"]}
+    frames = [spark.createDataFrame(*x) for x in ((tested, "prev string, roman string, word string, n long"), (list(base.items()), "typed string, list array<string>"), ([(p, t, x) for (p, t), x in more.items()], "prev string, typed string, list array<string>"))]
+    placed = S.typed_places(*frames, max_letters=None)
+    got = {(r.start, r.put_in): r.needed for r in S.keystrokes(placed).collect()}
+    want = dict.fromkeys(S.RULES, 0)
+    for (start, n), (prev, roman, word, times) in itertools.product(S.RULES, tested):
+        if len(roman) >= 2:
+            shown = [brute_merge(base.get(roman[:i], []), more.get((prev, roman[:i]), [])[:2], start, n) for i in range(1, len(roman))]
+            seen = next((i + 1 if x[0] == word else min(i + 2, len(roman) + 1) for i, x in enumerate(shown, 1) if word in x), len(roman) + 1)
+            want[start, n] += times * seen
+    assert got == want
+
+
+def test_words_are_looked_for_beyond_their_fourth_letter(spark, sf_dir):
+    from lipiflow.plans import study
+
+    needed = lambda most: {(r.start, r.put_in): (r.words, r.plain, r.needed) for r in S.keystrokes(study._placed(spark, sf_dir, most)).collect()}
+    whole, four = {(r.start, r.put_in): (r.words, r.plain, r.needed) for r in study.merge_rule_keystrokes(spark, sf_dir).collect()}, needed(study.LETTERS)
+    assert whole == needed(None) and all(whole[k][:2] == four[k][:2] and whole[k][2] < four[k][2] for k in four)
+
+
+def test_parts_hold_every_row_once(spark):
+    from lipiflow.sources.store import in_parts
+
+    parts = in_parts(spark.range(1000).withColumn("k", F.col("id") % 300), "k", 150)
+    found = [{r.k for r in p.collect()} for p in parts]
+    assert sum(p.count() for p in parts) == 1000 and len(parts) == 7 and sum(map(len, found)) == 300 == len(set().union(*found))
+    assert [p.count() for p in in_parts(spark.range(0), "id", 5)] == [0]
