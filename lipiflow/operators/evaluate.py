@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -129,35 +129,58 @@ def ordinals(rows: DataFrame, order: str) -> DataFrame:
     return running_sums(rows.withColumn("_one", F.lit(1)), [order], "_one").withColumnRenamed("_sum", "_ordinal").drop("_one")
 
 
+def leading(candidates: DataFrame) -> DataFrame:
+    """candidates (q, gold, word, uni and other features) without those that cannot come first, whatever the weights, if that of uni is not negative.
+
+    Of a query's candidates of equal features on the same side of the gold in order, that of largest uni scores at least as much as
+    the others, and whether it comes before the gold is the same.
+    """
+    features = [c for c in candidates.columns if c not in ("word", "uni")]
+    side = F.when(F.col("word") == F.col("gold"), 0).when(F.col("word") < F.col("gold"), -1).otherwise(1).alias("_side")
+    return candidates.groupBy(*features, side).agg(F.max(F.struct("uni", "word")).alias("_most")).select(*features, "_most.uni", "_most.word")
+
+
 def weight_hits(candidates: DataFrame, weights: list[dict[str, float]]) -> DataFrame:
     """setting, hits, n: for each of the weights, by their number, how often the best word is the gold. One job for all of them.
 
-    candidates: q, gold, word and features; a query's candidates are scored under every setting, of equals the lesser word wins.
+    candidates: q, gold, word and features; a query's candidates are scored under every setting, of equals the lesser word wins. A
+    gold is the best if no lesser word scores as much and no greater one more: sums of numbers, no list is sorted.
     """
     names = sorted(weights[0])
     schema = "setting int, w struct<" + ", ".join(f"{n}: double" for n in names) + ">"
     grid = candidates.sparkSession.createDataFrame([(i, tuple(float(w[n]) for n in names)) for i, w in enumerate(weights)], schema)
     s = F.round(score_features(candidates.columns, {n: F.col("w")[n] for n in names}), 6)
-    best = candidates.crossJoin(F.broadcast(grid)).groupBy("q", "gold", "setting").agg(F.min_by("word", F.struct(-s, "word")).alias("word"))
-    return best.groupBy("setting").agg(F.count_if(F.col("word") == F.col("gold")).alias("hits"), F.count(F.lit(1)).alias("n"))
+    rows = candidates.crossJoin(F.broadcast(grid)).select("q", "gold", "setting", s.alias("s"), (F.col("word") == F.col("gold")).alias("is"), (F.col("word") < F.col("gold")).alias("less"))
+    most = lambda when, name: F.max(F.when(when, F.col("s"))).alias(name)
+    best = rows.groupBy("q", "gold", "setting").agg(most(F.col("is"), "own"), most(F.col("less"), "lesser"), most(~F.col("is") & ~F.col("less"), "greater"))
+    hit = F.col("own").isNotNull() & F.coalesce(F.col("own") > F.col("lesser"), F.lit(True)) & F.coalesce(F.col("own") >= F.col("greater"), F.lit(True))
+    return best.groupBy("setting").agg(F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("n"))
 
 
-def coordinate_ascent(scores, start: dict[str, float], grid: dict[str, list[float]], rounds: int = 3, least: float = 1e-9) -> tuple[dict[str, float], float]:
-    """Weights of best score: each in turn over its grid, until a round changes none.
+def coordinate_ascent(scores, start: dict[str, float], grid: dict[str, Sequence[float]], least: float = 1e-9) -> tuple[dict[str, float], float]:
+    """Weights of best score: each in turn over its grid, until a round changes none, however many that takes.
 
-    `scores` maps a list of weights to their numbers; it is called once for each grid, so that one job can serve all its values.
+    `scores` maps a list of weights to their numbers; it is called once for each grid, so that one job can serve all its values, and
+    for no weights a second time. Every change raises the score, so that the search ends.
     """
-    best, at = dict(start), scores([dict(start)])[0]
-    for _ in range(rounds):
+    known: dict[tuple, float] = {}
+    key = lambda w: tuple(sorted(w.items()))
+
+    def score(settings):
+        new = [w for w in settings if key(w) not in known]
+        known.update(zip(map(key, new), scores(new) if new else []))
+        return [known[key(w)] for w in settings]
+
+    best, at = dict(start), score([dict(start)])[0]
+    while True:
         before = dict(best)
         for name, values in grid.items():
             others = [best | {name: v} for v in values if v != best[name]]
-            for w, s in zip(others, scores(others) if others else []):
+            for w, s in zip(others, score(others)):
                 if s > at + least:
                     best, at = w, s
         if best == before:
-            break
-    return best, at
+            return best, at
 
 
 def context_eval(items: DataFrame, ranked: DataFrame, keys: DataFrame, bounds: tuple[int, ...] = (1, 3, 5, 10, 50)) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import metrics as M
-from ..functions.scores import TUNED_WEIGHTS
+from ..functions.scores import SEARCHED, TUNED_WEIGHTS
 from ..functions.text import BENGALI, ascii_tokens
 from ..operators import evaluate as E, lexicon as L, retrieve as R, scorer as S
 from ..sources.store import in_parts, stored
@@ -272,14 +272,16 @@ def latency_summary(spark, d):
 
 @query()
 def tuned_weights(spark, d):
-    """Weights by coordinate ascent to its end: a job for each grid, over the stored candidates; the score is the share of right first choices."""
+    """All weights of the search by coordinate ascent to its end: a job for each grid, over the stored candidates; the score is the share of right first choices."""
     # stored with a query's candidates together: a grid's job then exchanges a row for each query and setting only
-    c = stored(_candidates(spark, d).hint("merge").join(queries(spark, d).select("q", "gold"), "q"), "tuned")
+    c = _candidates(spark, d).drop("lex_score").hint("merge").join(queries(spark, d).select("q", "gold"), "q")
+    c = stored(E.leading(c), "tuned")
 
     def shares(settings):
-        return [r.hits / max(r.n, 1) for r in E.weight_hits(c, settings).orderBy("setting").collect()]
+        found = {r.setting: r.hits / r.n for r in E.weight_hits(c, settings).collect()}
+        return [found.get(i, 0.0) for i in range(len(settings))]
 
-    best, share = E.coordinate_ascent(shares, TUNED_WEIGHTS, {"unigram": [0.25, 0.5, 1.0], "rom_exact": [0.5, 1.0, 2.0, 3.0], "gap": [-0.5, -0.3, -0.1]}, rounds=2)
+    best, share = E.coordinate_ascent(shares, TUNED_WEIGHTS, SEARCHED)
     return spark.createDataFrame([(n, float(w), round(share, 6)) for n, w in sorted(best.items())], "name string, weight double, share double")
 
 

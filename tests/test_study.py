@@ -263,3 +263,46 @@ def test_parts_hold_every_row_once(spark):
     found = [{r.k for r in p.collect()} for p in parts]
     assert sum(p.count() for p in parts) == 1000 and len(parts) == 7 and sum(map(len, found)) == 300 == len(set().union(*found))
     assert [p.count() for p in in_parts(spark.range(0), "id", 5)] == [0]
+
+
+def test_ascent_goes_on_while_a_round_changes_anything():
+    """A stair that is climbed by one step of each weight in a round: nine rounds, none of whose weights is scored twice."""
+    asked = []
+
+    def scores(settings):
+        asked.extend((w["a"], w["b"]) for w in settings)
+        return [w["a"] + w["b"] if 0 <= w["a"] - w["b"] <= 1 else -1.0 for w in settings]
+
+    steps = [float(i) for i in range(10)]
+    assert E.coordinate_ascent(scores, {"a": 0.0, "b": 0.0}, {"a": steps, "b": steps}) == ({"a": 9.0, "b": 9.0}, 18.0)
+    assert len(asked) == len(set(asked))
+
+
+def test_weights_are_tuned_to_the_end(spark, sf_dir, monkeypatch):
+    """No value of any searched weight is better than the one found, judged by all candidates and their ranking, and every one was tried."""
+    from lipiflow.functions.scores import SEARCHED, TUNED_WEIGHTS
+    from lipiflow.operators import retrieve as R
+    from lipiflow.plans import evaluation
+    from lipiflow.plans.standins import queries
+
+    tried, plain = [], E.weight_hits
+    monkeypatch.setattr(E, "weight_hits", lambda c, settings: tried.extend(settings) or plain(c, settings))
+    got = evaluation.tuned_weights(spark, sf_dir).collect()
+    best, share = {r["name"]: r.weight for r in got}, got[0].share
+    assert best.keys() == TUNED_WEIGHTS.keys() and len(SEARCHED) == 14
+    assert all(any(w[n] == v for w in tried) for n, values in SEARCHED.items() for v in values)
+    c = evaluation._candidates(spark, sf_dir).join(queries(spark, sf_dir).select("q", "gold"), "q")
+    near = [best] + [best | {n: v} for n, values in SEARCHED.items() for v in values]
+    hits = {r.setting: (r.hits, r.n) for r in plain(c, near).collect()}
+    assert round(hits[0][0] / hits[0][1], 6) == share and all(h <= hits[0][0] for h, _ in hits.values())
+    assert {r.setting: (r.hits, r.n) for r in plain(E.leading(c.drop("lex_score")), near).collect()} == hits
+    for i in (0, 3, 40):
+        assert R.ranked(c, near[i], 1).where("word = gold").count() == hits[i][0]
+
+
+def test_equal_scores_go_to_the_lesser_word(spark):
+    rows = [(1, "m", "m", -1.0), (1, "m", "a", -1.0), (2, "m", "m", -1.0), (2, "m", "z", -1.0), (3, "m", "m", -1.0), (3, "m", "z", -0.5), (4, "m", "z", -1.0), (5, "m", "m", -9.0)]
+    c = spark.createDataFrame(rows, "q int, gold string, word string, uni double")
+    zero = dict.fromkeys([*W_NAMES, "unigram"], 0.0)
+    got = {r.setting: (r.hits, r.n) for r in E.weight_hits(c, [zero | {"unigram": 1.0}, zero]).collect()}
+    assert got == {0: (2, 5), 1: (3, 5)} and E.weight_hits(c.limit(0), [zero]).count() == 0
